@@ -1,4 +1,4 @@
-"""Registered queries and their SQL."""
+"""All registered queries of the library, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries import people, progress, reports, tables, text  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
