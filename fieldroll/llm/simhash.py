@@ -1,11 +1,15 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
 A text's fingerprint has a bit set where over half of its word shingles' hashes have it. Fingerprints
-at RADIUS bits or fewer agree on at least two of BLOCKS blocks, so all pairs of blocks together give every
+at RADIUS bits or fewer agree on at least two of RADIUS + 2 blocks, so all pairs of blocks together give every
 linked pair; distinct fingerprints meet under each of these keys. There they are stored as bit planes: word
 w of plane p holds bit p of 64 fingerprints. Each plane's differences from a query are added to carry-save
 counters for all 64 at once, and a word is abandoned when all of its lanes are over the radius.
 
+Where a fingerprint of 64 bits is too coarse (deduplicated), a second word of 64 bits goes with it: words meet
+and are compared as above at a wider radius, and a pair is linked if all 128 bits differ in few enough places.
+At a Jaccard similarity j of the shingles about acos(2j / (1 + j)) / pi of the bits differ.
+
 Only a spanning forest of each group's links goes on, so a large group of near copies sends as many rows
 as it has members, and pairs already joined are not compared again. Copies share a fingerprint and are
 one node. Components are found by contraction.
@@ -32,7 +36,6 @@ from .components import components
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-BLOCKS = 6
 CHUNK = 2048
 #: Planes are read in a mixed order, so that those that a key fixes don't come first.
 ORDER = [p * 37 % 64 for p in range(64)]
@@ -54,6 +57,33 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def wide_fingerprint(text: str | None, shingle: int, seed: int = SEED) -> tuple[int, int]:
+    """Two words of 64 bits, from 128-bit hashes of the shingles."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0, 0
+    joined, digest = b" ".join(words), xxhash.xxh3_128_digest
+    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
+    starts = [0, *(e + 1 for e in ends[: max(0, len(ends) - shingle)])]
+    flat = b"".join([digest(joined[s:e], seed) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :])])
+    rows = np.frombuffer(flat, np.uint8).reshape(-1, 16)
+    counts = np.zeros(128, np.int64)
+    for at in range(0, len(rows), 1 << 13):
+        counts += np.unpackbits(rows[at : at + (1 << 13)], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    first, second = np.packbits(2 * counts > len(rows), bitorder="little").view(np.uint64)
+    return int(first), int(second)
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """id, fp and more (two words of 64 bits as signed longs)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pairs = np.array([wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["id", "fp", "more"])
+
+    return map_batches(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("t")), run, "id long, fp long, more long")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """id and fp (the 64 bits as a signed long)."""
 
@@ -64,15 +94,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("t")), run, "id long, fp long")
 
 
-def masks(blocks: int = BLOCKS, same: int = 2) -> list[int]:
+def masks(blocks: int = RADIUS + 2, same: int = 2) -> list[int]:
     """Signed masks of every choice of `same` blocks."""
     edges = [64 * k // blocks for k in range(blocks + 1)]
     own = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
     return [m - (1 << 64) if (m := sum(x)) >= 1 << 63 else m for x in combinations(own, same)]
 
 
-def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """A label for each value: the smallest row that it is linked to, through pairs (i, j) with low[i] <= j < high[i]."""
+def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int = RADIUS, more: np.ndarray | None = None, most: int = 128) -> np.ndarray:
+    """A label for each value: the smallest row that it is linked to, through pairs (i, j) with low[i] <= j < high[i].
+
+    more: a second word of each value; a pair is then linked only if both words together differ in `most` bits or fewer.
+    """
     n, every = len(values), np.uint64(0xFFFFFFFFFFFFFFFF)
     width = -(-n // 64)
     bits = np.zeros((width * 64, 64), np.uint8)
@@ -123,7 +156,11 @@ def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int =
         if len(q) and valid.any():
             lanes = np.unpackbits(valid.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             element, lane = np.nonzero(lanes)
-            forest.link(q[element], w[element] * 64 + lane)
+            a, b = q[element], w[element] * 64 + lane
+            if more is not None:
+                close = np.bitwise_count(values[a] ^ values[b]).astype(np.int64) + np.bitwise_count(more[a] ^ more[b]) <= most
+                a, b = a[close], b[close]
+            forest.link(a, b)
     return forest.label
 
 
@@ -139,10 +176,11 @@ def above(count: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
     return more
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
-    """nodes: node, fp, each fp once. Links (a, b) that span the same components as all pairs within the radius."""
-    keys = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks(blocks, blocks - radius))))
-    rows = nodes.select("node", "fp", F.inline(keys))
+def links(nodes: DataFrame, radius: int = RADIUS, most: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """nodes: node, fp (and more, if most is given), each fingerprint once. Links (a, b) that span the same components as all linked pairs."""
+    keys = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks(radius + 2, 2))))
+    words = ["fp"] if most is None else ["fp", "more"]
+    rows = nodes.select("node", *words, F.inline(keys))
 
     def run(table: pa.Table, cuts: np.ndarray) -> pa.Table | None:
         sizes = np.diff(cuts)
@@ -152,7 +190,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: i
         get = lambda name: table.column(name).to_numpy()[pick]
         own = np.concatenate([[0], np.cumsum(sizes[sizes > 1])])
         low, high = ranges(own, get("first"), get("second"), get("side"))
-        label = compare(get("fp").view(np.uint64), low, high, radius)
+        second = None if most is None else get("more").view(np.uint64)
+        label = compare(get("fp").view(np.uint64), low, high, radius, second, most or 128)
         node = get("node")
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": node[linked], "b": node[label[linked]]})
@@ -160,11 +199,12 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: i
     return map_groups(dealt(rows, ["t", "key"], "node", chunk), ["t", "key", "first", "second"], run, "a long, b long")
 
 
-def classes(own: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fp, component_id: the smallest id reachable from each fingerprint; own: id, fp."""
-    nodes = written(own.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    found = components(links(nodes.where("node is not null"), radius, radius + 2))
-    return nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+def classes(own: DataFrame, radius: int = RADIUS, most: int | None = None) -> DataFrame:
+    """Each fingerprint with component_id, the smallest id reachable from it; own: id, fp (and more, if most is given)."""
+    words = ["fp"] if most is None else ["fp", "more"]
+    nodes = written(own.groupBy(*words).agg(F.min("id").alias("node")), "nodes")
+    found = components(links(nodes.where("node is not null"), radius, most))
+    return nodes.join(found, "node", "left").select(*words, F.coalesce("component", "node").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -174,19 +214,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 8, most: int = 19) -> DataFrame:
     """docs with one row of each group: that of the smallest id, and of rows with that id the one whose text hashes lowest.
 
-    A row without an id stays only if no row with one shares its fingerprint, one row for each fingerprint.
+    Groups are of fingerprints of 128 bits that differ in `most` (19 is a similarity of some 0.8) or fewer, and in `radius`
+    or fewer of the first 64. A row without an id stays only if no row with one is in its group, one row for each fingerprint.
     """
-    own = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    of = written(own.join(classes(own, radius), "fp").where("id = component_id or component_id is null").select("id", "fp").distinct(), "kept")
+    own = written(wide_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    of = own.join(classes(own, radius, most), ["fp", "more"]).where("id = component_id or component_id is null")
+    of = written(of.select("id", "fp", "more").distinct(), "kept")
     names = docs.columns
     kept = of.where("id is not null").select(F.col("id").alias("__id")).distinct()
     rows = docs.join(kept, docs[id_col].cast("long") == F.col("__id"), "left_semi")
     one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
     first = rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*names)
+    key = F.xxhash64(text_col)
     nameless = docs.where(F.col(id_col).isNull())
-    again = nameless.join(fingerprints(nameless.select(F.xxhash64(text_col).alias("id"), F.col(text_col).alias("t")), "id", "t", shingle).distinct().withColumnRenamed("id", "__key"), F.xxhash64(text_col) == F.col("__key"))
-    alone = of.where("id is null").select("fp")
-    return first.unionByName(again.join(alone, "fp", "left_semi").dropDuplicates(["fp"]).select(*names))
+    again = wide_fingerprints(nameless.select(key.alias("id"), F.col(text_col).alias("t")), "id", "t", shingle).distinct()
+    again = again.join(of.where("id is null").select("fp", "more"), ["fp", "more"], "left_semi").select(F.col("id").alias("__key"), F.struct("fp", "more").alias("__f"))
+    alone = nameless.join(again, key == F.col("__key")).dropDuplicates(["__f"])
+    return first.unionByName(alone.select(*names))
