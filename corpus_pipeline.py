@@ -17,8 +17,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, linked at 4 bits or fewer."""
-    return simhash.deduplicated(docs, shingle=5)
+    """One document of each group of near copies: shingles of five words, a similarity of some 0.8 or more."""
+    return simhash.deduplicated(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
