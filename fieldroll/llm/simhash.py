@@ -221,16 +221,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     or fewer of the first 64. A row without an id stays only if no row with one is in its group, one row for each fingerprint.
     """
     own = written(wide_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    of = own.join(classes(own, radius, most), ["fp", "more"]).where("id = component_id or component_id is null")
-    of = written(of.select("id", "fp", "more").distinct(), "kept")
+    of = written(classes(own, radius, most), "classes")
     names = docs.columns
-    kept = of.where("id is not null").select(F.col("id").alias("__id")).distinct()
+    kept = of.where("component_id is not null").select(F.col("component_id").alias("__id")).distinct()
     rows = docs.join(kept, docs[id_col].cast("long") == F.col("__id"), "left_semi")
     one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
     first = rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*names)
     key = F.xxhash64(text_col)
     nameless = docs.where(F.col(id_col).isNull())
     again = wide_fingerprints(nameless.select(key.alias("id"), F.col(text_col).alias("t")), "id", "t", shingle).distinct()
-    again = again.join(of.where("id is null").select("fp", "more"), ["fp", "more"], "left_semi").select(F.col("id").alias("__key"), F.struct("fp", "more").alias("__f"))
+    again = again.join(of.where("component_id is null").select("fp", "more"), ["fp", "more"], "left_semi").select(F.col("id").alias("__key"), F.struct("fp", "more").alias("__f"))
     alone = nameless.join(again, key == F.col("__key")).dropDuplicates(["__f"])
     return first.unionByName(alone.select(*names))
