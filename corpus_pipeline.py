@@ -28,10 +28,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked."""
-    rows = secrets.scanned(docs, secrets.Ledger(spark, new_path(spark, "ledger")))
-    text = F.when(F.size("spans") > 0, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    changed = {"text": text, "n_chars": F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
-    return rows.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+    rows = secrets.scanned(docs.select("text", F.struct(*docs.columns).alias("row")), secrets.Ledger(spark, new_path(spark, "ledger")))
+    found = F.size("spans") > 0
+    text = F.when(found, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    changed = {"text": text, "n_chars": F.when(found, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
+    return rows.select(*((changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
