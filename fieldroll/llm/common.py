@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +18,22 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the workers, unless their path has it: once per context."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    found = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if context.master.startswith("local["):
+        found.add(Path.cwd())
+    if root in found or getattr(context, "_fieldroll_sent", False):
+        return
+    archive = Path(tempfile.mkdtemp()) / "fieldroll.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for source in sorted((root / "fieldroll").rglob("*.py")):
+            file.write(source, source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._fieldroll_sent = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it; tests get one of their own."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
