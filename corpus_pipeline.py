@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldroll.llm import bpe, decontamination, langid, secrets, simhash
-from fieldroll.llm.common import id_crc, new_path, written
+from fieldroll.llm.common import id_crc, new_path, ship, written
 from fieldroll.llm.queries import BYTE_VOCABULARY, vocabulary
 
 
@@ -53,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
