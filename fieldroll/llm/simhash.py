@@ -6,8 +6,8 @@ linked pair; distinct fingerprints meet under each of these keys. There they are
 w of plane p holds bit p of 64 fingerprints. Each plane's differences from a query are added to carry-save
 counters for all 64 at once, and a word is abandoned when all of its lanes are over the radius.
 
-Where a fingerprint of 64 bits is too coarse (deduplicated), a second word of 64 bits goes with it: words meet
-and are compared as above at a wider radius, and a pair is linked if all 128 bits differ in few enough places.
+Where a fingerprint of 64 bits is too coarse (deduplicated), a second word of 64 bits goes with it: fingerprints
+meet by either word as above at a wider radius, and a pair is linked if all 128 bits differ in few enough places.
 At a Jaccard similarity j of the shingles about acos(2j / (1 + j)) / pi of the bits differ.
 
 Only a spanning forest of each group's links goes on, so a large group of near copies sends as many rows
@@ -177,10 +177,16 @@ def above(count: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, most: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """nodes: node, fp (and more, if most is given), each fingerprint once. Links (a, b) that span the same components as all linked pairs."""
-    keys = F.array(*(F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks(radius + 2, 2))))
-    words = ["fp"] if most is None else ["fp", "more"]
-    rows = nodes.select("node", *words, F.inline(keys))
+    """nodes: node, fp (and more, if most is given), each fingerprint once. Links (a, b) that span the same components as all linked pairs.
+
+    With `most`, both words are searched: pairs that differ in radius bits or fewer of either and in `most` or fewer of both.
+    Where most <= 2 * radius + 1 one word of every such pair is within the radius, so that none is lost.
+    """
+    of = masks(radius + 2, 2)
+    turns = [("fp", "fp")] if most is None else [("fp", "more"), ("more", "fp")]
+    rows = nodes.select("node", F.inline(F.array(*(F.struct(F.lit(len(of) * k).alias("from"), F.col(a).alias("word"), F.col(b).alias("other")) for k, (a, b) in enumerate(turns)))))
+    rows = rows.select("node", "word", *([] if most is None else ["other"]), "from", F.posexplode(F.array(*map(F.lit, of))).alias("k", "mask"))
+    rows = rows.withColumn("t", F.col("from") + F.col("k")).withColumn("key", F.col("word").bitwiseAND(F.col("mask"))).drop("from", "k", "mask")
 
     def run(table: pa.Table, cuts: np.ndarray) -> pa.Table | None:
         sizes = np.diff(cuts)
@@ -190,8 +196,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, most: int | None = None, chunk
         get = lambda name: table.column(name).to_numpy()[pick]
         own = np.concatenate([[0], np.cumsum(sizes[sizes > 1])])
         low, high = ranges(own, get("first"), get("second"), get("side"))
-        second = None if most is None else get("more").view(np.uint64)
-        label = compare(get("fp").view(np.uint64), low, high, radius, second, most or 128)
+        second = None if most is None else get("other").view(np.uint64)
+        label = compare(get("word").view(np.uint64), low, high, radius, second, 128 if most is None else most)
         node = get("node")
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": node[linked], "b": node[label[linked]]})
@@ -214,11 +220,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 8, most: int = 19) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 9, most: int = 19) -> DataFrame:
     """docs with one row of each group: that of the smallest id, and of rows with that id the one whose text hashes lowest.
 
-    Groups are of fingerprints of 128 bits that differ in `most` (19 is a similarity of some 0.8) or fewer, and in `radius`
-    or fewer of the first 64. A row without an id stays only if no row with one is in its group, one row for each fingerprint.
+    Groups are of fingerprints of 128 bits that differ in `most` (19 is a similarity of some 0.8) or fewer; one of their
+    words then differs in `radius` or fewer. A row without an id stays only if no row with one is in its group, one row for each fingerprint.
     """
     own = written(wide_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     of = written(classes(own, radius, most), "classes")

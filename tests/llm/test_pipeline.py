@@ -15,9 +15,7 @@ def test_run(spark, sf_dir):
     left = {k: t for k, t in docs.items() if t and re.search(r"[^\W\d_]", t)}
     ids = sorted(left)
     pair = np.array([simhash.wide_fingerprint(left[i], 5) for i in ids], np.uint64)
-    apart = np.bitwise_count(pair[:, None, 0] ^ pair[None, :, 0]).astype(int)
-    both = apart + np.bitwise_count(pair[:, None, 1] ^ pair[None, :, 1])
-    near = (apart <= 8) & (both <= 19)
+    near = sum(np.bitwise_count(pair[:, None, k] ^ pair[None, :, k]).astype(int) for k in (0, 1)) <= 19
     label = np.arange(len(ids))
     while not np.array_equal(new := np.array([label[near[i]].min() for i in range(len(ids))]), label):
         label = new
