@@ -1,4 +1,4 @@
 """All registered queries of the library, and their SQL."""
 
-from .queries import listings, people, progress, reports, tables, text  # noqa: F401
+from .queries import imports, listings, people, progress, records, reports, tables, text  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

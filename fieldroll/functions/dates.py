@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import clean_text
+
 #: Month names that dates are written with.
 MONTHS = {
     "january": 1, "februari": 2, "february": 2, "januari": 1, "march": 3, "maret": 3, "april": 4, "may": 5, "mei": 5, "june": 6, "juni": 6, "july": 7, "juli": 7,
     "august": 8, "agustus": 8, "september": 9, "october": 10, "oktober": 10, "november": 11, "december": 12, "desember": 12,
-    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "agu": 8, "sep": 9, "oct": 10, "okt": 10, "nov": 11, "dec": 12, "des": 12,
+    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "agu": 8, "sep": 9, "sept": 9, "oct": 10, "okt": 10, "nov": 11, "dec": 12, "des": 12,
 }
 
 
@@ -32,23 +34,51 @@ def _made(year: Column, month: Column, day: Column) -> Column:
     return F.when((year >= 1900) & (year <= 2200) & (month >= 1) & (month <= 12) & (day >= 1), F.try_to_date(parts, "yyyy-MM-dd"))
 
 
-def any_date(c: Column) -> Column:
-    """ISO; day and month in figures, if only one order is possible; 4 August 2026; August 4th, 2026. Else null."""
+#: The ways in which dates are written.
+ISO = r"(\d{4})-(\d{2})-(\d{2})"
+FIGURES = r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})"
+DAY_FIRST = r"(\d{1,2})\s*[- /]\s*([A-Za-z]+)\s*[-, /]\s*(\d{4})"
+MONTH_FIRST = r"([A-Za-z]+)\s+(\d{1,2})(?:st|nd|rd|th)?\s*,?\s+(\d{4})"
+
+
+def _read(c: Column, whole: bool) -> Column:
     names = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
-    get = lambda pattern, k: F.regexp_extract(c, pattern, k)
+    edged = lambda pattern: f"^{pattern}$" if whole else rf"\b{pattern}\b"
+    get = lambda pattern, k: F.regexp_extract(c, edged(pattern), k)
     number = lambda pattern, k: get(pattern, k).try_cast("int")
-    iso, figures = r"\b(\d{4})-(\d{2})-(\d{2})\b", r"\b(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\b"
-    day_first, month_first = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]+)\.?,?\s+(\d{4})\b", r"\b([A-Za-z]+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b"
-    a, b, year = number(figures, 1), number(figures, 2), number(figures, 3)
-    plain = F.when((a > 12) | (a == b), _made(year, b, a)).when(b > 12, _made(year, a, b))
+    month = lambda pattern, k: F.try_element_at(names, F.lower(get(pattern, k)))
+    first, second = number(FIGURES, 1), number(FIGURES, 2)
     return F.coalesce(
-        _made(number(iso, 1), number(iso, 2), number(iso, 3)),
-        plain,
-        _made(number(day_first, 3), F.try_element_at(names, F.lower(get(day_first, 2))), number(day_first, 1)),
-        _made(number(month_first, 3), F.try_element_at(names, F.lower(get(month_first, 1))), number(month_first, 2)),
+        _made(number(ISO, 1), number(ISO, 2), number(ISO, 3)),
+        F.when((first > 12) | (second > 12), _made(number(FIGURES, 3), second, first)),
+        _made(number(DAY_FIRST, 3), month(DAY_FIRST, 2), number(DAY_FIRST, 1)),
+        _made(number(MONTH_FIRST, 3), month(MONTH_FIRST, 1), number(MONTH_FIRST, 2)),
     )
 
 
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(clean_text(c), "^[.,]+|[.,]+$", "")
+
+
+def any_date(c: Column) -> Column:
+    """The date in a text: ISO; day, month and year in figures, unless both could be the month; 4 August 2026; August 4th, 2026. Else null."""
+    return _read(c, False)
+
+
+def date_value(c: Column) -> Column:
+    """any_date where the text is nothing but the date."""
+    return _read(_bare(c), True)
+
+
+def date_problem(c: Column) -> Column:
+    """Why date_value is null: ambiguous_numeric_date, invalid_date or unrecognized_date_format; null if it isn't."""
+    v = _bare(c)
+    part = lambda k: F.regexp_extract(v, f"^{FIGURES}$", k).try_cast("int")
+    known = v.rlike("|".join(f"^{p}$" for p in (ISO, FIGURES, DAY_FIRST, MONTH_FIRST)))
+    why = F.when((part(1) <= 12) & (part(2) <= 12), "ambiguous_numeric_date").when(known, "invalid_date").otherwise("unrecognized_date_format")
+    return F.when(c.isNotNull() & _read(v, True).isNull(), why)
+
+
 def week_start(c: Column) -> Column:
     """The Monday of the week."""
     return F.trunc(c, "week")

@@ -42,7 +42,8 @@ def review_text(c: Column, most: int = 30_000) -> Column:
 
 
 def bounded_text(c: Column, most: int) -> Column:
-    """Cut at `most` characters, with three dots where something is cut."""
+    """Trimmed and cut at `most` characters, with three dots where something is cut."""
+    c = F.trim(c)
     return F.when(F.length(c) > most, F.concat(F.rtrim(F.substring(c, 1, most - 3)), F.lit("..."))).otherwise(c)
 
 
@@ -64,9 +65,9 @@ def base_name(c: Column) -> Column:
 
 
 def list_text(c: Column, most: int = 500) -> Column:
-    """Trimmed non-empty lines, `most` of them at most."""
-    lines = F.transform(F.split(c, r"\r\n|\r|\n"), F.trim)
-    return F.slice(F.filter(lines, lambda x: x != ""), 1, most)
+    """The first `most` lines: trimmed, at 2,000 characters each, without blank ones."""
+    lines = F.slice(F.split(c, r"\r\n|\r|\n"), 1, most)
+    return F.filter(F.transform(lines, lambda x: review_text(x, 2000)), lambda x: x != "")
 
 
 def numbered_item(c: Column) -> Column:
@@ -80,6 +81,40 @@ def labelled_value(c: Column, *labels: str) -> Column:
     return F.trim(F.regexp_extract(c, rf"(?i)^\s*(?:{names})(?:\s*[:=]\s*|\s{{2,}})(\S.*?)\s*$", 1))
 
 
+def labelled(title: Column, text: Column, fallback: str) -> Column:
+    """'TITLE: text', with a title of its own where there is none."""
+    return F.concat(F.upper(F.coalesce(present(title), F.lit(fallback))), F.lit(": "), text)
+
+
+def appendix_label(number: Column, title: Column, status: Column) -> Column:
+    """Number, title and, in brackets, the status if there is one."""
+    label = F.trim(F.concat(F.coalesce(number, F.lit("")), F.lit("    "), F.coalesce(present(title), F.lit("Appendix"))))
+    return F.concat(label, F.coalesce(F.concat(F.lit("  ["), present(status), F.lit("]")), F.lit("")))
+
+
+def display_name_part(c: Column, fallback: str, most: int = 100) -> Column:
+    """A part of a file name that may hold spaces and brackets; runs of other characters as one dash."""
+    kept = F.regexp_replace(F.coalesce(F.nullif(c, F.lit("")), F.lit(fallback)), "[^A-Za-z0-9._() -]+", "-")
+    own = F.substring(F.regexp_replace(kept, "^[ ._-]+|[ ._-]+$", ""), 1, most)
+    return F.coalesce(F.nullif(own, F.lit("")), F.lit(fallback))
+
+
+def report_file_name(kind: Column, project: Column, start: Column, end: Column, mode: Column, revision: Column) -> Column:
+    name = F.format_string("%s Progress Report - %s - %s to %s (%s) - R%s.pdf", F.initcap(kind), display_name_part(project, "Project"),
+        display_name_part(start, "Start"), display_name_part(end, "End"), display_name_part(F.upper(mode), "DRAFT"), revision.cast("string"))
+    return name
+
+
+#: Months in letters' numbers.
+ROMAN = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII")
+
+
+def letter_number(sequence: Column, date: Column, office: str) -> Column:
+    """0001/office/VII/2026."""
+    month = F.get(F.array(*map(F.lit, ROMAN)), F.month(date) - 1)
+    return F.format_string("%04d/%s/%s/%d", sequence, F.lit(office), month, F.year(date))
+
+
 def described(m: Column) -> Column:
     """A map as 'Label: value; ...'."""
     return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; ")

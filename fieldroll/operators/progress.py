@@ -58,14 +58,42 @@ def totals(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
     return own.withColumn("deviation", F.round(F.col("to_date_actual") - F.col("to_date_plan"), 6))
 
 
+#: What a row of totals is called in data that come with one.
+TOTAL_LABELS = ("total", "total overall")
+
+
+def detail(rows: DataFrame, label: str) -> DataFrame:
+    """rows without those of totals and those without a label."""
+    word = F.lower(F.trim(label))
+    return rows.where((word != "") & ~word.isin(*TOTAL_LABELS))
+
+
 def with_total_row(rows: DataFrame, label: str, keys: list[str] = ()) -> DataFrame:
-    """Review rows (label, weight, previous, this, plan) with to_date and variance, and a total row for each key whose weights add up to more than 0."""
-    detail = rows.withColumn("to_date", F.col("previous") + F.col("this")).withColumn("is_total", F.lit(False))
-    total = lambda v: F.round(F.sum(F.col("weight") * F.col(v) / 100), 4).alias(v)
-    sums = detail.groupBy(*keys).agg(F.sum("weight").alias("weight"), *(total(v) for v in ("previous", "this", "plan"))).where("weight > 0")
-    sums = sums.withColumn("to_date", F.round(F.col("previous") + F.col("this"), 4)).withColumn(label, F.lit("Total")).withColumn("is_total", F.lit(True))
-    names = [*keys, label, "weight", "previous", "this", "to_date", "plan", "is_total"]
-    return detail.select(*names).unionByName(sums.select(*names)).withColumn("variance", F.round(F.col("to_date") - F.col("plan"), 4))
+    """Review rows (label, weight, previous, this, plan) with to_date and variance, and a total row for each key whose weights add up to more than 0.
+
+    A negative weight counts as 0. Rows are rounded to 4 places and totals add these up; a total's to_date and variance come from its unrounded sums.
+    """
+    to_4 = lambda c: F.round(c, 4)
+    both = F.col("previous") + F.col("this")
+    shown = rows.withColumns({
+        "weight": F.greatest("weight", F.lit(0.0)), "to_date": to_4(both), "variance": to_4(both - F.col("plan")), "is_total": F.lit(False),
+        **{v: to_4(F.col(v)) for v in ("previous", "this", "plan")},
+    })
+    share = lambda v: F.sum(F.col("weight") * F.col(v) / 100).alias(v)
+    sums = shown.groupBy(*keys).agg(F.sum("weight").alias("weight"), *(share(v) for v in ("previous", "this", "plan"))).where("weight > 0")
+    sums = sums.withColumns({
+        "weight": to_4(F.col("weight")), "to_date": to_4(both), "variance": to_4(both - F.col("plan")), label: F.lit("Total"), "is_total": F.lit(True),
+        **{v: to_4(F.col(v)) for v in ("previous", "this", "plan")},
+    })
+    names = [*keys, label, "weight", "previous", "this", "to_date", "plan", "is_total", "variance"]
+    return shown.select(*names).unionByName(sums.select(*names))
+
+
+def summary(rows: DataFrame, position: str, label: str) -> DataFrame:
+    """text: the last row of totals as a sentence. rows: label, to_date, plan, variance, is_total."""
+    total = rows.where(F.col("is_total") | F.contains(F.lower(label), F.lit("total")))
+    last = total.agg(F.max_by(F.struct("to_date", "plan", "variance"), position).alias("t"))
+    return last.where("t is not null").select(F.format_string("Overall progress is %.2f%% against a plan of %.2f%% (variance %+.2f%%).", "t.to_date", "t.plan", "t.variance").alias("text"))
 
 
 def s_curve(rows: DataFrame, position: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .revisions import first_per_key, latest
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old with the rows of new over them, key by key."""
@@ -15,6 +17,24 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, *(F.col(f"__row.`{c}`").alias(c) for c in rest)).select(*old.columns)
 
 
+def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old and the rows of new whose keys it doesn't hold."""
+    return old.unionByName(new.select(*old.columns).join(old.select(*keys), keys, "left_anti").select(*old.columns))
+
+
+def known_projects(rows: DataFrame, title: str, number: str, position: str) -> DataFrame:
+    """Pairs of title and number, trimmed: the first of those that differ in case only; without blank and overlong ones (300, 150 characters)."""
+    own = rows.select(F.trim(title).alias(title), F.trim(number).alias(number), position)
+    own = own.where(F.length(title).between(1, 300) & F.length(number).between(1, 150))
+    return first_per_key(own, [F.lower(title), F.lower(number)], [position])
+
+
+def latest_context(rows: DataFrame, keys: list[str], order: list[str], defaults: dict[str, str]) -> DataFrame:
+    """Each key's latest record's fields, with a default where one is null."""
+    own = latest(rows, keys, order)
+    return own.select(*keys, *(F.coalesce(c, F.lit(d)).alias(c) for c, d in defaults.items()))
+
+
 def overlay(defaults: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Field by field: the stored value where there is one, else the default."""
     rest = [c for c in defaults.columns if c not in keys]

@@ -48,7 +48,7 @@ def agg15_weighted_totals(spark, sf_dir):
 
 REVIEW_SQL = """WITH d AS (SELECT l_linestatus AS kind, l_returnflag AS label, sum(l_quantity) AS weight, round(sum(l_discount * 100)) AS previous, round(sum(l_tax * 100)) AS this, round(sum(l_tax * 100)) + 7 AS plan FROM lineitem GROUP BY ALL),
     t AS (SELECT kind, label, weight, previous, this, previous + this AS to_date, plan, false AS is_total FROM d
-    UNION ALL SELECT kind, 'Total', sum(weight), round(sum(weight * previous / 100), 4), round(sum(weight * this / 100), 4), round(round(sum(weight * previous / 100), 4) + round(sum(weight * this / 100), 4), 4), round(sum(weight * plan / 100), 4), true FROM d GROUP BY kind HAVING sum(weight) > 0)"""
+    UNION ALL SELECT kind, 'Total', sum(weight), round(sum(weight * previous / 100), 4), round(sum(weight * this / 100), 4), round(sum(weight * previous / 100) + sum(weight * this / 100), 4), round(sum(weight * plan / 100), 4), true FROM d GROUP BY kind HAVING sum(weight) > 0)"""
 
 
 def review(spark, sf_dir):

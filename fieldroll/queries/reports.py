@@ -144,7 +144,7 @@ def enum01_status(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", enums.status(word).alias("status"))
 
 
-@query("""SELECT event_type, CASE WHEN contains(event_type, 'delete') THEN 'danger' WHEN contains(event_type, 'login') THEN 'info' WHEN contains(event_type, 'generate') THEN 'success' ELSE 'plain' END AS badge, count(*) AS n FROM events GROUP BY ALL""")
+@query("""SELECT event_type, CASE WHEN contains(event_type, 'generate') THEN 'primary' WHEN contains(event_type, 'login') THEN 'success' WHEN contains(event_type, 'logout') THEN 'secondary' WHEN contains(event_type, 'draft') THEN 'info' WHEN contains(event_type, 'delete') THEN 'danger' WHEN contains(event_type, 'letter') THEN 'warning' ELSE 'light' END AS badge, count(*) AS n FROM events GROUP BY ALL""")
 def enum02_badges(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type", enums.badge(F.col("event_type")).alias("badge")).agg(F.count("*").alias("n"))
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 RECORD_TYPE = "daily_report"
 
@@ -21,6 +26,59 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.try_parse_json("value").alias("doc")).where("doc is not null")
 
 
+def array_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of files that are JSON arrays of objects, with file and position. A file that can't be read as such counts as empty."""
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    rows = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
+    own = text.select(F.col("_metadata.file_path").alias("file"), F.posexplode(rows).alias("position", "row"))
+    return own.select("file", "position", F.try_variant_get("row", "$", f"struct<{schema}>").alias("r")).where("r is not null").select("file", "position", "r.*")
+
+
+def file_list(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """file, name, modified and size_bytes of the files whose name matches a pattern; contents aren't read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+    own = rows.select(F.col("path").alias("file"), F.substring_index("path", "/", -1).alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("size_bytes"))
+    return own.where(F.col("name").rlike(f"^{name}$"))
+
+
+#: Fields that hold images or signatures inline, and how such contents look.
+INLINE_FIELDS = ("img_data", "image_data", "signature_data", "photo_path")
+DATA_URI = r"(?i)^\s*data:[^,]*;base64,"
+
+
+def without_inline(doc: Column) -> Column:
+    """JSON text without inline images and signatures, at any depth; null if it isn't JSON. Built-in functions take no recursion: Arrow batches."""
+    return _cleaned(doc)
+
+
+@F.pandas_udf(StringType())
+def _cleaned(docs: pd.Series) -> pd.Series:
+    inline = re.compile(DATA_URI)
+
+    def dropped(key: str, value) -> bool:
+        if key in INLINE_FIELDS:
+            return True
+        if not isinstance(value, str):
+            return False
+        bare = "".join(value.split())
+        return bool(inline.match(value)) or key == "sig" and len(bare) >= 128 and re.fullmatch("[A-Za-z0-9+/]+={0,2}", bare) is not None
+
+    def cleaned(value):
+        if isinstance(value, dict):
+            return {k: cleaned(v) for k, v in value.items() if not dropped(k, v)}
+        if isinstance(value, list):
+            return [cleaned(v) for v in value if not dropped("", v)]
+        return None if dropped("", value) else value
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(cleaned(json.loads(text)), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return None
+
+    return docs.map(one)
+
+
 def field(doc: Column, name: str, kind: str = "string", default=None) -> Column:
     """The top value unless null or empty, else the payload's, else the default."""
     top = F.try_variant_get(doc, f"$.{name}", "string")
