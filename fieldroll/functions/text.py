@@ -130,7 +130,7 @@ def page_text(c: Column) -> Column:
     """Line ends as one newline, no-break spaces as spaces, byte order marks and control characters gone, lines without trailing space."""
     c = F.regexp_replace(nfkc(c), r"\r\n?", "\n")
     c = F.regexp_replace(c, "[﻿\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
-    return F.regexp_replace(c, r"(?m)[ \t ]+$", "")
+    return F.regexp_replace(c, r"(?m)(?<![ \t ])[ \t ]++$", "")
 
 
 @F.pandas_udf(StringType())

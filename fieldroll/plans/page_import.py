@@ -51,25 +51,34 @@ AREA_END = r"(?i)\b(?:Direct|Indirect)\s+Manpower\b|^\s*(?:Constraints|Remarks)\
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """doc_id, page, line_no, text and compact (white space collapsed). pages: doc_id, page, text."""
-    own = ln.line_rows(pages.withColumn("text", tx.page_text(F.col("text"))), "doc_id", "text", F.col("page"))
-    return own.withColumn("compact", tx.clean_text(F.col("text")))
+    split = F.transform(F.split(tx.page_text(F.col("text")), "\n"), lambda x: F.struct(x.alias("text"), tx.clean_text(x).alias("compact")))
+    own = pages.select("doc_id", "page", F.posexplode(split).alias("line_no", "line"))
+    return own.select("doc_id", "page", (F.col("line_no") + 1).alias("line_no"), "line.text", "line.compact")
 
 
 def section_key(label: Column, likely: float = 95.0, margin: float = 8.0) -> Column:
     """The section that a heading names; a heading in capitals may differ a little if no other section is nearly as like."""
     known = F.create_map(*(F.lit(x) for pair in SECTIONS.items() for x in pair))
-    word = tx.section_label(label)
-    scores = F.array(*(F.struct(tx.similarity(word, F.lit(name)).alias("score"), F.lit(key).alias("key")) for name, key in SECTIONS.items()))
-    best = F.reverse(F.array_sort(scores))
-    near = F.when((best[0]["score"] >= likely) & (best[0]["score"] - best[1]["score"] >= margin), best[0]["key"])
+    names = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(key).alias("key")) for name, key in SECTIONS.items()))
+    none = F.struct(F.lit(-1.0).alias("best"), F.lit(-1.0).alias("second"), F.lit("").alias("key"))
+
+    def step(word: Column, so_far: Column, x: Column) -> Column:
+        return F.transform(F.array(tx.similarity(word, x["name"])), lambda score: F.when(
+            score > so_far["best"], F.struct(score.alias("best"), so_far["best"].alias("second"), x["key"].alias("key"))
+        ).otherwise(F.struct(so_far["best"].alias("best"), F.greatest(so_far["second"], score).alias("second"), so_far["key"].alias("key"))))[0]
+
+    ended = lambda x: F.when((x["best"] >= likely) & (x["best"] - x["second"] >= margin), x["key"])
+    near = F.transform(F.array(tx.section_label(label)), lambda word: F.aggregate(names, none, lambda so_far, x: step(word, so_far, x), ended))[0]
     eligible = (label == F.upper(label)) & (F.size(F.split(label, " ")) <= 12) & (F.length(label) <= 120)
-    return F.coalesce(F.try_element_at(known, word), F.when(eligible, near))
+    return F.coalesce(F.try_element_at(known, tx.section_label(label)), F.when(eligible, near))
 
 
-def labelled_fields(rows: DataFrame) -> DataFrame:
-    """doc_id and the first labelled value of each field: behind the label, else the next line that isn't blank.
+def document_fields(rows: DataFrame) -> DataFrame:
+    """doc_id, the first labelled value of each field, and the dates and days that stand without a label.
 
-    That line is one of the next two, on the same page, and neither a label nor a numbered heading.
+    A value follows its label, or is the next line that isn't blank: one of the next two, on the same page, neither a
+    label nor a numbered heading. first_date, last_date (ISO) and first_day, last_day ('Day N') are the smallest and the
+    largest in the text: where both are equal, there is only one.
     """
     order = Window.partitionBy("doc_id").orderBy("page", "line_no")
     ahead = [F.struct(F.lead("compact", k).over(order).alias("text"), F.lead("page", k).over(order).alias("page")) for k in (1, 2)]
@@ -87,18 +96,16 @@ def labelled_fields(rows: DataFrame) -> DataFrame:
             return F.nullif(F.regexp_extract(rest, DAY_NUMBER, 1), F.lit(""))
         return F.when(F.col("compact").rlike(pattern), F.coalesce(F.nullif(rest, F.lit("")), "__next"))
 
-    at = F.struct("page", "line_no")
     found = {field: F.coalesce(*(value(field, label) for label in labels)) for field, labels in LABELS.items()}
-    return own.groupBy("doc_id").agg(*(F.min_by(v, F.when(v.isNotNull(), at)).alias(field) for field, v in found.items()))
-
-
-def lone_values(rows: DataFrame) -> DataFrame:
-    """doc_id and, without labels: the smallest and largest ISO date, the smallest and largest 'Day N'. Where both are equal, it is the only one."""
-    written = F.regexp_extract_all("text", F.lit(r"(?<!\d)(\d{4}-\d{2}-\d{2})(?!\d)"), F.lit(1))
-    days = F.array_compact(F.transform(written, dates.date_value))
+    days = F.array_compact(F.transform(F.regexp_extract_all("text", F.lit(r"(?<!\d)(\d{4}-\d{2}-\d{2})(?!\d)"), F.lit(1)), dates.date_value))
     numbers = F.regexp_extract_all("text", F.lit(r"(?i)\bDay\s+(\d{1,6})\b"), F.lit(1))
-    pick = {"first_date": F.min(F.array_min(days)), "last_date": F.max(F.array_max(days)), "first_day": F.min(F.array_min(numbers)), "last_day": F.max(F.array_max(numbers))}
-    return rows.groupBy("doc_id").agg(*(v.alias(name) for name, v in pick.items()))
+    own = own.withColumn("labelled", F.col("compact").rlike(rf"(?i)^(?:{anything})"))
+    own = own.select("doc_id", F.struct("page", "line_no").alias("at"), *(F.when(F.col("labelled"), v).alias(field) for field, v in found.items()), days.alias("days"), numbers.alias("numbers"))
+    return own.groupBy("doc_id").agg(
+        *(F.min_by(field, F.when(F.col(field).isNotNull(), F.col("at"))).alias(field) for field in found),
+        F.min(F.array_min("days")).alias("first_date"), F.max(F.array_max("days")).alias("last_date"),
+        F.min(F.array_min("numbers")).alias("first_day"), F.max(F.array_max("numbers")).alias("last_day"),
+    )
 
 
 def sectioned(rows: DataFrame) -> DataFrame:
@@ -151,13 +158,13 @@ def import_pages(pages: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
     rows = page_lines(pages)
     told = sectioned(rows)
     items = activities(told)
-    own = labelled_fields(rows).join(lone_values(rows), "doc_id").withColumnsRenamed({"date": "date_raw", "day_no": "day_label"})
-    own = matching.exact_unique(own, "project_no", known.withColumnsRenamed({"project_no": "known_no"}).withColumn("known", F.struct("project_id", "title")), "known_no", "known")
     parts = told.where("section in ('daily_activities', 'remarks') and trim(text) <> ''").groupBy("doc_id").agg(
         F.bool_or(F.col("section") == "daily_activities").alias("told_activities"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == "remarks", F.struct("page", "line_no", "compact")))), lambda r: r["compact"]), " ").alias("global_remarks"),
     )
+    own = document_fields(rows).withColumnsRenamed({"date": "date_raw", "day_no": "day_label"})
     own = own.join(parts, "doc_id", "left").join(items.groupBy("doc_id").agg(F.count("*").alias("n_activities")), "doc_id", "left")
+    own = matching.exact_unique(own, "project_no", known.withColumnsRenamed({"project_no": "known_no"}).withColumn("known", F.struct("project_id", "title")), "known_no", "known")
 
     labelled = F.col("date_raw").isNotNull()
     alone, one_day = F.col("first_date") == F.col("last_date"), F.col("first_day") == F.col("last_day")
