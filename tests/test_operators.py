@@ -169,3 +169,11 @@ def test_streams(spark, tmp_path, sf_dir):
     upsert_stream(stream, str(tmp_path / "out"), ["user_id"], ["value", "event_id"], str(tmp_path / "cp")).awaitTermination()
     got = latest(spark.read.parquet(str(tmp_path / "out")).select("user_id", "event_id", "value"), ["user_id"], ["value", "event_id"])
     assert sorted(got.collect()) == sorted(latest(events, ["user_id"], ["value", "event_id"]).collect())
+
+
+def test_array_files_and_file_lists(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"name": "x", "n": 1}, {"name": "y"}]')
+    (tmp_path / "b.json").write_text("[broken")
+    rows = docs.array_files(spark, str(tmp_path), "name string, n int").orderBy("position").collect()
+    assert [(r.position, r.name, r.n) for r in rows] == [(0, "x", 1), (1, "y", None)]
+    assert [(r.name, r.size_bytes) for r in docs.file_list(spark, str(tmp_path), r"b\.json").collect()] == [("b.json", 7)]
