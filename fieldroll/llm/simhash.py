@@ -6,9 +6,11 @@ linked pair; distinct fingerprints meet under each of these keys. There they are
 w of plane p holds bit p of 64 fingerprints. Each plane's differences from a query are added to carry-save
 counters for all 64 at once, and a word is abandoned when all of its lanes are over the radius.
 
-Where a fingerprint of 64 bits is too coarse (deduplicated), a second word of 64 bits goes with it: fingerprints
-meet by either word as above at a wider radius, and a pair is linked if all 128 bits differ in few enough places.
-At a Jaccard similarity j of the shingles about acos(2j / (1 + j)) / pi of the bits differ.
+Where a fingerprint of 64 bits is too coarse (deduplicated), groups are of a similarity of the shingle sets itself.
+Two sets at a Jaccard similarity of t share one of the first n - ceil(t * n) + 1 of their n shingles in any one order;
+texts meet under these, the bit-sliced search with a second word of 64 bits leaves the pairs that may be similar, and
+a pair is linked only if its shingle sets, compared in full, are. The bound of that search is wide: at a similarity
+j about acos(2j / (1 + j)) / pi of the bits differ, some 19 of 128 at 0.8, and pairs at 41 or fewer are compared.
 
 Only a spanning forest of each group's links goes on, so a large group of near copies sends as many rows
 as it has members, and pairs already joined are not compared again. Copies share a fingerprint and are
@@ -21,6 +23,7 @@ table gives an empty result; repeated rows give repeated results; other columns
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -74,14 +77,40 @@ def wide_fingerprint(text: str | None, shingle: int, seed: int = SEED) -> tuple[
     return int(first), int(second)
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """id, fp and more (two words of 64 bits as signed longs)."""
+def shingle_set(text: str | None, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text's distinct shingles: their 64-bit hashes in rising order, and 16 bytes of hash of each."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros((0, 16), np.uint8)
+    joined, digest = b" ".join(words), xxhash.xxh3_128_digest
+    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
+    starts = [0, *(e + 1 for e in ends[: max(0, len(ends) - shingle)])]
+    flat = b"".join([digest(joined[s:e]) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :])])
+    values, at = np.unique(np.frombuffer(flat, np.uint64)[::2], return_index=True)
+    return values, np.frombuffer(flat, np.uint8).reshape(-1, 16)[at]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pairs = np.array([wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["id", "fp", "more"])
 
-    return map_batches(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("t")), run, "id long, fp long, more long")
+def shingled(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """id, h (hash of the text), node (hash of the set of shingles), fp and more (its fingerprint), prefix (its first shingles)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nodes, prints, prefixes = [], [], []
+        for text in batch.column(2).to_pylist():
+            values, rows = shingle_set(text, shingle)
+            counts = np.zeros(128, np.int64)
+            for at in range(0, len(rows), 1 << 13):
+                counts += np.unpackbits(rows[at : at + (1 << 13)], axis=1, bitorder="little").sum(0, dtype=np.int64)
+            nodes.append(xxhash.xxh3_64_intdigest(values.tobytes()))
+            prints.append(np.packbits(2 * counts > len(rows), bitorder="little").view(np.int64))
+            prefixes.append(values[: len(values) - math.ceil(similarity * len(values) - 1e-9) + 1].view(np.int64))
+        words = np.array(prints, np.int64).reshape(-1, 2)
+        ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+        prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
+        node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], node, pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy()), prefix], ["id", "h", "node", "fp", "more", "prefix"])
+
+    rows = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text_col).alias("h"), docs[text_col].alias("t"))
+    return map_batches(rows, run, "id long, h long, node long, fp long, more long, prefix array<long>")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -101,10 +130,12 @@ def masks(blocks: int = RADIUS + 2, same: int = 2) -> list[int]:
     return [m - (1 << 64) if (m := sum(x)) >= 1 << 63 else m for x in combinations(own, same)]
 
 
-def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int = RADIUS, more: np.ndarray | None = None, most: int = 128) -> np.ndarray:
+def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int = RADIUS, more: np.ndarray | None = None, most: int = 128, start: np.ndarray | None = None, pairs: list | None = None) -> np.ndarray:
     """A label for each value: the smallest row that it is linked to, through pairs (i, j) with low[i] <= j < high[i].
 
     more: a second word of each value; a pair is then linked only if both words together differ in `most` bits or fewer.
+    start: labels to begin with; pairs of the same label aren't compared.
+    pairs: gets every pair found (an array of each side) in place of linking it.
     """
     n, every = len(values), np.uint64(0xFFFFFFFFFFFFFFFF)
     width = -(-n // 64)
@@ -113,6 +144,8 @@ def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int =
     planes = np.ascontiguousarray(np.packbits(bits, axis=0, bitorder="little").T).view(np.uint64)
     queries = np.ascontiguousarray(bits[:n].T).astype(bool)
     forest = Forest(n)
+    if start is not None:
+        forest.label = start
     some = np.flatnonzero(high > low)
     words = np.zeros(n, np.int64)
     words[some] = (high[some] - 1) // 64 - low[some] // 64 + 1
@@ -160,7 +193,11 @@ def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int =
             if more is not None:
                 close = np.bitwise_count(values[a] ^ values[b]).astype(np.int64) + np.bitwise_count(more[a] ^ more[b]) <= most
                 a, b = a[close], b[close]
-            forest.link(a, b)
+            if pairs is None:
+                forest.link(a, b)
+            else:
+                apart = forest.label[a] != forest.label[b]
+                pairs.append((a[apart], b[apart]))
     return forest.label
 
 
@@ -176,41 +213,117 @@ def above(count: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
     return more
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, most: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """nodes: node, fp (and more, if most is given), each fingerprint once. Links (a, b) that span the same components as all linked pairs.
+def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """nodes: node, fp, each fingerprint once. Links (a, b) that span the same components as all linked pairs."""
+    rows = nodes.select("node", F.col("fp").alias("word"), F.posexplode(F.array(*map(F.lit, masks(radius + 2, 2)))).alias("t", "mask"))
+    rows = rows.withColumn("key", F.col("word").bitwiseAND(F.col("mask"))).drop("mask")
 
-    With `most`, both words are searched: pairs that differ in radius bits or fewer of either and in `most` or fewer of both.
-    Where most <= 2 * radius + 1 one word of every such pair is within the radius, so that none is lost.
-    """
-    of = masks(radius + 2, 2)
-    turns = [("fp", "fp")] if most is None else [("fp", "more"), ("more", "fp")]
-    rows = nodes.select("node", F.inline(F.array(*(F.struct(F.lit(len(of) * k).alias("from"), F.col(a).alias("word"), F.col(b).alias("other")) for k, (a, b) in enumerate(turns)))))
-    rows = rows.select("node", "word", *([] if most is None else ["other"]), "from", F.posexplode(F.array(*map(F.lit, of))).alias("k", "mask"))
-    rows = rows.withColumn("t", F.col("from") + F.col("k")).withColumn("key", F.col("word").bitwiseAND(F.col("mask"))).drop("from", "k", "mask")
+    def run(table: pa.Table, cuts: np.ndarray) -> pa.Table | None:
+        got = paired(table, cuts)
+        if got is None:
+            return None
+        get, low, high = got
+        label = compare(get("word").view(np.uint64), low, high, radius)
+        node = get("node")
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": node[linked], "b": node[label[linked]]})
+
+    return map_groups(dealt(rows, ["t", "key"], "node", chunk), ["t", "key", "first", "second"], run, "a long, b long")
+
+
+def paired(table: pa.Table, cuts: np.ndarray) -> tuple | None:
+    """Columns by name, and ranges, of the rows in groups of two or more."""
+    sizes = np.diff(cuts)
+    pick = np.repeat(sizes > 1, sizes)
+    if not pick.any():
+        return None
+    get = lambda name: table.column(name).to_numpy()[pick]
+    own = np.concatenate([[0], np.cumsum(sizes[sizes > 1])])
+    return get, *ranges(own, get("first"), get("second"), get("side"))
+
+
+def shared(nodes: DataFrame) -> DataFrame:
+    """key, node: the shingles in prefixes of two or more nodes."""
 
     def run(table: pa.Table, cuts: np.ndarray) -> pa.Table | None:
         sizes = np.diff(cuts)
         pick = np.repeat(sizes > 1, sizes)
-        if not pick.any():
+        return table.filter(pa.array(pick)) if pick.any() else None
+
+    rows = nodes.select(F.explode("prefix").alias("key"), "node")
+    return map_groups(rows.repartition("key").sortWithinPartitions("key"), ["key"], run, "key long, node long")
+
+
+def candidates(rows: DataFrame, radius: int, every: bool, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b) of nodes with the same key whose 128 bits differ in 2 * radius + 1 or fewer; rows: key, node, fp, more, component.
+
+    Not `every`: only pairs of a spanning forest of each group. `every`: all pairs of different components.
+    """
+
+    def run(table: pa.Table, cuts: np.ndarray) -> pa.Table | None:
+        got = paired(table, cuts)
+        if got is None:
             return None
-        get = lambda name: table.column(name).to_numpy()[pick]
-        own = np.concatenate([[0], np.cumsum(sizes[sizes > 1])])
-        low, high = ranges(own, get("first"), get("second"), get("side"))
-        second = None if most is None else get("other").view(np.uint64)
-        label = compare(get("word").view(np.uint64), low, high, radius, second, 128 if most is None else most)
-        node = get("node")
+        get, low, high = got
+        node, words = get("node"), [get(c).view(np.uint64) for c in ("fp", "more")]
+        if every:
+            _, at, own = np.unique(get("component"), return_index=True, return_inverse=True)
+            found: list = []
+            for k in (0, 1):
+                compare(words[k], low, high, radius, words[1 - k], 2 * radius + 1, at[own], found)
+            a, b = (np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            return pa.table({"a": node[a], "b": node[b]})
+        label = np.arange(len(node))
+        for k in (0, 1):
+            label = compare(words[k], low, high, radius, words[1 - k], 2 * radius + 1, label)
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": node[linked], "b": node[label[linked]]})
 
-    return map_groups(dealt(rows, ["t", "key"], "node", chunk), ["t", "key", "first", "second"], run, "a long, b long")
+    found = map_groups(dealt(rows, ["key"], "node", chunk), ["key", "first", "second"], run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have that Jaccard similarity or more; sets: node, set (sorted 64-bit hashes as bytes)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b").select("a", "b", "one", "two")
+    return map_batches(rows, run, "a long, b long")
+
+
+def similar_classes(docs: DataFrame, own: DataFrame, text_col: str, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """node, component: the groups of nodes joined by pairs of that similarity or more, for nodes in such pairs."""
+    nodes = written(own.groupBy("node").agg(F.min("h").alias("h"), *(F.first(c).alias(c) for c in ("fp", "more", "prefix"))), "nodes")
+    rows = written(shared(nodes).join(nodes.select("node", "fp", "more"), "node"), "shared")
+    # First a few pairs of each group, so that of a large group of near copies not all pairs are compared in full.
+    few = written(candidates(rows.withColumn("component", F.col("node")), radius, False), "candidates")
+    close = written(few.select(F.col("a").alias("node")).union(few.select("b")).distinct(), "close")
+    texts = docs.select(F.xxhash64(text_col).alias("h"), docs[text_col].alias("t"))
+    texts = texts.join(nodes.select("node", "h").join(close, "node"), "h").dropDuplicates(["node"])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, shingle)[0].tobytes() for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+
+    sets = written(map_batches(texts.select("node", "t"), run, "node long, set binary"), "sets")
+    first = written(similar(few, sets, similarity), "similar")
+    joined = close.join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    rest = candidates(rows.join(written(joined, "components"), "node"), radius, True)
+    return components(first.union(similar(rest, sets, similarity)))
 
 
-def classes(own: DataFrame, radius: int = RADIUS, most: int | None = None) -> DataFrame:
-    """Each fingerprint with component_id, the smallest id reachable from it; own: id, fp (and more, if most is given)."""
-    words = ["fp"] if most is None else ["fp", "more"]
-    nodes = written(own.groupBy(*words).agg(F.min("id").alias("node")), "nodes")
-    found = components(links(nodes.where("node is not null"), radius, most))
-    return nodes.join(found, "node", "left").select(*words, F.coalesce("component", "node").alias("component_id"))
+def classes(own: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Each fingerprint with component_id, the smallest id reachable from it; own: id, fp."""
+    nodes = written(own.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
+    found = components(links(nodes.where("node is not null"), radius))
+    return nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -220,22 +333,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 9, most: int = 19) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
     """docs with one row of each group: that of the smallest id, and of rows with that id the one whose text hashes lowest.
 
-    Groups are of fingerprints of 128 bits that differ in `most` (19 is a similarity of some 0.8) or fewer; one of their
-    words then differs in `radius` or fewer. A row without an id stays only if no row with one is in its group, one row for each fingerprint.
+    Groups are joined by pairs of texts whose sets of shingles have a Jaccard similarity of `similarity` or more. Pairs whose
+    fingerprints differ in over 2 * radius + 1 of 128 bits are taken to be less similar. A row without an id stays only
+    if no row with one is in its group.
     """
-    own = written(wide_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    of = written(classes(own, radius, most), "classes")
-    names = docs.columns
-    kept = of.where("component_id is not null").select(F.col("component_id").alias("__id")).distinct()
-    rows = docs.join(kept, docs[id_col].cast("long") == F.col("__id"), "left_semi")
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    first = rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*names)
-    key = F.xxhash64(text_col)
-    nameless = docs.where(F.col(id_col).isNull())
-    again = wide_fingerprints(nameless.select(key.alias("id"), F.col(text_col).alias("t")), "id", "t", shingle).distinct()
-    again = again.join(of.where("component_id is null").select("fp", "more"), ["fp", "more"], "left_semi").select(F.col("id").alias("__key"), F.struct("fp", "more").alias("__f"))
-    alone = nameless.join(again, key == F.col("__key")).dropDuplicates(["__f"])
-    return first.unionByName(alone.select(*names))
+    own = written(shingled(docs, id_col, text_col, shingle, similarity), "shingled")
+    of = similar_classes(docs, own, text_col, shingle, similarity, radius)
+    group = own.select("id", "h", "node").join(of, "node", "left").groupBy(F.coalesce("component", "node"))
+    kept = group.agg(F.min(F.struct(F.isnull("id").alias("no"), "id", "h")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"))
+    rows = docs.withColumn("__key", F.xxhash64(text_col))
+    rows = rows.join(kept, rows[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left_semi")
+    one = Window.partitionBy(id_col, "__key").orderBy("__key")
+    return rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
