@@ -95,22 +95,59 @@ class Memo(dict):
         return value
 
 
+#: Characters of words whose n-grams are made at once.
+GRAM_BLOCK = 1 << 20
+#: Characters of words that a worker's cache holds before it is emptied.
+CACHE_CHARACTERS = 1 << 24
+
+
+def gram_blocks(words: list[str], shortest: int, longest: int, buckets: int, block: int = GRAM_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the character n-grams of words (whole, with edges), and each one's word, for some `block` characters at a time.
+
+    Blocks end between words; a word of more than `block` characters has blocks of its own, each with what its last n-grams reach into.
+    """
+    if not words:
+        return
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < len(words):
+        first = int(ends[at] - lengths[at])
+        to = max(at + 1, int(np.searchsorted(ends, first + block, side="right")))
+        for start in range(first, int(ends[to - 1]), block):
+            stop = min(start + block, int(ends[to - 1]))
+            own = codes[start : stop + longest - 1].astype(np.uint64)
+            size = stop - start
+            word = np.repeat(np.arange(at, to, dtype=np.int32), np.minimum(ends[at:to], stop) - np.maximum(ends[at:to] - lengths[at:to], start))
+            left = ends[word] - np.arange(start, stop)  # characters up to the word's end
+            found, of = [], []
+            value = np.zeros(size, np.uint64)
+            for n in range(1, longest + 1):
+                ahead = np.zeros(size, np.uint64)
+                part = own[n - 1 : n - 1 + size]
+                ahead[: len(part)] = part
+                value = value * np.uint64(0x100000001B3) + ahead + np.uint64(n)
+                if n >= shortest:
+                    whole = left >= n
+                    mixed = value[whole] * np.uint64(0x9E3779B97F4A7C15)
+                    found.append(((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32))
+                    of.append(word[whole])
+            yield np.concatenate(found), np.concatenate(of)
+        at = to
+
+
 def word_grams(words: list[str], shortest: int, longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the character n-grams of words (their first 64 characters, with edges), and each one's word."""
-    cut = [f"<{w[:64]}>" for w in words]
-    codes = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = np.fromiter(map(len, cut), np.int64, len(cut))
-    word = np.repeat(np.arange(len(cut)), lengths)
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # characters up to the word's end
-    found, of = [], []
-    value = np.zeros(len(codes), np.uint64)
-    for n in range(1, longest + 1):
-        ahead = np.zeros_like(codes)
-        ahead[: len(codes) - n + 1] = codes[n - 1 :]
-        value = value * np.uint64(0x100000001B3) + ahead + np.uint64(n)
-        if n >= shortest:
-            whole = left >= n
-            mixed = value[whole] * np.uint64(0x9E3779B97F4A7C15)
-            found.append(((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
-            of.append(word[whole])
-    return np.concatenate(found), np.concatenate(of)
+    """Buckets of all character n-grams of words, and each one's word."""
+    parts = list(gram_blocks(words, shortest, longest, buckets)) or [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def gram_sums(words: list[str], weights: list[np.ndarray], shortest: int, longest: int, buckets: int) -> np.ndarray:
+    """For each array of weights by bucket, the sum over each word's n-grams."""
+    out = np.zeros((len(weights), len(words)))
+    for gram, word in gram_blocks(words, shortest, longest, buckets):
+        low, high = (int(word.min()), int(word.max()) + 1) if len(word) else (0, 0)
+        for k, own in enumerate(weights):
+            out[k, low:high] += np.bincount(word - low, own[gram], high - low)
+    return out

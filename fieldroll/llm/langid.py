@@ -1,6 +1,6 @@
 """Language identification as inference of a multilingual mixture.
 
-Learning counts hashed character n-grams (1 to ORDER, with word edges) per language over all labelled
+Learning counts hashed character n-grams (1 to ORDER, with word edges, of whole runs of letters) per language over all labelled
 rows: each task adds up its own counts, and only the sums per language and bucket are shuffled, at
 most BUCKETS of them per language. The model is one float table of that bound.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, word_grams
+from .common import CACHE_CHARACTERS, gram_blocks, gram_sums, map_batches
 
 ORDER = 3
 BUCKETS = 1 << 16
@@ -61,15 +61,16 @@ class Scorer:
         self.model = model
         self.rows = np.zeros((1024, max(1, len(model.langs))), np.float32)
         self.index: dict[str, int] = {}
+        self.characters = 0
 
     def number(self, words: list[str]) -> None:
         """Gives words that are new a row of log likelihoods in self.rows."""
-        gram, word = word_grams(words, 1, ORDER, BUCKETS)
         used = len(self.index)
         while used + len(words) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        for k in range(len(self.model.langs)):
-            self.rows[used : used + len(words), k] = np.bincount(word, self.model.table[gram, k], len(words))
+        columns = [self.model.table[:, k] for k in range(len(self.model.langs))]
+        self.rows[used : used + len(words), : len(columns)] = gram_sums(words, columns, 1, ORDER, BUCKETS).T
+        self.characters += sum(map(len, words))
         self.index.update(zip(words, range(used, used + len(words))))
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -91,8 +92,9 @@ class Scorer:
 
     def settle(self, held: list[tuple[int, Counter]], out: list[str], scores: list[float]) -> None:
         """Expectation-maximisation for many texts at once, on their distinct words and counts."""
-        if len(self.index) > 200_000:
+        if len(self.index) > 200_000 or self.characters > CACHE_CHARACTERS:
             self.index.clear()
+            self.characters = 0
         if new := list(dict.fromkeys(w for _, own in held for w in own if w not in self.index)):
             self.number(new)
         langs = self.model.langs
@@ -149,21 +151,24 @@ def gram_counts(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = defaultdict(Counter)
         sums: dict[str, np.ndarray] = {}
+        characters = 0
 
         def settle() -> None:
             for lang, own in words.items():
                 if own:
-                    gram, word = word_grams(list(own), 1, ORDER, BUCKETS)
                     times = np.fromiter(own.values(), np.int64, len(own))
                     sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                    sums[lang] += np.bincount(gram, times[word], BUCKETS).astype(np.int64)
+                    for gram, word in gram_blocks(list(own), 1, ORDER, BUCKETS):
+                        sums[lang] += np.bincount(gram, times[word], BUCKETS).astype(np.int64)
             words.clear()
 
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words[lang].update(words_of((text or "").lower()))
-            if sum(map(len, words.values())) > 200_000:
+                characters += len(text or "")
+            if sum(map(len, words.values())) > 200_000 or characters > 4 * CACHE_CHARACTERS:
                 settle()
+                characters = 0
         settle()
         for lang, own in sums.items():
             at = np.flatnonzero(own)

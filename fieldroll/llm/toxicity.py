@@ -1,6 +1,6 @@
 """Toxicity scores: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the character n-grams of its distinct words, hashed to BUCKETS; each is scaled by
+A text's features are the character n-grams of its distinct words (whole runs, however long), hashed to BUCKETS; each is scaled by
 the log ratio of its counts in toxic and other texts, and logistic regression sets the weights. Since a
 text's score is a sum over its distinct words, workers score each word once and keep it.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, word_grams
+from .common import CACHE_CHARACTERS, gram_sums, map_batches, word_grams
 
 BUCKETS = 1 << 18
 SAMPLE = 5_000
@@ -45,8 +45,7 @@ class Classifier:
 
     def words(self, words: list[str]) -> np.ndarray:
         """What each word adds to a score."""
-        gram, word = word_grams(words, SHORTEST, LONGEST, BUCKETS)
-        return np.bincount(word, self.weights[gram], len(words))
+        return gram_sums(words, [self.weights], SHORTEST, LONGEST, BUCKETS)[0]
 
     @classmethod
     def fitted(cls, texts: list[list[str]], toxic: list[int]) -> Classifier:
@@ -108,14 +107,16 @@ class Scorer:
     """A worker's classifier with its cache of words."""
 
     def __init__(self, model: Classifier):
-        self.model, self.known = model, {}
+        self.model, self.known, self.characters = model, {}, 0
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         sets = [set(words_of((t or "").lower())) for t in texts]
-        if len(self.known) > 300_000:
+        if len(self.known) > 300_000 or self.characters > CACHE_CHARACTERS:
             self.known.clear()
+            self.characters = 0
         if new := sorted({w for own in sets for w in own if w not in self.known}):
             self.known.update(zip(new, self.model.words(new).tolist()))
+            self.characters += sum(map(len, new))
         z = np.array([sum(map(self.known.__getitem__, sorted(own))) for own in sets]) + self.model.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
