@@ -41,6 +41,8 @@ CONSTANT = 120
 #: Element names.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("head script style noscript template svg math iframe object embed canvas audio video select textarea button option datalist title".split())
+#: Elements that a head may hold; any other ends it.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
@@ -68,7 +70,7 @@ def parsed(source: str) -> list:
     root = ["#root", []]
     stack, names = [root], ["#root"]
     pieces: list[str] = []
-    link, linked, hidden = 0, 0, None
+    link, linked, hidden, within = 0, 0, None, None
 
     def settle() -> None:
         nonlocal linked
@@ -87,6 +89,8 @@ def parsed(source: str) -> list:
     for m in _token.finditer(source):
         slash, name, attributes, text = m.groups()
         if text is not None:
+            if hidden == "head" and text.strip():
+                hidden = None
             if hidden is None:
                 pieces.append(text)
                 if link:
@@ -96,11 +100,19 @@ def parsed(source: str) -> list:
             continue
         name = name.lower()
         if hidden is not None:
-            if slash and name == hidden or not slash and name == "body" and hidden == "head":
-                hidden = None
+            if "head" in (hidden, within) and (slash and name == "head" or not slash and name == "body"):
+                hidden = within = None
+            elif slash:
+                if name == hidden:
+                    hidden, within = within, None
+            elif hidden == "head":
+                if name not in HEAD:
+                    hidden = None
+                elif name in HIDDEN and name != "head" and not attributes.endswith("/"):
+                    hidden, within = name, "head"
             if hidden is not None or slash:
                 continue
-        if name in HIDDEN:
+        if name in HIDDEN and name not in VOID:
             if not slash and not attributes.endswith("/"):
                 hidden = name
             continue
