@@ -58,11 +58,14 @@ _word = re.compile(r"[A-Za-z]+")
 
 
 def label_of(name: str, attributes: str) -> str:
-    """Element name with the words of its class, id and role."""
+    """Element name with the words of its class, id and role: all of the boilerplate's and the article's, and of others six of 24 letters at most."""
     if "=" not in attributes:
         return name
     words = {w.lower() for m in _naming.finditer(attributes) for w in _word.findall(m[1] or m[2] or m[3] or "")}
-    return name + "".join(f".{w}" for w in sorted(words)[:6] if len(w) <= 24) if words else name
+    if len(words) > 6 or any(len(w) > 24 for w in words):
+        known = words & (BOILER_WORDS | ARTICLE_WORDS)
+        words = known.union(sorted(w for w in words - known if len(w) <= 24)[:6])
+    return name + "".join(f".{w}" for w in sorted(words)) if words else name
 
 
 def parsed(source: str) -> list:

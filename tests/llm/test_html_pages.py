@@ -30,3 +30,11 @@ def texts(source):
 )
 def test_texts(source, found):
     assert texts(source) == found
+
+
+def test_labels_keep_what_sets_the_role():
+    many = "class='col d flex hidden lg mb md p {}'"
+    assert html_text.role(html_text.label_of("div", many.format("sidebar")), True) == "boiler"
+    assert html_text.role(html_text.label_of("div", many.format("story")), False) == "article"
+    assert html_text.label_of("div", "class='b a'") == "div.a.b"
+    assert len(html_text.label_of("div", "class='" + " ".join("x" * k for k in range(1, 60)) + "'").split(".")) == 7
