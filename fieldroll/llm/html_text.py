@@ -18,9 +18,11 @@ null or has no host shares the wrapper of such pages; repeated rows give repeate
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,9 +35,11 @@ from .common import map_batches, written
 BROADCAST_BYTES = 32 << 20
 #: Longer sequences of children become a repeated group of optionals.
 SEQUENCE = 12
+#: Deeper elements have no node of their own: their texts count as those of the element at this depth.
 DEPTH = 100
 #: A text that this many pages of a host share, and none varies, is part of the template.
 TEMPLATE_PAGES = 3
+#: Of longer texts wrappers hold a digest.
 CONSTANT = 120
 
 #: Element names.
@@ -71,7 +75,8 @@ def label_of(name: str, attributes: str) -> str:
 def parsed(source: str) -> list:
     """A tree [label, children]; a text is (text, characters inside links)."""
     root = ["#root", []]
-    stack, names = [root], ["#root"]
+    stack, names = [root], ["#root"]  # names goes on where stack ends at DEPTH
+    opened = Counter(names)
     pieces: list[str] = []
     link, linked, hidden, within = 0, 0, None, None
 
@@ -87,6 +92,7 @@ def parsed(source: str) -> list:
 
     def close(to: int) -> None:
         settle()
+        opened.subtract(names[to:])
         del stack[to:], names[to:]
 
     for m in _token.finditer(source):
@@ -126,8 +132,8 @@ def parsed(source: str) -> list:
                 pieces.append(" ")
             continue
         if slash:
-            if name in names:
-                close(len(names) - 1 - names[::-1].index(name))
+            if opened[name]:
+                close(next(k for k in range(len(names) - 1, 0, -1) if names[k] == name))
             continue
         settle()
         if name in ("html", "body") or name in VOID:
@@ -141,11 +147,12 @@ def parsed(source: str) -> list:
                     break
                 if names[k] in SIBLINGS[name]:
                     break
-        if len(stack) < DEPTH:
+        if len(names) < DEPTH:
             node = [label_of(name, attributes), []]
             stack[-1][1].append(node)
             stack.append(node)
-            names.append(name)
+        names.append(name)
+        opened[name] += 1
     settle()
     return root
 
@@ -154,13 +161,18 @@ def parsed(source: str) -> list:
 # optionals; ["#", optional, repeated, constant or None, characters, characters in links, pages] for a text.
 
 
+def constant(text: str) -> str:
+    """The text, or a digest of a long one."""
+    return text if len(text) <= CONSTANT else "\0" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def generalised(node: list) -> list:
     """The wrapper of one page."""
     children: list = []
     for child in node[1]:
         if isinstance(child, tuple):
             text, linked = child
-            new = ["#", False, False, text if len(text) <= CONSTANT else None, len(text), linked, 1]
+            new = ["#", False, False, constant(text), len(text), linked, 1]
         else:
             new = generalised(child)
         if children and children[-1][0] == new[0]:

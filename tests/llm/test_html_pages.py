@@ -38,3 +38,20 @@ def test_labels_keep_what_sets_the_role():
     assert html_text.role(html_text.label_of("div", many.format("story")), False) == "article"
     assert html_text.label_of("div", "class='b a'") == "div.a.b"
     assert len(html_text.label_of("div", "class='" + " ".join("x" * k for k in range(1, 60)) + "'").split(".")) == 7
+
+
+def test_end_tags_of_deep_elements():
+    source = "<article><p>one</p>" + "<div>" * 150 + "deep" + "</div>" * 150 + "<p>two</p></article><footer>no</footer>"
+    page = html_text.parsed(source)
+    assert html_text.Wrapper(html_text.generalised(page)).blocks(page) == ["one", "deep", "two"]
+    shut = html_text.parsed("<div>" * 150 + "<p>x</p>" + "</div>" * 149 + "<p>y</p>")
+    assert [c for c in shut[1][0][1] if c[0] == "p"] == [["p", [("y", 0)]]]
+
+
+def test_long_notice_of_every_page_is_template():
+    notice = "We use what you have read here on every page alike. " * 4
+    pages = [html_text.parsed(f"<div><p>{notice}</p></div><section>Text of page {k}</section>") for k in range(4)]
+    tree = html_text.generalised(pages[0])
+    for page in pages[1:]:
+        tree = html_text.merged(tree, html_text.generalised(page))
+    assert html_text.Wrapper(tree).blocks(pages[1]) == ["Text of page 1"]
