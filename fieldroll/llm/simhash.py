@@ -9,8 +9,11 @@ counters for all 64 at once, and a word is abandoned when all of its lanes are o
 Where a fingerprint of 64 bits is too coarse (deduplicated), groups are of a similarity of the shingle sets itself.
 Two sets at a Jaccard similarity of t share one of the first n - ceil(t * n) + 1 of their n shingles in any one order;
 texts meet under these, the bit-sliced search with a second word of 64 bits leaves the pairs that may be similar, and
-a pair is linked only if its shingle sets, compared in full, are. The bound of that search is wide: at a similarity
-j about acos(2j / (1 + j)) / pi of the bits differ, some 19 of 128 at 0.8, and pairs at 41 or fewer are compared.
+a pair is linked only if its shingle sets, compared in full, are. The order puts frequent shingles (passages that many
+texts share) last, so that texts meet under rare ones; a pair goes on only if what follows the shingle in both texts
+leaves room for the overlap that the similarity needs, as it does at the first shingle that a similar pair shares. The
+bound of the search is wide: at a similarity j about acos(2j / (1 + j)) / pi of the bits differ, some 19 of 128 at 0.8, and
+pairs at 41 or fewer are compared.
 
 Only a spanning forest of each group's links goes on, so a large group of near copies sends as many rows
 as it has members, and pairs already joined are not compared again. Copies share a fingerprint and are
@@ -24,6 +27,7 @@ table gives an empty result; repeated rows give repeated results; other columns
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -40,6 +44,10 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 CHUNK = 2048
+#: Frequent shingles that go last in the order (broadcast, 512 KB). Which these are changes the speed alone.
+FREQUENT = 1 << 16
+#: Shingles that a task holds at most while it counts them (16 bytes each).
+COUNTED = 1 << 20
 #: Planes are read in a mixed order, so that those that a key fixes don't come first.
 ORDER = [p * 37 % 64 for p in range(64)]
 
@@ -60,23 +68,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def wide_fingerprint(text: str | None, shingle: int, seed: int = SEED) -> tuple[int, int]:
-    """Two words of 64 bits, from 128-bit hashes of the shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0, 0
-    joined, digest = b" ".join(words), xxhash.xxh3_128_digest
-    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *(e + 1 for e in ends[: max(0, len(ends) - shingle)])]
-    flat = b"".join([digest(joined[s:e], seed) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :])])
-    rows = np.frombuffer(flat, np.uint8).reshape(-1, 16)
-    counts = np.zeros(128, np.int64)
-    for at in range(0, len(rows), 1 << 13):
-        counts += np.unpackbits(rows[at : at + (1 << 13)], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    first, second = np.packbits(2 * counts > len(rows), bitorder="little").view(np.uint64)
-    return int(first), int(second)
-
-
 def shingle_set(text: str | None, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The text's distinct shingles: their 64-bit hashes in rising order, and 16 bytes of hash of each."""
     words = (text or "").encode().lower().split()
@@ -90,27 +81,76 @@ def shingle_set(text: str | None, shingle: int) -> tuple[np.ndarray, np.ndarray]
     return values, np.frombuffer(flat, np.uint8).reshape(-1, 16)[at]
 
 
+def frequent_shingles(docs: DataFrame, text_col: str, shingle: int, most: int = FREQUENT) -> np.ndarray:
+    """Hashes of at most `most` frequent shingles, rarer ones first: each task counts its own texts' and sends on its heaviest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        fresh: list[np.ndarray] = []
+        size = 0
+
+        def settle() -> None:
+            nonlocal values, counts, fresh, size
+            new, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *fresh]), return_counts=True)
+            own, at = np.unique(np.concatenate([values, new]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, times]), len(own)).astype(np.int64)
+            values, fresh, size = own, [], 0
+            if len(values) > COUNTED:
+                keep = np.argpartition(counts, -COUNTED // 2)[-COUNTED // 2 :]
+                values, counts = values[keep], counts[keep]
+
+        for batch in batches:
+            for text in set(batch.column(0).to_pylist()):
+                fresh.append(shingle_set(text, shingle)[0])
+                size += len(fresh[-1])
+                if size > COUNTED:
+                    settle()
+        settle()
+        top = np.argsort(-counts, kind="stable")[:most]
+        top = top[counts[top] > 2]
+        yield pa.RecordBatch.from_arrays([pa.array(values[top].view(np.int64)), pa.array(counts[top])], ["h", "n"])
+
+    parts = docs.select(docs[text_col].alias("t")).mapInArrow(run, "h long, n long")
+    found = parts.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most).toArrow()
+    return found.column("h").to_numpy()[::-1].view(np.uint64)
+
+
+def ordered(values: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """values (rising) with those in `last` (rising) at the end, by their rank."""
+    if not len(last):
+        return values
+    at = np.searchsorted(last, values)
+    at[at == len(last)] = 0
+    late = last[at] == values
+    return np.concatenate([values[~late], values[late][np.argsort(rank[at[late]])]]) if late.any() else values
+
+
 def shingled(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """id, h (hash of the text), node (hash of the set of shingles), fp and more (its fingerprint), prefix (its first shingles)."""
+    """id, h (hash of the text), node (hash of the set of shingles), size (of the set), fp and more (its fingerprint), prefix (its first shingles)."""
+    frequent = frequent_shingles(docs, text_col, shingle)
+    rank = np.argsort(frequent, kind="stable")
+    shared_ = docs.sparkSession.sparkContext.broadcast((frequent[rank], rank))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, prints, prefixes = [], [], []
+        nodes, sizes, prints, prefixes = [], [], [], []
         for text in batch.column(2).to_pylist():
             values, rows = shingle_set(text, shingle)
             counts = np.zeros(128, np.int64)
             for at in range(0, len(rows), 1 << 13):
                 counts += np.unpackbits(rows[at : at + (1 << 13)], axis=1, bitorder="little").sum(0, dtype=np.int64)
             nodes.append(xxhash.xxh3_64_intdigest(values.tobytes()))
+            sizes.append(len(values))
             prints.append(np.packbits(2 * counts > len(rows), bitorder="little").view(np.int64))
-            prefixes.append(values[: len(values) - math.ceil(similarity * len(values) - 1e-9) + 1].view(np.int64))
+            prefixes.append(ordered(values, *shared_.value)[: len(values) - math.ceil(similarity * len(values) - 1e-9) + 1].view(np.int64))
         words = np.array(prints, np.int64).reshape(-1, 2)
         ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
         prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
         node = pa.array(np.array(nodes, np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], node, pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy()), prefix], ["id", "h", "node", "fp", "more", "prefix"])
+        arrays = [*batch.columns[:2], node, pa.array(sizes, pa.int32()), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy()), prefix]
+        return pa.RecordBatch.from_arrays(arrays, ["id", "h", "node", "size", "fp", "more", "prefix"])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text_col).alias("h"), docs[text_col].alias("t"))
-    return map_batches(rows, run, "id long, h long, node long, fp long, more long, prefix array<long>")
+    return map_batches(rows, run, "id long, h long, node long, size int, fp long, more long, prefix array<long>")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -130,10 +170,10 @@ def masks(blocks: int = RADIUS + 2, same: int = 2) -> list[int]:
     return [m - (1 << 64) if (m := sum(x)) >= 1 << 63 else m for x in combinations(own, same)]
 
 
-def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int = RADIUS, more: np.ndarray | None = None, most: int = 128, start: np.ndarray | None = None, pairs: list | None = None) -> np.ndarray:
+def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int = RADIUS, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, start: np.ndarray | None = None, pairs: list | None = None) -> np.ndarray:
     """A label for each value: the smallest row that it is linked to, through pairs (i, j) with low[i] <= j < high[i].
 
-    more: a second word of each value; a pair is then linked only if both words together differ in `most` bits or fewer.
+    fits: which of the pairs found (rows a, rows b) are linked; without it, all.
     start: labels to begin with; pairs of the same label aren't compared.
     pairs: gets every pair found (an array of each side) in place of linking it.
     """
@@ -190,8 +230,8 @@ def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int =
             lanes = np.unpackbits(valid.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             element, lane = np.nonzero(lanes)
             a, b = q[element], w[element] * 64 + lane
-            if more is not None:
-                close = np.bitwise_count(values[a] ^ values[b]).astype(np.int64) + np.bitwise_count(more[a] ^ more[b]) <= most
+            if fits is not None:
+                close = fits(a, b)
                 a, b = a[close], b[close]
             if pairs is None:
                 forest.link(a, b)
@@ -243,21 +283,23 @@ def paired(table: pa.Table, cuts: np.ndarray) -> tuple | None:
 
 
 def shared(nodes: DataFrame) -> DataFrame:
-    """key, node: the shingles in prefixes of two or more nodes."""
+    """key, node, place (in the node's order of shingles): the shingles in prefixes of two or more nodes."""
 
     def run(table: pa.Table, cuts: np.ndarray) -> pa.Table | None:
         sizes = np.diff(cuts)
         pick = np.repeat(sizes > 1, sizes)
         return table.filter(pa.array(pick)) if pick.any() else None
 
-    rows = nodes.select(F.explode("prefix").alias("key"), "node")
-    return map_groups(rows.repartition("key").sortWithinPartitions("key"), ["key"], run, "key long, node long")
+    rows = nodes.select(F.posexplode("prefix").alias("place", "key"), "node").select("key", "node", "place")
+    return map_groups(rows.repartition("key").sortWithinPartitions("key"), ["key"], run, "key long, node long, place int")
 
 
-def candidates(rows: DataFrame, radius: int, every: bool, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (a, b) of nodes with the same key whose 128 bits differ in 2 * radius + 1 or fewer; rows: key, node, fp, more, component.
+def candidates(rows: DataFrame, similarity: float, radius: int, every: bool, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b) of nodes with the same key whose 128 bits differ in 2 * radius + 1 or fewer, and whose sets may be that similar.
 
-    Not `every`: only pairs of a spanning forest of each group. `every`: all pairs of different components.
+    They may not, if the shingles from the key on are fewer than the overlap needed; of a similar pair's keys the first passes.
+    rows: key, node, place, size, fp, more, component. Not `every`: only pairs of a spanning forest of each group. `every`: all pairs
+    of different components.
     """
 
     def run(table: pa.Table, cuts: np.ndarray) -> pa.Table | None:
@@ -265,17 +307,23 @@ def candidates(rows: DataFrame, radius: int, every: bool, chunk: int = CHUNK) ->
         if got is None:
             return None
         get, low, high = got
-        node, words = get("node"), [get(c).view(np.uint64) for c in ("fp", "more")]
+        node, size, words = get("node"), get("size").astype(float), [get(c).view(np.uint64) for c in ("fp", "more")]
+        left = size - get("place")
+
+        def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            differ = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words)
+            return (differ <= 2 * radius + 1) & (np.minimum(left[a], left[b]) * (1 + similarity) >= similarity * (size[a] + size[b]) - 1e-9)
+
         if every:
             _, at, own = np.unique(get("component"), return_index=True, return_inverse=True)
             found: list = []
             for k in (0, 1):
-                compare(words[k], low, high, radius, words[1 - k], 2 * radius + 1, at[own], found)
+                compare(words[k], low, high, radius, fits, at[own], found)
             a, b = (np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
             return pa.table({"a": node[a], "b": node[b]})
         label = np.arange(len(node))
         for k in (0, 1):
-            label = compare(words[k], low, high, radius, words[1 - k], 2 * radius + 1, label)
+            label = compare(words[k], low, high, radius, fits, label)
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": node[linked], "b": node[label[linked]]})
 
@@ -300,10 +348,10 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def similar_classes(docs: DataFrame, own: DataFrame, text_col: str, shingle: int, similarity: float, radius: int) -> DataFrame:
     """node, component: the groups of nodes joined by pairs of that similarity or more, for nodes in such pairs."""
-    nodes = written(own.groupBy("node").agg(F.min("h").alias("h"), *(F.first(c).alias(c) for c in ("fp", "more", "prefix"))), "nodes")
-    rows = written(shared(nodes).join(nodes.select("node", "fp", "more"), "node"), "shared")
+    nodes = written(own.groupBy("node").agg(F.min("h").alias("h"), *(F.first(c).alias(c) for c in ("size", "fp", "more", "prefix"))), "nodes")
+    rows = written(shared(nodes).join(nodes.select("node", "size", "fp", "more"), "node"), "shared")
     # First a few pairs of each group, so that of a large group of near copies not all pairs are compared in full.
-    few = written(candidates(rows.withColumn("component", F.col("node")), radius, False), "candidates")
+    few = written(candidates(rows.withColumn("component", F.col("node")), similarity, radius, False), "candidates")
     close = written(few.select(F.col("a").alias("node")).union(few.select("b")).distinct(), "close")
     texts = docs.select(F.xxhash64(text_col).alias("h"), docs[text_col].alias("t"))
     texts = texts.join(nodes.select("node", "h").join(close, "node"), "h").dropDuplicates(["node"])
@@ -315,7 +363,7 @@ def similar_classes(docs: DataFrame, own: DataFrame, text_col: str, shingle: int
     sets = written(map_batches(texts.select("node", "t"), run, "node long, set binary"), "sets")
     first = written(similar(few, sets, similarity), "similar")
     joined = close.join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    rest = candidates(rows.join(written(joined, "components"), "node"), radius, True)
+    rest = candidates(rows.join(written(joined, "components"), "node"), similarity, radius, True)
     return components(first.union(similar(rest, sets, similarity)))
 
 

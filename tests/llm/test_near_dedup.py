@@ -21,6 +21,13 @@ def test_pairs_are_linked_by_jaccard(spark):
         for k in random_.choice(300, edits, replace=False):
             words[k] = "other"
         texts.append(" ".join(words))
+    passage = " ".join(f"p{k}" for k in range(60))  # frequent shingles: last in the order
+    for edits in [4, 8, 12] * 20:
+        words = [f"w{k}" for k in random_.integers(0, 5000, 100)] + [passage] + [f"w{k}" for k in random_.integers(0, 5000, 100)]
+        texts.append(" ".join(words))
+        for k in random_.choice(100, edits, replace=False):
+            words[k] = f"new{k}"
+        texts.append(" ".join(words))
     texts += ["a b c d e f g h", "a b c d e f g h i", "A b  c d e f g h", "short", "", None]
     own = dict(enumerate(map(shingles, texts)))
     label = brute_components(list(own), lambda a, b: 10 * len(own[a] & own[b]) >= 8 * len(own[a] | own[b]))
@@ -32,3 +39,17 @@ def test_one_id_of_two_groups(spark):
     rows = [(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve"), (2, "seven eight nine ten eleven twelve"), (2, "one two three four five six")]
     kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept)) == sorted(rows[:2])
+
+
+def test_order_of_shingles():
+    values, last = np.array([2, 3, 5, 7, 11], np.uint64), np.array([5, 3, 4], np.uint64)  # rarer ones first
+    rank = np.argsort(last, kind="stable")
+    assert simhash.ordered(values, last[rank], rank).tolist() == [2, 7, 11, 5, 3]
+    assert simhash.ordered(values, last[:0], rank[:0]).tolist() == values.tolist()
+
+
+def test_frequent_shingles(spark):
+    docs = spark.createDataFrame([(k, f"a b c d e own{k} x y z u v") for k in range(40)] + [(50, None), (51, "")], "doc_id long, text string")
+    found = simhash.frequent_shingles(docs, "text", 5, most=2)
+    assert set(found.tolist()) == set(simhash.shingle_set("a b c d e", 5)[0].tolist() + simhash.shingle_set("x y z u v", 5)[0].tolist())
+    assert len(simhash.frequent_shingles(docs.where("doc_id < 0"), "text", 5)) == 0

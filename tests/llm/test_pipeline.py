@@ -2,10 +2,11 @@
 
 import re
 
-import numpy as np
-
 import corpus_pipeline
-from fieldroll.llm import bpe, queries, simhash
+from fieldroll.llm import bpe, queries
+
+from .test_near_dedup import shingles
+from .test_operators import brute_components
 
 
 def test_run(spark, sf_dir):
@@ -14,12 +15,9 @@ def test_run(spark, sf_dir):
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
     left = {k: t for k, t in docs.items() if t and re.search(r"[^\W\d_]", t)}
     ids = sorted(left)
-    pair = np.array([simhash.wide_fingerprint(left[i], 5) for i in ids], np.uint64)
-    near = sum(np.bitwise_count(pair[:, None, k] ^ pair[None, :, k]).astype(int) for k in (0, 1)) <= 19
-    label = np.arange(len(ids))
-    while not np.array_equal(new := np.array([label[near[i]].min() for i in range(len(ids))]), label):
-        label = new
-    kept = {ids[i] for i in range(len(ids)) if label[i] == i}
+    own = {i: shingles(left[i]) for i in ids}
+    label = brute_components(ids, lambda a, b: 10 * len(own[a] & own[b]) >= 8 * len(own[a] | own[b]))
+    kept = {i for i in ids if label[i] == i}
     clean = {k for k in kept if not any(x in left[k] for x in items)}
     assert set(rows) == clean
     coder = bpe.coder(queries.vocabulary(queries.BYTE_VOCABULARY))
