@@ -5,11 +5,12 @@ rows: each task adds up its own counts, and only the sums per language and bucke
 most BUCKETS of them per language. The model is one float table of that bound.
 
 For a text, expectation-maximisation estimates the share of each language from the n-gram likelihoods
-of its words; the language set is the one with the best likelihood less PENALTY * log(words) for each
-language beyond the first. The prediction is the set's language with the largest share, the score its
-share of the text times its posterior weight among the words.
+of its words. The language set is chosen by likelihood less PENALTY * log(words) for each language beyond
+the first: languages join it in the order of their shares, as long as each is given LEAST_WORDS of the text's
+words, and the best set is kept, whose shares are estimated again. The prediction is the set's language with
+the largest share, the score its share of the text times its posterior weight among the words.
 
-Defined results: a null text, and one without a letter, gives `und` and score 0; an empty table gives
+Defined results: a null text, and one without a letter, gives `und`, score 0 and no languages; an empty table gives
 an empty result; ties go to the alphabetically first language; repeated rows give repeated results;
 other columns are ignored. Without a labelled row every text gives `und`.
 """
@@ -31,7 +32,10 @@ ORDER = 3
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 ROUNDS = 8
-PENALTY = 1.0
+#: Each letter counts in ORDER n-grams, so that a likelihood is about that power of one over letters.
+PENALTY = float(ORDER)
+#: A language joins a text's set only if it is given so many of its words.
+LEAST_WORDS = 1.0
 UNKNOWN = "und"
 
 #: Runs of letters.
@@ -73,10 +77,12 @@ class Scorer:
         self.characters += sum(map(len, words))
         self.index.update(zip(words, range(used, used + len(words))))
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[list[tuple[str, float]]]]:
+        """For each text the language, its score, and the language set with its shares, the largest first."""
         langs, out, scores = self.model.langs, [UNKNOWN] * len(texts), [0.0] * len(texts)
+        sets: list[list[tuple[str, float]]] = [[] for _ in texts]
         if not langs:
-            return out, scores
+            return out, scores, sets
         held: list[tuple[int, Counter]] = []
         waiting = 0
         for i, text in enumerate(texts):
@@ -84,13 +90,13 @@ class Scorer:
                 held.append((i, own))
                 waiting += len(own)
             if waiting > 100_000:
-                self.settle(held, out, scores)
+                self.settle(held, out, scores, sets)
                 held, waiting = [], 0
         if held:
-            self.settle(held, out, scores)
-        return out, scores
+            self.settle(held, out, scores, sets)
+        return out, scores, sets
 
-    def settle(self, held: list[tuple[int, Counter]], out: list[str], scores: list[float]) -> None:
+    def settle(self, held: list[tuple[int, Counter]], out: list[str], scores: list[float], sets: list) -> None:
         """Expectation-maximisation for many texts at once, on their distinct words and counts."""
         if len(self.index) > 200_000 or self.characters > CACHE_CHARACTERS:
             self.index.clear()
@@ -115,8 +121,8 @@ class Scorer:
         kept = np.zeros_like(share)
         kept[best, every] = 1
         value = alone[best, every].copy()
-        for n in range(2, min(3, len(langs)) + 1):
-            rivals = np.flatnonzero(share[order[n - 1], every] > 0.02)
+        for n in range(2, len(langs) + 1):
+            rivals = np.flatnonzero(share[order[n - 1], every] * total >= LEAST_WORDS)
             if not len(rivals):
                 break
             first = np.zeros((len(langs), len(rivals)), np.float32)
@@ -130,8 +136,10 @@ class Scorer:
         pick = kept.argmax(0)
         spread = like / like.sum(0) * times
         sure = np.add.reduceat(spread, starts, axis=1)[pick, every] / total
-        for (i, _), k, p, s in zip(held, pick, kept[pick, every], sure):
-            out[i], scores[i] = langs[k], float(min(1.0, max(0.0, p * s)))
+        for (i, _), k, p, s in zip(held, pick.tolist(), kept[pick, every].tolist(), sure.tolist()):
+            out[i], scores[i], sets[i] = langs[k], min(1.0, max(0.0, p * s)), [(langs[k], p)]
+        for j in np.flatnonzero((kept > 0).sum(0) > 1):
+            sets[held[j][0]] = [(langs[k], float(kept[k, j])) for k in np.argsort(-kept[:, j], kind="stable") if kept[k, j] > 0]
 
     @staticmethod
     def mix(like, times, starts, lengths, total, share) -> tuple[np.ndarray, np.ndarray]:
@@ -193,17 +201,20 @@ def _scorer(shared) -> Scorer:
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
-    """The columns in keep, then lang_pred and score."""
+    """The columns in keep, then lang_pred, score and languages: the language set with the share of each, the largest first."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*(c.alias(n) for n, c in (keep or {}).items()), docs[text_col].alias("__text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores = _scorer(shared).predict([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
-        arrays = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-        return pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "lang_pred", "score"])
+        langs, scores, sets = _scorer(shared).predict([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        each = [pa.array([x[k] for own in sets for x in own], kind) for k, kind in enumerate((pa.string(), pa.float64()))]
+        languages = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(each, ["lang", "share"]))
+        arrays = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), languages]
+        return pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "lang_pred", "score", "languages"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return map_batches(rows, run, f"{kept}{', ' if kept else ''}lang_pred string, score double")
+    return map_batches(rows, run, f"{kept}{', ' if kept else ''}lang_pred string, score double, languages array<struct<lang:string,share:double>>")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -212,7 +223,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, _ = _scorer(shared).predict([t or "" for t in batch.column(column).to_pylist()])
+            langs, _, _ = _scorer(shared).predict([t or "" for t in batch.column(column).to_pylist()])
             yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

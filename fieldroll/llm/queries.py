@@ -84,7 +84,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(id_crc("doc_id") % 4 != 2))
     held_out = F.coalesce(id_crc("doc_id") % 4 == 2, F.lit(False))
-    return langid.identify(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
+    return langid.identify(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out}).drop("languages")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

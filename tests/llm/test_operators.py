@@ -153,8 +153,25 @@ def test_language_mixture(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scorer = langid.Scorer(langid.fit(docs))
     texts = {lang: docs.where(docs.lang == lang).orderBy("doc_id").first().text[:1500] for lang in ("en", "fr")}
-    langs, scores = scorer.predict([texts["en"], texts["en"][:500] + " " + texts["fr"], texts["fr"] * 50])
+    langs, scores, sets = scorer.predict([texts["en"], texts["en"][:500] + " " + texts["fr"], texts["fr"] * 50])
     assert langs == ["en", "fr", "fr"] and scores[1] < scores[2]
+    assert [x for x, _ in sets[1]] == ["fr", "en"] and 0.6 < sets[1][0][1] < 0.9
+
+
+def test_language_sets_of_any_size(spark):
+    """Texts of one to six languages without a common letter: the set holds each, with its share of the words."""
+    alphabets = ["abc", "def", "ghi", "jkl", "mno", "pqr"]
+    random_ = np.random.default_rng(2)
+    words = {f"l{k}": ["".join(random_.choice(list(a), 5)) for _ in range(300)] for k, a in enumerate(alphabets)}
+    labelled = spark.createDataFrame([(" ".join(w), k) for k, w in words.items()], "text string, lang string")
+    mixed = [(n, " ".join(x for k in range(n) for x in words[f"l{k}"][: 60 - 5 * k])) for n in range(1, 7)]
+    docs = spark.createDataFrame([*mixed, (0, "..."), (7, None)], "doc_id long, text string")
+    got = {r.doc_id: r.languages for r in langid.identify(docs, langid.fit(labelled), keep={"doc_id": F.col("doc_id")}).collect()}
+    assert got[0] == got[7] == []
+    for n in range(1, 7):
+        assert [x.lang for x in got[n]] == [f"l{k}" for k in range(n)]
+        total = sum(60 - 5 * k for k in range(n))
+        assert all(abs(x.share - (60 - 5 * k) / total) < 0.02 for k, x in enumerate(got[n]))
 
 
 def test_toxicity(spark, odd, none):
