@@ -15,16 +15,17 @@ of that class; ids with several labels count once for each; other columns are ig
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_CHARACTERS, gram_sums, map_batches, word_grams
+from .common import CACHE_CHARACTERS, gram_blocks, gram_sums, map_batches
 
 BUCKETS = 1 << 18
-SAMPLE = 5_000
+SAMPLE = 10_000
 SHORTEST, LONGEST = 3, 5
 ROUNDS = 60
 RIDGE = 0.06
@@ -48,38 +49,50 @@ class Classifier:
         return gram_sums(words, [self.weights], SHORTEST, LONGEST, BUCKETS)[0]
 
     @classmethod
-    def fitted(cls, texts: list[list[str]], toxic: list[int]) -> Classifier:
+    def fitted(cls, texts: Iterable[list[str]], toxic: list[int]) -> Classifier:
+        """texts: the distinct words of each; what is held are numbers, and the distinct words of all."""
         y = np.array(toxic, np.float32)
         share = float(y.mean()) if len(y) else 0.0
         none = np.zeros(BUCKETS, np.float32)
         if share in (0.0, 1.0):
             return cls(none, float(np.clip(np.log((share + 1e-6) / (1 - share + 1e-6)), -14, 14)))
         number: dict[str, int] = {}
-        flat = np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t), np.int64)
-        doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        own = [np.fromiter((number.setdefault(w, len(number)) for w in t), np.int32, len(t)) for t in texts]
         if not number:
             return cls(none, float(np.log(share / (1 - share))))
-        gram, word = word_grams(list(number), SHORTEST, LONGEST, BUCKETS)
+        flat, doc = np.concatenate(own), np.repeat(np.arange(len(own), dtype=np.int32), [len(t) for t in own])
+        parts = list(gram_blocks(list(number), SHORTEST, LONGEST, BUCKETS))
+
+        def by_word(values: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(number))
+            for gram, word in parts:
+                if len(word):
+                    low, high = int(word.min()), int(word.max()) + 1
+                    out[low:high] += np.bincount(word - low, values[gram], high - low)
+            return out
+
+        def by_gram(values: np.ndarray) -> np.ndarray:
+            out = np.zeros(BUCKETS)
+            for gram, word in parts:
+                out += np.bincount(gram, values[word], BUCKETS)
+            return out
 
         def by_class(of: np.ndarray) -> np.ndarray:
-            per_word = np.bincount(flat, of[doc], len(number))
-            counts = np.bincount(gram, per_word[word], BUCKETS) + 1.0
+            counts = by_gram(np.bincount(flat, of[doc], len(number))) + 1.0
             return counts / counts.sum()
 
         ratio = np.log(by_class(y) / by_class(1 - y)).astype(np.float32)
-        scale = ratio[gram]
         beta, bias = np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
         # Classes weighted by their shares to the power -BALANCE.
         weight = np.where(y == 1, share**-BALANCE, (1 - share) ** -BALANCE).astype(np.float32)
         weight /= weight.sum()
         step, moment, second = 0.05, np.zeros_like(beta), np.zeros_like(beta)
         for t in range(1, ROUNDS + 1):
-            per_word = np.bincount(word, (beta[gram] * scale), len(number))
-            z = np.bincount(doc, per_word[flat], len(texts)) + bias
+            z = np.bincount(doc, by_word(beta * ratio)[flat], len(y)) + bias
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             error = ((p - y) * weight).astype(np.float64)
             back = np.bincount(flat, error[doc], len(number))
-            gradient = np.bincount(gram, back[word] * scale, BUCKETS).astype(np.float32) + RIDGE * beta
+            gradient = (by_gram(back) * ratio).astype(np.float32) + RIDGE * beta
             moment = 0.9 * moment + 0.1 * gradient
             second = 0.99 * second + 0.01 * gradient**2
             beta -= step * (moment / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
@@ -99,8 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return pa.RecordBatch.from_arrays([pa.array(sets, pa.string()), batch.column(1)], ["words", "y"])
 
     got = map_batches(rows, run, f"words string, y {rows.schema['y'].dataType.simpleString()}").toArrow()
-    pairs = sorted(zip(got.column("words").to_pylist(), got.column("y").to_pylist()))
-    return Classifier.fitted([w.split(" ") if w else [] for w, _ in pairs], [int(y) for _, y in pairs])
+    got = got.sort_by([("words", "ascending"), ("y", "ascending")])
+    return Classifier.fitted((w.split(" ") if w else [] for w in map(pa.Scalar.as_py, got.column("words"))), [int(y) for y in got.column("y").to_pylist()])
 
 
 class Scorer:
