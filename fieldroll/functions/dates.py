@@ -94,3 +94,13 @@ def period_problem(start: Column, end: Column, kind: Column, mode: Column) -> Co
     )
     monthly = F.when(F.trunc(start, "MM") != F.trunc(end, "MM"), "one calendar month")
     return F.when(end < start, "end before start").when(kind == "weekly", weekly).otherwise(monthly)
+
+
+#: Months as letters show them.
+LONG_MONTHS = ("Januari", "Februari", "Maret", "April", "Mei", "Juni", "Juli", "Agustus", "September", "Oktober", "November", "Desember")
+
+
+def long_date(date: Column) -> Column:
+    """4 Agustus 2026."""
+    month = F.get(F.array(*map(F.lit, LONG_MONTHS)), F.month(date) - 1)
+    return F.concat_ws(" ", F.day(date).cast("string"), month, F.year(date).cast("string"))

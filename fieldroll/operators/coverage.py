@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def calendar(spark, start: str, end: str, name: str = "date") -> DataFrame:
-    """Every day from start to end."""
-    return spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias(name))
+def calendar(reports: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
+    """Every day from each key's first to its last."""
+    ends = reports.where(F.col(date).isNotNull()).groupBy(*keys).agg(F.min(date).alias("__first"), F.max(date).alias("__last"))
+    return ends.select(*keys, F.explode(F.sequence("__first", "__last")).alias(date))
 
 
 def covered(reports: DataFrame, start: str, end: str, keys: list[str], date: str = "date") -> DataFrame:

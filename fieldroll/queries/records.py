@@ -130,9 +130,10 @@ def str20_appendix_label(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tx.appendix_label(F.concat(F.lit("6."), F.col("p_size").cast("string")), F.col("p_name"), status).alias("label"))
 
 
-@query("SELECT item_id, left(trim(replace(text, chr(9), ' ')), 100) AS text FROM benchmark")
+@query("SELECT doc_id, md5(left(trim(text), 30000)) AS digest, length(left(trim(text), 30000)) AS n FROM documents")
 def str03_review_text(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", tx.review_text(F.concat(F.lit(" \0"), F.replace("text", F.lit("\t"), F.lit(" "))), 100).alias("text"))
+    text = tx.review_text(F.concat(F.lit(" \0"), "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.cast("binary")).alias("digest"), F.length(text).cast("long").alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE l_quantity + l_linenumber END AS to_date, greatest(l_linenumber - 3, 0) AS clamped FROM lineitem")

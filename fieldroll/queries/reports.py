@@ -30,11 +30,10 @@ def agg03_superseded(spark, sf_dir):
     return revisions.superseded(reports(spark, sf_dir), ["user_id", "report_date"], ORDER).select("user_id", "report_date", "event_id")
 
 
-@query("""SELECT CAST(d AS DATE) AS date, dayofweek(d) AS weekday FROM generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) t(d)
-    WHERE EXISTS (SELECT 1 FROM events)""")
+@query("""SELECT event_type, user_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS report_date
+    FROM (SELECT event_type, user_id, CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM events GROUP BY ALL)""")
 def src13_calendar(spark, sf_dir):
-    days = cover.calendar(spark, START, END)
-    return days.where(~F.lit(reports(spark, sf_dir).isEmpty())).select("date", (F.dayofweek("date") - 1).cast("long").alias("weekday"))
+    return cover.calendar(reports(spark, sf_dir), ["event_type", "user_id"], "report_date")
 
 
 @query("""WITH u AS (SELECT DISTINCT user_id FROM events), s AS (SELECT user_id, CAST(d AS DATE) AS report_date FROM u, generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) t(d))

@@ -26,12 +26,12 @@ def join10_semi(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey", "left_semi")
 
 
-UPSERT_SQL = """WITH a AS (SELECT user_id, event_type, max(event_id) AS event_id FROM events WHERE event_id % 2 = 0 GROUP BY ALL), b AS (SELECT user_id, event_type, max(event_id) AS event_id FROM events WHERE event_id % 3 = 0 GROUP BY ALL)"""
+UPSERT_SQL = """WITH a AS (SELECT user_id, event_type, max(event_id) AS event_id FROM events WHERE value < 60 GROUP BY ALL), b AS (SELECT user_id, event_type, max(event_id) AS event_id FROM events WHERE NOT value < 60 GROUP BY ALL)"""
 
 
 def _halves(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    return [events.where(F.col("event_id") % k == 0).groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id")) for k in (2, 3)]
+    return [events.where(side).groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id")) for side in (F.col("value") < 60, F.col("value") >= 60)]
 
 
 @query(UPSERT_SQL + "SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, coalesce(b.event_id, a.event_id) AS event_id FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type")

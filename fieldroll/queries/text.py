@@ -94,12 +94,11 @@ def str15_label_extract(spark, sf_dir):
     return lines.extract(own, {"title": ("title",)})
 
 
-@query(LINES_SQL + "SELECT doc_id, line_no, left(text, 40) AS item FROM l WHERE length(left(text, 40)) > 0 AND trim(left(text, 40)) = left(text, 40)")
+@query(LINES_SQL + "SELECT doc_id, line_no, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS item FROM l WHERE regexp_matches(text, '\\S')")
 def str16_numbered(spark, sf_dir):
-    own = document_lines(spark, sf_dir)
-    head = F.substring("text", 1, 40)
-    line = F.concat(F.lit("  - "), (F.col("line_no") % 1000).cast("string"), F.lit(") "), head)
-    return own.where((F.length(head) > 0) & (F.trim(head) == head)).select("doc_id", "line_no", tx.numbered_item(line).alias("item"))
+    line = F.concat(F.lit("  - "), (F.col("line_no") % 1000).cast("string"), F.lit(") "), "text")
+    own = document_lines(spark, sf_dir).where(F.col("text").rlike(r"\S"))
+    return own.select("doc_id", "line_no", F.md5(tx.numbered_item(line).cast("binary")).alias("item"))
 
 
 @query("""SELECT p_partkey, trim(left(rpad(p_name, 40, ' '), 40)) AS today, trim(p_type) AS tomorrow FROM part""")
@@ -167,13 +166,16 @@ def agg12_activities_by_area(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sha2(joined.cast("binary"), 256).alias("digest"))
 
 
-@query("""WITH u AS (SELECT *, 1 AS one FROM nation), q AS (SELECT a.n_nationkey AS id, b.n_nationkey AS known_id, round(100 * (1 - levenshtein(lower(a.n_name), lower(b.n_name)) / CAST(greatest(length(a.n_name), length(b.n_name)) AS DOUBLE)), 2) AS score,
-    len(list_intersect(list_transform(range(1, length(a.n_name) + 2), lambda i: ('  ' || lower(a.n_name) || ' ')[i:i+2]), list_transform(range(1, length(b.n_name) + 2), lambda i: ('  ' || lower(b.n_name) || ' ')[i:i+2]))) AS shared FROM u a, u b WHERE a.n_nationkey <> b.n_nationkey),
-    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, known_id) AS n, lead(score) OVER (PARTITION BY id ORDER BY score DESC, known_id) AS runner_up FROM q WHERE shared > 0)
-    SELECT id, known_id, score, runner_up, score >= 95 AND score - coalesce(runner_up, 0) >= 8 AS confident FROM k WHERE n = 1""")
+@query("""WITH n AS (SELECT p_name AS known, min(p_partkey) AS known_id FROM part GROUP BY ALL), t AS (SELECT DISTINCT replace(p_name, 'r', '') AS text FROM part),
+    q AS (SELECT text, known_id, round(100 * (1 - levenshtein(text, known) / CAST(greatest(length(text), length(known)) AS DOUBLE)), 2) AS score,
+    len(list_intersect(list_transform(range(1, length(text) + 2), lambda i: ('  ' || text || ' ')[i:i+2]), list_transform(range(1, length(known) + 2), lambda i: ('  ' || known || ' ')[i:i+2]))) AS shared FROM t, n),
+    k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, known_id) AS n, lead(score) OVER (PARTITION BY text ORDER BY score DESC, known_id) AS runner_up FROM q WHERE shared > 0)
+    SELECT p_partkey AS id, known_id, score, runner_up, score >= 95 AND score - coalesce(runner_up, 0) >= 8 AS confident FROM part JOIN k ON replace(p_name, 'r', '') = k.text WHERE n = 1""")
 def join05_fuzzy_top2(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation")
-    return matching.ranked(nation, "n_nationkey", "n_name", nation, "n_nationkey", "n_name", within=True)
+    """Parts, their names misspelt, with the names that there are."""
+    part = table(spark, sf_dir, "part")
+    known = part.groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
+    return matching.ranked(part.withColumn("p_name", F.replace("p_name", F.lit("r"), F.lit(""))), "p_partkey", "p_name", known, "p_partkey", "p_name")
 
 
 @query("""WITH k AS (SELECT lower(n_name) AS k, count(*) AS matches, min(n_nationkey) AS nk FROM nation GROUP BY ALL)
