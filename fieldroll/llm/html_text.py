@@ -2,8 +2,9 @@
 
 A page is a stream of block-level tags and text. Streams of one host are aligned one after the other with the
 host's wrapper: texts that differ become slots, tags that one side lacks become optional, neighbours with the
-same tag become repeated groups, and a long irregular sequence becomes a repeated group of optionals, which
-bounds a wrapper's size. Each task makes wrappers of its own pages; these, not the pages, are dealt by host
+same tag become repeated groups. A long sequence is cut before each tag of its most frequent kind, and its pieces,
+aligned with each other, become one repeated group between what stands before and after them; so a wrapper's
+size doesn't grow with a page's length, and the order of its parts stays. Each task makes wrappers of its own pages; these, not the pages, are dealt by host
 and aligned again, as a stream. So every page counts, and a host with a third of all pages costs one small row
 for each task.
 
@@ -24,6 +25,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +35,10 @@ from .common import map_batches, written
 
 #: Wrappers of at most this many bytes in all are broadcast; beyond, pages are joined with them by host.
 BROADCAST_BYTES = 32 << 20
-#: Longer sequences of children become a repeated group of optionals.
+#: In longer sequences of children repeated groups are looked for.
 SEQUENCE = 12
+#: Sequences that have more different labels become a repeated group of optionals, without order.
+LABELS = 64
 #: Deeper elements have no node of their own: their texts count as those of the element at this depth.
 DEPTH = 100
 #: A text that this many pages of a host share, and none varies, is part of the template.
@@ -158,7 +162,9 @@ def parsed(source: str) -> list:
 
 
 # A wrapper's node: [label, optional, repeated, children, bag] for an element, where bag marks a repeated group of
-# optionals; ["#", optional, repeated, constant or None, characters, characters in links, pages] for a text.
+# optionals; the same with the label GROUP for a repeated group of several elements; ["#", optional, repeated, constant
+# or None, characters, characters in links, pages] for a text.
+GROUP = "("
 
 
 def constant(text: str) -> str:
@@ -176,32 +182,30 @@ def generalised(node: list) -> list:
         else:
             new = generalised(child)
         if children and children[-1][0] == new[0]:
-            pages = children[-1][6] if new[0] == "#" else 0
-            children[-1] = merged(children[-1], new)
+            children[-1] = merged(children[-1], new, True)
             children[-1][2] = True
-            if pages:
-                children[-1][6] = pages
         else:
             children.append(new)
-    return bounded([node[0], False, False, children, False])
+    return bounded([node[0], False, False, children, False], True)
 
 
-def merged(a: list, b: list) -> list:
-    """Two wrapper nodes with the same label as one."""
+def merged(a: list, b: list, one_page: bool = False) -> list:
+    """Two wrapper nodes with the same label as one; one_page: both are of the same page."""
     if a[0] == "#":
-        return ["#", a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else None, a[4] + b[4], a[5] + b[5], a[6] + b[6]]
+        pages = max(a[6], b[6]) if one_page else a[6] + b[6]
+        return ["#", a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else None, a[4] + b[4], a[5] + b[5], pages]
     out = [a[0], a[1] or b[1], a[2] or b[2], [], a[4] or b[4]]
     if out[4]:
         out[3] = a[3] + b[3]
-        return as_bag(out)
+        return as_bag(out, one_page)
     if [x[0] for x in a[3]] == [x[0] for x in b[3]]:
-        out[3] = [merged(x, y) for x, y in zip(a[3], b[3])]
+        out[3] = [merged(x, y, one_page) for x, y in zip(a[3], b[3])]
         return out
-    out[3] = aligned(a[3], b[3])
-    return bounded(out)
+    out[3] = aligned(a[3], b[3], one_page)
+    return bounded(out, one_page)
 
 
-def aligned(a: list, b: list) -> list:
+def aligned(a: list, b: list, one_page: bool = False) -> list:
     """Children in common order; what one side lacks is optional, neighbours of the same label are one repeated node."""
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
@@ -213,7 +217,7 @@ def aligned(a: list, b: list) -> list:
         if optional:
             node = [node[0], True, *node[2:]]
         if out and out[-1][0] == node[0]:
-            both = merged(out[-1], node)
+            both = merged(out[-1], node, one_page)
             both[1], both[2] = out[-1][1] and node[1], True
             out[-1] = both
         else:
@@ -222,7 +226,7 @@ def aligned(a: list, b: list) -> list:
     i = j = 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i][0] == b[j][0]:
-            put(merged(a[i], b[j]), False)
+            put(merged(a[i], b[j], one_page), False)
             i, j = i + 1, j + 1
         elif j == len(b) or i < len(a) and table[i + 1][j] >= table[i][j + 1]:
             put(a[i], True)
@@ -233,22 +237,53 @@ def aligned(a: list, b: list) -> list:
     return out
 
 
-def bounded(node: list) -> list:
-    return as_bag(node) if len(node[3]) > SEQUENCE else node
+def bounded(node: list, one_page: bool) -> list:
+    if len(node[3]) > SEQUENCE:
+        node[3] = grouped(node[3], one_page)
+        if len(node[3]) > LABELS:
+            return as_bag(node, one_page)
+    return node
+
+
+def grouped(children: list, one_page: bool) -> list:
+    """A long sequence with its repeated part as a group, again until it is short or no label comes twice.
+
+    The part goes from the first to the last child of the most frequent label, and on as long as labels follow that are in
+    the pieces before.
+    """
+    while len(children) > SEQUENCE:
+        label, times = Counter(c[0] for c in children).most_common(1)[0]
+        if times == 1:
+            break
+        starts = [k for k, c in enumerate(children) if c[0] == label]
+        known = {c[0] for c in children[starts[0] : starts[-1]]}
+        end = starts[-1] + 1
+        while end < len(children) and children[end][0] in known:
+            end += 1
+        pieces = [children[a:b] for a, b in zip(starts, [*starts[1:], end])]
+        piece = pieces[0]
+        for other in pieces[1:]:
+            piece = aligned(piece, other, one_page) if [x[0] for x in piece] != [x[0] for x in other] else [merged(x, y, one_page) for x, y in zip(piece, other)]
+        if len(piece) == 1:
+            piece[0][2] = True
+            children = [*children[: starts[0]], *piece, *children[end:]]
+        else:
+            children = [*children[: starts[0]], [GROUP, False, True, grouped(piece, one_page), False], *children[end:]]
+    return children
 
 
-def as_bag(node: list) -> list:
+def as_bag(node: list, one_page: bool) -> list:
     """The children as a repeated group of optionals, one for each label."""
     by: dict[str, list] = {}
     for child in node[3]:
-        by[child[0]] = merged(by[child[0]], child) if child[0] in by else list(child)
-    if len(by) > 64:
+        by[child[0]] = merged(by[child[0]], child, one_page) if child[0] in by else list(child)
+    if len(by) > LABELS:
         wide = list(by.values())
         by = {}
         for child in wide:
             label = role_label(child[0])
             child = [label, *child[1:]]
-            by[label] = merged(by[label], child) if label in by else child
+            by[label] = merged(by[label], child, one_page) if label in by else child
     for child in by.values():
         child[1] = child[2] = True
     return [node[0], node[1], node[2], list(by.values()), True]
@@ -276,6 +311,7 @@ class Wrapper:
 
     def __init__(self, tree: list | None):
         self.tree, self.slots = tree, set()
+        self.flat: dict[int, tuple[list, list]] = {}
         if tree is not None:
             inside: list[int] = []
             outside: list[int] = []
@@ -298,16 +334,43 @@ class Wrapper:
             self.walk(page, self.tree, out)
         return out
 
+    def places(self, own: list) -> tuple[list, list]:
+        """The node's children, those of groups in their place, and the ranges of the groups around each, inner ones first."""
+        if id(own) not in self.flat:
+            children: list = []
+            around: list = []
+
+            def visit(nodes: list, groups: list) -> None:
+                for node in nodes:
+                    if node[0] == GROUP:
+                        inner = [len(children), 0]
+                        visit(node[3], [inner, *groups])
+                        inner[1] = len(children)
+                    else:
+                        children.append(node)
+                        around.append(groups)
+
+            whole = [0, 0]
+            visit(own[3], [whole])
+            whole[1] = len(children)
+            self.flat[id(own)] = children, around
+        return self.flat[id(own)]
+
     def walk(self, node: list, own: list, out: list[str]) -> None:
-        at, children = 0, own[3]
-        for child in node[1]:
+        children, around = self.places(own)
+        at = 0
+        for child in node[1] if children else ():
             label = "#" if isinstance(child, tuple) else child[0]
-            found = next((k for k in range(at, len(children)) if children[k][0] == label), None)
-            if found is None:
-                found = next((k for k in range(len(children)) if children[k][0] in (label, role_label(label))), None)
-            if found is None:
-                continue
-            at = 0 if own[4] else found
+            for first, end in around[at]:  # on in the group, again from its start, then outside
+                found = next((k for k in chain(range(at, end), range(first, at)) if children[k][0] == label), None)
+                if found is not None:
+                    break
+            else:
+                wide = role_label(label)
+                found = next((k for k, c in enumerate(children) if c[0] == wide), None)
+                if found is None:
+                    continue
+            at = found
             if label != "#":
                 self.walk(child, children[found], out)
             elif id(children[found]) in self.slots:

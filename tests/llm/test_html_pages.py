@@ -1,5 +1,9 @@
 """Pages with void elements and left-out end tags."""
 
+import json
+import re
+
+import numpy as np
 import pytest
 
 from fieldroll.llm import html_text
@@ -55,3 +59,44 @@ def test_long_notice_of_every_page_is_template():
     for page in pages[1:]:
         tree = html_text.merged(tree, html_text.generalised(page))
     assert html_text.Wrapper(tree).blocks(pages[1]) == ["Text of page 1"]
+
+
+def own_text(pages):
+    """The main texts of pages of one host, without Spark."""
+    tree = None
+    for page in pages:
+        new = html_text.generalised(html_text.parsed(page))
+        tree = new if tree is None else html_text.merged(tree, new)
+    wrapper = html_text.Wrapper(json.loads(json.dumps(tree)))
+    return ["\n".join(wrapper.blocks(html_text.parsed(p))) for p in pages], tree
+
+
+def test_long_flat_pages_keep_their_order():
+    """A menu's paragraph before the article's isn't taken with them, however many parts the article has."""
+    pages, want = [], []
+    for k, parts in enumerate([2, 9, 1, 30, 14, 0]):
+        own = [("h1", f"Title {k}"), *((t, f"{t} {i} of {k}") for i in range(parts) for t in ("h2", "p", "ul" if i % 3 == 1 else "p"))]
+        want.append("\n".join(x for _, x in own))
+        pages.append("<p>Home About Contact</p>" + "".join(f"<{t}>{x}</{t}>" for t, x in own) + "<hr><div>All rights reserved</div><pre>Site map</pre>")
+    got, tree = own_text(pages)
+    assert got == want
+    assert len(tree[3]) <= html_text.LABELS and any(c[0] == html_text.GROUP for c in tree[3])
+
+
+def test_size_of_wrappers_is_bounded():
+    random_ = np.random.default_rng(5)
+    tags = ["p", "h2", "ul", "pre", "table", "blockquote", "section", "dl"]
+    sizes = []
+    for long in (200, 4000):
+        pages = ["".join(f"<{t}>{t}{k}</{t}>" for k, t in enumerate(random_.choice(tags, long))) for _ in range(4)]
+        got, tree = own_text(pages)
+        assert got == ["\n".join(re.findall(r">([^<]+)<", p)) for p in pages]
+        sizes.append(len(json.dumps(tree)))
+    assert sizes[1] < 3 * sizes[0]
+
+
+def test_many_labels():
+    pages = [f"<div class=page>{''.join(f'<div class=w{chr(97 + i // 26)}{chr(97 + i % 26)}>text {i} {k}</div>' for i in range(200))}</div>" for k in range(4)]
+    got, tree = own_text(pages)
+    assert got == ["\n".join(f"text {i} {k}" for i in range(200)) for k in range(4)]
+    assert len(json.dumps(tree)) < 2000
