@@ -88,16 +88,22 @@ class Forest:
     def __init__(self, n: int):
         self.label = np.arange(n)
 
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+    def link(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Joins a[i] and b[i]; returns those of these links that span what was joined."""
+        spanning = [(a[:0], b[:0])]
         while len(a):
             x, y = self.label[a], self.label[b]
             differ = x != y
             if not differ.any():
-                return
+                break
             a, b = a[differ], b[differ]
             low, high = np.minimum(x, y)[differ], np.maximum(x, y)[differ]
             parent = np.arange(len(self.label))
             np.minimum.at(parent, high, low)
+            used = np.flatnonzero(parent[high] == low)
+            used = used[np.unique(high[used], return_index=True)[1]]
+            spanning.append((a[used], b[used]))
             while not np.array_equal(up := parent[parent], parent):
                 parent = up
             self.label = parent[self.label]
+        return np.concatenate([s[0] for s in spanning]), np.concatenate([s[1] for s in spanning])

@@ -13,10 +13,12 @@ a pair is linked only if its shingle sets, compared in full, are. The order puts
 texts share) last, so that texts meet under rare ones; a pair goes on only if what follows the shingle in both texts
 leaves room for the overlap that the similarity needs, as it does at the first shingle that a similar pair shares. The
 bound of the search is wide: at a similarity j about acos(2j / (1 + j)) / pi of the bits differ, some 19 of 128 at 0.8, and
-pairs at 41 or fewer are compared.
+pairs at 41 or fewer are compared. A bitmap of each set (a bit for each shingle's hash) then bounds a pair's overlap from
+above, by the bits that only one of the two has: most pairs of a large group of loosely similar texts end here.
 
 Only a spanning forest of each group's links goes on, so a large group of near copies sends as many rows
-as it has members, and pairs already joined are not compared again. Copies share a fingerprint and are
+as it has members, and pairs already joined are not compared again (deduplicated: once the forest's pairs are compared in
+full, only pairs of different components are). Copies share a fingerprint and are
 one node. Components are found by contraction.
 
 Defined results: null and empty texts, or such of white space alone, have fingerprint zero, linked like
@@ -48,6 +50,10 @@ CHUNK = 2048
 FREQUENT = 1 << 16
 #: Shingles that a task holds at most while it counts them (16 bytes each).
 COUNTED = 1 << 20
+#: Texts to be compared in full up to which their hashes are broadcast (16 bytes each); beyond, a join by hash.
+BROADCAST_TEXTS = 400_000
+#: 64-bit words of a set's bitmap.
+MAP_WORDS = 16
 #: Planes are read in a mixed order, so that those that a key fixes don't come first.
 ORDER = [p * 37 % 64 for p in range(64)]
 
@@ -170,12 +176,13 @@ def masks(blocks: int = RADIUS + 2, same: int = 2) -> list[int]:
     return [m - (1 << 64) if (m := sum(x)) >= 1 << 63 else m for x in combinations(own, same)]
 
 
-def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int = RADIUS, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, start: np.ndarray | None = None, pairs: list | None = None) -> np.ndarray:
+def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int = RADIUS, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, start: np.ndarray | None = None, spanning: list | None = None, pairs: list | None = None) -> np.ndarray:
     """A label for each value: the smallest row that it is linked to, through pairs (i, j) with low[i] <= j < high[i].
 
     fits: which of the pairs found (rows a, rows b) are linked; without it, all.
     start: labels to begin with; pairs of the same label aren't compared.
-    pairs: gets every pair found (an array of each side) in place of linking it.
+    spanning: gets a spanning forest of the links (an array of each side).
+    pairs: gets every pair found in place of linking it.
     """
     n, every = len(values), np.uint64(0xFFFFFFFFFFFFFFFF)
     width = -(-n // 64)
@@ -234,7 +241,9 @@ def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int =
                 close = fits(a, b)
                 a, b = a[close], b[close]
             if pairs is None:
-                forest.link(a, b)
+                found = forest.link(a, b)
+                if spanning is not None:
+                    spanning.append(found)
             else:
                 apart = forest.label[a] != forest.label[b]
                 pairs.append((a[apart], b[apart]))
@@ -294,13 +303,21 @@ def shared(nodes: DataFrame) -> DataFrame:
     return map_groups(rows.repartition("key").sortWithinPartitions("key"), ["key"], run, "key long, node long, place int")
 
 
-def candidates(rows: DataFrame, similarity: float, radius: int, every: bool, chunk: int = CHUNK) -> DataFrame:
+def bitmap(values: np.ndarray) -> bytes:
+    """A bit for each value; several may share one."""
+    bits = np.zeros(64 * MAP_WORDS, bool)
+    bits[(values & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def candidates(rows: DataFrame, similarity: float, radius: int, chunk: int = CHUNK) -> DataFrame:
     """Pairs (a, b) of nodes with the same key whose 128 bits differ in 2 * radius + 1 or fewer, and whose sets may be that similar.
 
-    They may not, if the shingles from the key on are fewer than the overlap needed; of a similar pair's keys the first passes.
-    rows: key, node, place, size, fp, more, component. Not `every`: only pairs of a spanning forest of each group. `every`: all pairs
-    of different components.
+    They may not, if the shingles from the key on are fewer than the overlap needed (of a similar pair's keys the first
+    passes), or if the bitmaps show that too many are in one set only. rows: key, node, place, size, fp, more, and map if there
+    are bitmaps. With component: all pairs of different components; without: those of a spanning forest of each group.
     """
+    mapped, every = "map" in rows.columns, "component" in rows.columns
 
     def run(table: pa.Table, cuts: np.ndarray) -> pa.Table | None:
         got = paired(table, cuts)
@@ -309,23 +326,30 @@ def candidates(rows: DataFrame, similarity: float, radius: int, every: bool, chu
         get, low, high = got
         node, size, words = get("node"), get("size").astype(float), [get(c).view(np.uint64) for c in ("fp", "more")]
         left = size - get("place")
+        maps = np.frombuffer(b"".join(get("map")), np.uint64).reshape(-1, MAP_WORDS) if mapped else None
 
         def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             differ = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words)
-            return (differ <= 2 * radius + 1) & (np.minimum(left[a], left[b]) * (1 + similarity) >= similarity * (size[a] + size[b]) - 1e-9)
-
+            need = (similarity * (size[a] + size[b]) - 1e-9) / (1 + similarity)
+            good = (differ <= 2 * radius + 1) & (np.minimum(left[a], left[b]) >= need)
+            if mapped:
+                at = np.flatnonzero(good)
+                one, two = maps[a[at]], maps[b[at]]
+                alone = [np.bitwise_count(x & ~y).sum(1, dtype=np.int64) for x, y in ((one, two), (two, one))]
+                good[at] = np.minimum(size[a[at]] - alone[0], size[b[at]] - alone[1]) >= need[at]
+            return good
+
+        found: list = []
         if every:
             _, at, own = np.unique(get("component"), return_index=True, return_inverse=True)
-            found: list = []
             for k in (0, 1):
-                compare(words[k], low, high, radius, fits, at[own], found)
-            a, b = (np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-            return pa.table({"a": node[a], "b": node[b]})
-        label = np.arange(len(node))
-        for k in (0, 1):
-            label = compare(words[k], low, high, radius, fits, label)
-        linked = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"a": node[linked], "b": node[label[linked]]})
+                compare(words[k], low, high, radius, fits, at[own], pairs=found)
+        else:
+            label = None
+            for k in (0, 1):
+                label = compare(words[k], low, high, radius, fits, label, found)
+        a, b = (np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table({"a": node[a], "b": node[b]})
 
     found = map_groups(dealt(rows, ["key"], "node", chunk), ["key", "first", "second"], run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -350,21 +374,24 @@ def similar_classes(docs: DataFrame, own: DataFrame, text_col: str, shingle: int
     """node, component: the groups of nodes joined by pairs of that similarity or more, for nodes in such pairs."""
     nodes = written(own.groupBy("node").agg(F.min("h").alias("h"), *(F.first(c).alias(c) for c in ("size", "fp", "more", "prefix"))), "nodes")
     rows = written(shared(nodes).join(nodes.select("node", "size", "fp", "more"), "node"), "shared")
-    # First a few pairs of each group, so that of a large group of near copies not all pairs are compared in full.
-    few = written(candidates(rows.withColumn("component", F.col("node")), similarity, radius, False), "candidates")
-    close = written(few.select(F.col("a").alias("node")).union(few.select("b")).distinct(), "close")
+    few = candidates(rows, similarity, radius)
+    close = written(few.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "close")
     texts = docs.select(F.xxhash64(text_col).alias("h"), docs[text_col].alias("t"))
-    texts = texts.join(nodes.select("node", "h").join(close, "node"), "h").dropDuplicates(["node"])
+    wanted = nodes.select("node", "h").join(close, "node")
+    texts = texts.join(F.broadcast(wanted) if close.count() <= BROADCAST_TEXTS else wanted, "h").dropDuplicates(["node"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, shingle)[0].tobytes() for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+        sets = [shingle_set(t, shingle)[0] for t in batch.column(1).to_pylist()]
+        each = [pa.array([make(s) for s in sets], pa.binary()) for make in (np.ndarray.tobytes, bitmap)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *each], ["node", "set", "map"])
 
-    sets = written(map_batches(texts.select("node", "t"), run, "node long, set binary"), "sets")
-    first = written(similar(few, sets, similarity), "similar")
+    sets = written(map_batches(texts.select("node", "t"), run, "node long, set binary, map binary"), "sets")
+    rows = written(rows.join(sets.select("node", "map"), "node"), "near")
+    # First a few pairs of each group, so that of a large group of near copies not all pairs are compared in full.
+    first = written(similar(candidates(rows, similarity, radius), sets.drop("map"), similarity), "similar")
     joined = close.join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    rest = candidates(rows.join(written(joined, "components"), "node"), similarity, radius, True)
-    return components(first.union(similar(rest, sets, similarity)))
+    rest = candidates(rows.join(written(joined, "components"), "node"), similarity, radius)
+    return components(first.union(similar(rest, sets.drop("map"), similarity)))
 
 
 def classes(own: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -393,6 +420,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     group = own.select("id", "h", "node").join(of, "node", "left").groupBy(F.coalesce("component", "node"))
     kept = group.agg(F.min(F.struct(F.isnull("id").alias("no"), "id", "h")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"))
     rows = docs.withColumn("__key", F.xxhash64(text_col))
-    rows = rows.join(kept, rows[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left_semi")
-    one = Window.partitionBy(id_col, "__key").orderBy("__key")
-    return rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    of_row = lambda other: rows[id_col].cast("long").eqNullSafe(other["__id"]) & (rows["__key"] == other["__h"])
+    rows = rows.join(kept, of_row(kept), "left_semi")
+    again = own.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.count("*").alias("__n")).where("__n > 1")
+    again = written(again, "again")
+    if not again.isEmpty():  # rows with both the same id and the same text: one stays
+        one = Window.partitionBy(id_col, "__key").orderBy("__key")
+        first = rows.join(again, of_row(again), "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+        rows = rows.join(again, of_row(again), "left_anti").unionByName(first)
+    return rows.select(*docs.columns)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from fieldroll.llm import simhash
+from fieldroll.llm import buckets, simhash
 
 from .test_operators import brute_components
 
@@ -53,3 +53,41 @@ def test_frequent_shingles(spark):
     found = simhash.frequent_shingles(docs, "text", 5, most=2)
     assert set(found.tolist()) == set(simhash.shingle_set("a b c d e", 5)[0].tolist() + simhash.shingle_set("x y z u v", 5)[0].tolist())
     assert len(simhash.frequent_shingles(docs.where("doc_id < 0"), "text", 5)) == 0
+
+
+def test_group_of_loosely_similar_texts(spark):
+    """Copies of one text with edits of their own: most pairs are below the bound, and few of them are compared in full."""
+    random_ = np.random.default_rng(8)
+    base = [f"w{k}" for k in random_.integers(0, 5000, 150)]
+    texts = []
+    for k in range(300):
+        words = list(base)
+        for at in random_.choice(150, random_.integers(1, 9), replace=False):
+            words[at] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    own = dict(enumerate(map(shingles, texts)))
+    label = brute_components(list(own), lambda a, b: 10 * len(own[a] & own[b]) >= 8 * len(own[a] | own[b]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == {k for k in own if label[k] == k}
+
+
+def test_spanning_links():
+    random_ = np.random.default_rng(1)
+    a, b = random_.integers(0, 200, (2, 150))
+    forest = buckets.Forest(200)
+    x, y = forest.link(a, b)
+    again = buckets.Forest(200)
+    again.link(x, y)
+    assert np.array_equal(forest.label, again.label) and len(x) == 200 - len(set(forest.label.tolist()))
+    assert set(zip(x.tolist(), y.tolist())) <= set(zip(a.tolist(), b.tolist()))
+
+
+def test_bitmaps_bound_the_overlap():
+    random_ = np.random.default_rng(4)
+    for size in (3, 100, 3000):
+        one = random_.integers(0, 1 << 62, size).astype(np.uint64)
+        two = np.unique(np.concatenate([one[: 2 * size // 3], random_.integers(0, 1 << 62, size // 2).astype(np.uint64)]))
+        one = np.unique(one)
+        x, y = (np.frombuffer(simhash.bitmap(s), np.uint64) for s in (one, two))
+        both = len(np.intersect1d(one, two))
+        assert both <= min(len(one) - int(np.bitwise_count(x & ~y).sum()), len(two) - int(np.bitwise_count(y & ~x).sum()))
