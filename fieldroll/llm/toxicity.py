@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = map_batches(rows, run, f"words string, y {rows.schema['y'].dataType.simpleString()}").toArrow()
     got = got.sort_by([("words", "ascending"), ("y", "ascending")])
-    return Classifier.fitted((w.split(" ") if w else [] for w in map(pa.Scalar.as_py, got.column("words"))), [int(y) for y in got.column("y").to_pylist()])
+    return Classifier.fitted((w.split(" ") if w else [] for w in got.column("words").to_pylist()), [int(y) for y in got.column("y").to_pylist()])
 
 
 class Scorer:
