@@ -13,7 +13,8 @@ such a class, outside menus, headers, footers, sidebars, notices, adverts, forms
 no such element, those outside such boilerplate that differ between pages and aren't lists of links. Each
 page is then matched with its host's wrapper, and its texts in article slots are the main text.
 
-Defined results: null and empty html give an empty text; cut-off pages are closed at their end; a url that is
+Defined results: null and empty html give an empty text; cut-off pages are closed at their end, and a tag, comment or
+script that never ends goes up to it; in scripts and other raw text nothing is a tag but the end tag; a url that is
 null or has no host shares the wrapper of such pages; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -51,6 +52,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 HIDDEN = frozenset("head script style noscript template svg math iframe object embed canvas audio video select textarea button option datalist title".split())
 #: Elements that a head may hold; any other ends it.
 HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+#: Hidden elements that may hold others of their name.
+NESTING = frozenset("svg math object template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
@@ -60,7 +63,17 @@ BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adsens
 ARTICLE_TAGS = frozenset("article main".split())
 ARTICLE_WORDS = frozenset("article articlebody post postbody entry story content maincontent main".split())
 
-_token = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|([^<]+|<)""", re.S)
+#: Attributes up to the tag's end, where only a quote after = begins a quoted value; a page may be cut off in one.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?)*+"""
+_token = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)"
+    # Elements of raw text, whose content has no tags, as a whole.
+    rf"|(?i:<(script|style|title|textarea|iframe|noscript|noembed|noframes)(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\Z)|\Z))"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)|([^<]+|<)",
+    re.S,
+)
+#: Classes that tell what the page has or lacks, not what the element is.
+_qualified = re.compile(r"(?<![\w-])(?:has|with|no|without)[-_]\S*", re.I)
 _naming = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _word = re.compile(r"[A-Za-z]+")
 
@@ -69,7 +82,7 @@ def label_of(name: str, attributes: str) -> str:
     """Element name with the words of its class, id and role: all of the boilerplate's and the article's, and of others six of 24 letters at most."""
     if "=" not in attributes:
         return name
-    words = {w.lower() for m in _naming.finditer(attributes) for w in _word.findall(m[1] or m[2] or m[3] or "")}
+    words = {w.lower() for m in _naming.finditer(attributes) for w in _word.findall(_qualified.sub("", m[1] or m[2] or m[3] or ""))}
     if len(words) > 6 or any(len(w) > 24 for w in words):
         known = words & (BOILER_WORDS | ARTICLE_WORDS)
         words = known.union(sorted(w for w in words - known if len(w) <= 24)[:6])
@@ -82,7 +95,7 @@ def parsed(source: str) -> list:
     stack, names = [root], ["#root"]  # names goes on where stack ends at DEPTH
     opened = Counter(names)
     pieces: list[str] = []
-    link, linked, hidden, within = 0, 0, None, None
+    link, linked, hidden, within, nested = 0, 0, None, None, 0
 
     def settle() -> None:
         nonlocal linked
@@ -100,7 +113,7 @@ def parsed(source: str) -> list:
         del stack[to:], names[to:]
 
     for m in _token.finditer(source):
-        slash, name, attributes, text = m.groups()
+        raw, slash, name, attributes, text = m.groups()
         if text is not None:
             if hidden == "head" and text.strip():
                 hidden = None
@@ -110,19 +123,25 @@ def parsed(source: str) -> list:
                     linked += len(text)
             continue
         if name is None:
+            if raw and hidden == "head" and raw.lower() not in HEAD:
+                hidden = None
             continue
         name = name.lower()
         if hidden is not None:
             if "head" in (hidden, within) and (slash and name == "head" or not slash and name == "body"):
-                hidden = within = None
+                hidden, within, nested = None, None, 0
             elif slash:
-                if name == hidden:
+                if name == hidden and nested:
+                    nested -= 1
+                elif name == hidden:
                     hidden, within = within, None
             elif hidden == "head":
                 if name not in HEAD:
                     hidden = None
                 elif name in HIDDEN and name != "head" and not attributes.endswith("/"):
                     hidden, within = name, "head"
+            elif name == hidden and name in NESTING and not attributes.endswith("/"):
+                nested += 1
             if hidden is not None or slash:
                 continue
         if name in HIDDEN and name not in VOID:
@@ -306,6 +325,16 @@ def role(label: str, inside: bool) -> str:
     return "article" if any(w in ARTICLE_WORDS for w in words) else ""
 
 
+def around_article(node: list) -> bool:
+    """Whether a form holds an article or main element, as where one form is around the whole page."""
+    name, *words = node[0].split(".")
+    return name == "form" and not any(w in BOILER_WORDS for w in words) and holds_article(node)
+
+
+def holds_article(node: list) -> bool:
+    return any(c[0] != "#" and (c[0].split(".")[0] in ARTICLE_TAGS and role(c[0], False) == "article" or role(c[0], False) != "boiler" and holds_article(c)) for c in node[3])
+
+
 class Wrapper:
     """A host's wrapper with its article slots."""
 
@@ -325,7 +354,7 @@ class Wrapper:
                     inside.append(id(child))
                 elif not (child[3] is not None and child[6] >= TEMPLATE_PAGES) and child[5] <= 0.6 * child[4]:
                     outside.append(id(child))
-            elif (kind := role(child[0], within)) != "boiler":
+            elif (kind := role(child[0], within)) != "boiler" or around_article(child):
                 self.sort(child, within or kind == "article", inside, outside)
 
     def blocks(self, page: list) -> list[str]:

@@ -30,6 +30,17 @@ def texts(source):
         ("<head><title>T</title><article><embed src=x>one</article>", ["one"]),
         ("<head><title>T</title></head>one", ["one"]),
         ("<head><title>T</title> one <p>two", ["one", "two"]),
+        ("<p>one</p><script>for(i=0;i<n;i++){x='don\"t'}</script><p>two</p>", ["one", "two"]),
+        ("<p>one</p><SCRIPT type='a>b'>if(a</script2>b)</Script ><p>two</p>", ["one", "two"]),
+        ("<p>one</p><script src='a>b' /><p>two</p>", ["one", "two"]),
+        ("<p>one</p><script>var a='<p>no</p>", ["one"]),
+        ("<p>one</p><style>a>b{content:'<c'}</style>two<noscript><img src=\"x</noscript><p>three</p>", ["one", "two", "three"]),
+        ("<p>one</p><svg><svg><text>no</text></svg><text>no</text></svg><p>two</p>", ["one", "two"]),
+        ("<head><svg><svg></svg>no</svg></head><p>one</p>", ["one"]),
+        ("<p>one</p><a href=\"http://cut", ["one"]),
+        ("<p class=it's>one</p><p title=\"a>b\">two</p>", ["one", "two"]),
+        ("<!--><p>one</p><!-- <p>no</p> --!><p>two</p></ no><p>a < b</>", ["one", "two", "a < b"]),
+        ("<head><title>T</title><iframe src=x></iframe><p>one</p>", ["one"]),
     ],
 )
 def test_texts(source, found):
@@ -44,6 +55,16 @@ def test_labels_keep_what_sets_the_role():
     assert len(html_text.label_of("div", "class='" + " ".join("x" * k for k in range(1, 60)) + "'").split(".")) == 7
 
 
+def test_classes_of_what_the_page_has():
+    assert html_text.label_of("div", "class='page has-sidebar no-comments with_menu'") == "div.page"
+    assert html_text.role(html_text.label_of("div", "class='sidebar'"), True) == "boiler"
+
+
+def test_form_around_the_page():
+    page = "<form id=aspnetForm><div>Menu</div><main><p>one</p><form class=search>no</form></main></form><form><p>no</p></form>"
+    assert own_text([page])[0] == ["one"]
+
+
 def test_end_tags_of_deep_elements():
     source = "<article><p>one</p>" + "<div>" * 150 + "deep" + "</div>" * 150 + "<p>two</p></article><footer>no</footer>"
     page = html_text.parsed(source)
