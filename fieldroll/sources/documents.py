@@ -88,6 +88,12 @@ def field(doc: Column, name: str, kind: str = "string", default=None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
+def aliased(doc: Column, *names: str, default: str | None = None) -> Column:
+    """The first value that is neither null nor empty under one of the names (a.b: within a), else the default."""
+    found = (F.nullif(F.try_variant_get(doc, f"$.{name}", "string"), F.lit("")) for name in names)
+    return F.coalesce(*found, F.lit(default))
+
+
 def reports(docs: DataFrame) -> DataFrame:
     """One typed row per document of the record type."""
     d = F.col("doc")
