@@ -5,8 +5,8 @@ host's wrapper: texts that differ become slots, tags that one side lacks become
 same tag become repeated groups. A long sequence is cut before each tag of its most frequent kind, and its pieces,
 aligned with each other, become one repeated group between what stands before and after them; so a wrapper's
 size doesn't grow with a page's length, and the order of its parts stays. Each task makes wrappers of its own pages; these, not the pages, are dealt by host
-and aligned again, as a stream. So every page counts, and a host with a third of all pages costs one small row
-for each task.
+and aligned again, as a stream, first in PARTS parts of each host. So every page counts, and a host with a third of
+all pages costs one small row for each task, which no single task reads all of.
 
 The wrapper tells which of its text slots belong to the article: those inside an article or main element, or
 such a class, outside menus, headers, footers, sidebars, notices, adverts, forms and comments; where a host has
@@ -36,6 +36,8 @@ from .common import map_batches, written
 
 #: Wrappers of at most this many bytes in all are broadcast; beyond, pages are joined with them by host.
 BROADCAST_BYTES = 32 << 20
+#: Tasks over which the wrappers of one host are dealt before the last alignment.
+PARTS = 64
 #: In longer sequences of children repeated groups are looked for.
 SEQUENCE = 12
 #: Sequences that have more different labels become a repeated group of optionals, without order.
@@ -434,8 +436,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
         if tree is not None:
             yield packed({now: tree})
 
-    parts = pages.mapInArrow(partial, "host string, wrapper string")
-    return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(whole, "host string, wrapper string")
+    kind = "host string, wrapper string"
+    parts = pages.mapInArrow(partial, kind).withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
+    parts = parts.repartition("host", "part").sortWithinPartitions("host", "part", "wrapper").select("host", "wrapper").mapInArrow(whole, kind)
+    return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(whole, kind)
 
 
 def packed(trees: dict[str, list]) -> pa.RecordBatch:
