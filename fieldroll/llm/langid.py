@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +51,19 @@ class Model:
 
     @classmethod
     def of_counts(cls, rows: list[tuple[str, int, int]]) -> Model:
-        langs = sorted({r[0] for r in rows})
+        langs, buckets, counts = zip(*rows) if rows else ((), (), ())
+        return cls.of_table(pa.table({"lang": pa.array(langs, pa.string()), "bucket": pa.array(buckets, pa.int32()), "n": pa.array(counts, pa.int64())}))
+
+    @classmethod
+    def of_table(cls, rows: pa.Table) -> Model:
+        """rows: lang, bucket, n, each pair of the first two once."""
+        langs = sorted(rows.column("lang").unique().to_pylist())
         table = np.full((BUCKETS, len(langs)), SMOOTHING)
-        for k, lang in enumerate(langs):
-            own = [(r[1], r[2]) for r in rows if r[0] == lang]
-            table[[b for b, _ in own], k] += [n for _, n in own]
-        return cls(langs, np.log(table / table.sum(0)).astype(np.float32) if langs else table)
+        if langs:
+            column = pc.index_in(rows.column("lang"), pa.array(langs, rows.schema.field("lang").type)).to_numpy()
+            table[rows.column("bucket").to_numpy(), column] += rows.column("n").to_numpy()
+            table = np.log(table / table.sum(0)).astype(np.float32)
+        return cls(langs, table)
 
 
 class Scorer:
@@ -188,7 +196,7 @@ def gram_counts(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model of all labelled rows; what comes to the driver is BUCKETS rows per language at most."""
-    return Model.of_counts([tuple(r) for r in gram_counts(labelled, text_col, lang_col).collect()])
+    return Model.of_table(gram_counts(labelled, text_col, lang_col).toArrow())
 
 
 _own: list = [None, None]
