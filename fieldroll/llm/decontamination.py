@@ -34,6 +34,8 @@ EDITS = 0.08
 BLOCK_GRAMS = 1 << 20
 STEP = 1 << 18
 BITMAP = 22
+#: Pairs of a text's q-gram and an item's that are held at once (a q-gram that a text repeats meets every place of the items that has it).
+POSTINGS = 1 << 20
 
 _others = re.compile(r"[\W_]+")
 
@@ -93,20 +95,31 @@ class Items:
         same = self.keys[key] == hashes[at]
         return at[same], key[same]
 
+    def counted(self, at: np.ndarray, key: np.ndarray, doc: np.ndarray, low: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of (doc, item, band less low) that hits fall in, and the number of hits in each."""
+        many = self.last[key] - self.first[key]
+        posting = np.repeat(self.first[key], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        item = self.item[posting]
+        band = (np.repeat(at, many) - self.place[posting]) // np.maximum(1, self.edits[item])
+        code = (np.repeat(doc, many) * len(self.ids) + item) * span + (band - low)
+        return np.unique(np.concatenate([code, code - 1]), return_counts=True)
+
     def bands(self, at: np.ndarray, key: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(doc, item, band) of bands that reach the item's bound; band b holds diagonals from b * wide to (b + 2) * wide."""
         many = self.last[key] - self.first[key]
-        posting = np.repeat(self.first[key], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        item, diagonal = self.item[posting], np.repeat(at, many) - self.place[posting]
-        band = diagonal // np.maximum(1, self.edits[item])
-        doc = np.repeat(doc, many)
-        if not len(doc):
+        upto = np.cumsum(many)
+        if not len(at):
             return
-        both = np.concatenate([band, band - 1])
-        low = int(both.min())
-        span = int(both.max()) - low + 1
-        code = (np.tile(doc, 2) * len(self.ids) + np.tile(item, 2)) * span + (both - low)
-        codes, counts = np.unique(code, return_counts=True)
+        low = -int(self.place.max()) - 1
+        span = int(at.max()) - low + 1
+        codes, counts, start = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while start < len(at):
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + POSTINGS, side="right")))
+            new, times = self.counted(at[start:stop], key[start:stop], doc[start:stop], low, span)
+            if start:
+                new, own = np.unique(np.concatenate([codes, new]), return_inverse=True)
+                times = np.bincount(own, np.concatenate([counts, times]), len(new)).astype(np.int64)
+            codes, counts, start = new, times, stop
         pair, shifted = codes // span, codes % span
         found = np.flatnonzero(counts >= self.bound[pair % len(self.ids)])
         for p, b in zip(pair[found].tolist(), shifted[found].tolist()):
