@@ -36,7 +36,7 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it; tests get one of their own."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir is None and (current := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         set_dir = current.get()
     if set_dir is None:
