@@ -7,4 +7,4 @@ from pyspark.sql import SparkSession
 
 def folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; a local one for tests, where none is named."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints/fieldroll").rstrip("/")
+    return spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints/fieldroll").rstrip("/")
