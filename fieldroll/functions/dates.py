@@ -104,3 +104,13 @@ def long_date(date: Column) -> Column:
     """4 Agustus 2026."""
     month = F.get(F.array(*map(F.lit, LONG_MONTHS)), F.month(date) - 1)
     return F.concat_ws(" ", F.day(date).cast("string"), month, F.year(date).cast("string"))
+
+
+#: Fixed value: names of snapshots.
+SNAPSHOT_NAME = r"^\d{8}_\d{6}\.json$"
+
+
+def snapshot_time(name: Column) -> Column:
+    """The time in a snapshot's name as it is shown; the name without its end, if it is no time."""
+    stem = F.regexp_replace(name, r"\.json$", "")
+    return F.coalesce(F.date_format(F.try_to_timestamp(stem, F.lit("yyyyMMdd_HHmmss")), "dd MMM yyyy HH:mm:ss"), stem)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldroll.functions import dates, enums, numbers
 from fieldroll.functions import text as tx
-from fieldroll.operators import lines, manpower, progress, tables
+from fieldroll.operators import lines, listings, manpower, progress, tables
 from fieldroll.operators.coverage import missing_dates
 from fieldroll.plans.period_report import compile_period
 from fieldroll.sources import documents as docs
@@ -177,3 +177,16 @@ def test_array_files_and_file_lists(spark, tmp_path):
     rows = docs.array_files(spark, str(tmp_path), "name string, n int").orderBy("position").collect()
     assert [(r.position, r.name, r.n) for r in rows] == [(0, "x", 1), (1, "y", None)]
     assert [(r.name, r.size_bytes) for r in docs.file_list(spark, str(tmp_path), r"b\.json").collect()] == [("b.json", 7)]
+
+
+def test_as_list(spark):
+    docs = ["null", '""', '"a"', "[1, null]", "[]", "7", '{"k": 1}', None]
+    rows = spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "k int, d string")
+    own = rows.select("k", F.transform(listings.as_list(F.parse_json("d")), lambda x: F.to_json(x)).alias("x")).orderBy("k").collect()
+    assert [r.x for r in own] == [[], [], ['"a"'], ["1", "null"], [], ["7"], ['{"k":1}'], []]
+
+
+def test_snapshot_time(spark):
+    names = ["20240229_235959.json", "20230229_000000.json", None]
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string")
+    assert [r.t for r in rows.select("k", dates.snapshot_time(F.col("n")).alias("t")).orderBy("k").collect()] == ["29 Feb 2024 23:59:59", "20230229_000000", None]
