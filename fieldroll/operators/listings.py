@@ -29,6 +29,6 @@ def listed(rows: DataFrame, keys: list[str], name: str, most: int | None = None)
 
 def as_list(value: Column) -> Column:
     """A VARIANT as an array of them: an array as it is, null and an empty text as none, any other value as the only one."""
-    none = F.coalesce(F.is_variant_null(value), F.lit(True)) | F.coalesce(F.try_variant_get(value, "$", "string") == "", F.lit(False))
+    none = value.isNull() | F.is_variant_null(value) | F.coalesce(F.try_variant_get(value, "$", "string") == "", F.lit(False))
     listed = F.try_variant_get(value, "$", "array<variant>")
     return F.when(none, F.array().cast("array<variant>")).otherwise(F.coalesce(listed, F.array(value)))
