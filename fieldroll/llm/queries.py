@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, embeddings, html_text, langid, secrets, simhash, token_counts, toxicity, warc
+from . import alignment, bpe, decontamination, embeddings, html_text, langid, secrets, simhash, token_counts, toxicity, warc
 from .common import id_crc, new_path, ship
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -87,9 +88,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out}).drop("languages")
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
+    return alignment.alignment(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), vocabulary(PIECE_VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_toxicity, op3_token_counts, op4_secret_scans, op5_simhash, op6_html_text, op7_bpe, op8_decontamination, op9_embeddings, op10_language_id)
+    for f in (op1_warc, op2_toxicity, op3_token_counts, op4_secret_scans, op5_simhash, op6_html_text, op7_bpe, op8_decontamination, op9_embeddings, op10_language_id, op11_cross_tokenizer)
 }
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
