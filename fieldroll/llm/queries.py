@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, decontamination, embeddings, html_text, langid, secrets, simhash, token_counts, toxicity, warc
+from . import alignment, bpe, decontamination, embeddings, html_text, langid, mixing, secrets, simhash, token_counts, toxicity, warc
 from .common import id_crc, new_path, ship
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -93,9 +93,15 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), vocabulary(PIECE_VOCABULARY))
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken."""
+    mix = mixing.mixed(table(spark, sf_dir, "documents")).documents()
+    return mix.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "weight")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_toxicity, op3_token_counts, op4_secret_scans, op5_simhash, op6_html_text, op7_bpe, op8_decontamination, op9_embeddings, op10_language_id, op11_cross_tokenizer)
+    for f in (op1_warc, op2_toxicity, op3_token_counts, op4_secret_scans, op5_simhash, op6_html_text, op7_bpe, op8_decontamination, op9_embeddings, op10_language_id, op11_cross_tokenizer, op13_source_mix)
 }
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
@@ -125,4 +131,26 @@ ORACLE_SQL: dict[str, str] = {
         j AS (SELECT doc_id, len(x) AS n_assign, len(y) AS n_access, len(z) AS n_hex,
                      coalesce(array_to_string(list_transform(list_sort(list_concat(list_concat(x, y), z)), lambda q: (['assign', 'access', 'hex'])[q.k + 1] || ':' || q.s || ':' || q.e), ','), '') AS spans FROM s)
         SELECT doc_id, CAST(n_assign AS BIGINT) AS n_assign, CAST(n_access AS BIGINT) AS n_access, CAST(n_hex AS BIGINT) AS n_hex, sha256(spans) AS base_sha256, spans FROM j""",
+    "op13_source_mix": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+        w AS (SELECT *, CAST(([5, 2, 1])[(rank - 1) % 3 + 1] AS BIGINT) AS weight, 2 * source_size AS most FROM s),
+        f AS (SELECT *, most / CAST(weight AS DOUBLE) AS fill,
+                     CAST(sum(source_size) OVER () * 3 - 2 * (coalesce(sum(most) OVER (ORDER BY most / CAST(weight AS DOUBLE), rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) AS budget_left,
+                     CAST(2 * sum(weight) OVER (ORDER BY most / CAST(weight AS DOUBLE), rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS rest FROM w),
+        l AS (SELECT fill AS l_fill, rank AS l_rank, budget_left AS l_left, rest AS l_rest FROM f WHERE CAST(most AS HUGEINT) * rest > CAST(budget_left AS HUGEINT) * weight ORDER BY fill, rank LIMIT 1),
+        t AS (SELECT source, source_size, rank, weight,
+                     CASE WHEN (fill, rank) >= (l_fill, l_rank) THEN CAST(weight * l_left AS DOUBLE) / CAST(l_rest AS DOUBLE) ELSE CAST(most AS DOUBLE) END AS target,
+                     CASE WHEN (fill, rank) >= (l_fill, l_rank) THEN weight * l_left // l_rest ELSE most END AS due
+              FROM f LEFT JOIN l ON true),
+        q AS (SELECT row_number() OVER () AS id, d.doc_id, d.source, d.size, t.* EXCLUDE (source),
+                     coalesce(sum(size) OVER (PARTITION BY t.rank ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        p AS (SELECT id, rank, weight, due, pass, first + pass * source_size AS start, first + pass * source_size + size AS last FROM q, (SELECT unnest([0, 1]) AS pass) WHERE size > 0),
+        o AS (SELECT *, CASE WHEN start < due AND due < last THEN due ELSE last END AS stop FROM p),
+        r AS (SELECT id, stop - start AS words, coalesce(sum(stop - start) OVER (ORDER BY CAST(stop AS DOUBLE) / weight, rank, pass, start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o),
+        b AS (SELECT sum(size) * 3 // 2 AS budget FROM d),
+        g AS (SELECT id, sum(greatest(0, least(words, budget - before))) AS taken FROM r, b GROUP BY id)
+        SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, source, weight FROM q LEFT JOIN g USING (id)""",
 }
