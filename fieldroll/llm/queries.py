@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, decontamination, embeddings, html_text, langid, mixing, secrets, simhash, token_counts, toxicity, warc
+from . import alignment, bpe, decontamination, embeddings, html_text, langid, mixing, prefix_tries, secrets, simhash, token_counts, toxicity, warc
 from .common import id_crc, new_path, ship
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -93,6 +93,11 @@ def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), vocabulary(PIECE_VOCABULARY))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
+    return prefix_tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
     mix = mixing.mixed(table(spark, sf_dir, "documents")).documents()
@@ -101,7 +106,7 @@ def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_toxicity, op3_token_counts, op4_secret_scans, op5_simhash, op6_html_text, op7_bpe, op8_decontamination, op9_embeddings, op10_language_id, op11_cross_tokenizer, op13_source_mix)
+    for f in (op1_warc, op2_toxicity, op3_token_counts, op4_secret_scans, op5_simhash, op6_html_text, op7_bpe, op8_decontamination, op9_embeddings, op10_language_id, op11_cross_tokenizer, op12_prefix_trie, op13_source_mix)
 }
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
@@ -131,6 +136,22 @@ ORACLE_SQL: dict[str, str] = {
         j AS (SELECT doc_id, len(x) AS n_assign, len(y) AS n_access, len(z) AS n_hex,
                      coalesce(array_to_string(list_transform(list_sort(list_concat(list_concat(x, y), z)), lambda q: (['assign', 'access', 'hex'])[q.k + 1] || ':' || q.s || ':' || q.e), ','), '') AS spans FROM s)
         SELECT doc_id, CAST(n_assign AS BIGINT) AS n_assign, CAST(n_access AS BIGINT) AS n_access, CAST(n_hex AS BIGINT) AS n_hex, sha256(spans) AS base_sha256, spans FROM j""",
+    "op12_prefix_trie": """
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS unit, length(coalesce(text, '')) AS n
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, list({'u': unit, 'n': n} ORDER BY turn NULLS FIRST, role, unit) AS own,
+                     xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                         lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: xor(p >> 1, (p & 1) * 3988292384))), 4294967295) % 6 AS h FROM t GROUP BY conv_id),
+        r AS (SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS path FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+        p AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM r),
+        g AS (SELECT path[1:depth] AS key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(path[depth].n), 0) AS n,
+                     sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(path) = depth), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+        k AS (SELECT key[1:depth - 1] AS key, depth - 1 AS depth, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1, 2),
+        f AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k USING (key, depth)),
+        a AS (SELECT *, unnest(range(0, depth + 1)) AS above FROM f),
+        s AS (SELECT key[1:above] AS key, above AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * n) AS saved_tokens FROM a GROUP BY 1, 2)
+        SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+        FROM f JOIN s USING (key, depth) LEFT JOIN g u ON u.depth = f.depth - 1 AND u.key = f.key[1:f.depth - 1]""",
     "op13_source_mix": r"""
         WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
                           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place FROM documents),
