@@ -23,37 +23,37 @@ def people(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def merged(persons: DataFrame, keys: list[str]) -> DataFrame:
-    """direct and indirect entries of a person side by side. A shared person's direct hours are the larger of both; the role is the direct one's if there is one at all."""
-    direct = F.col("category") == "direct"
-    wide = persons.groupBy(*keys, "person_key").agg(
+def combined(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key and person, in one aggregation of rows (keys, category, person_key, row_pos, role, hours).
+
+    Hours are the longest of each kind; a shared person's direct hours are the larger of both kinds. The role
+    is the first that isn't blank of the direct rows, if there are any, else of the indirect ones.
+    """
+    direct, role = F.col("category") == "direct", F.nullif(F.trim("role"), F.lit(""))
+    first = lambda kind: F.min_by(role, F.when(role.isNotNull() & kind, F.col("row_pos")))
+    wide = rows.groupBy(*keys, "person_key").agg(
         F.bool_or(direct).alias("is_direct"),
         F.bool_or(~direct).alias("is_indirect"),
-        F.max(F.when(direct, F.col("hours"))).alias("direct_own"),
         F.max(F.when(~direct, F.col("hours"))).alias("indirect_hours"),
-        F.max(F.when(direct, F.col("role"))).alias("direct_role"),
-        F.max(F.when(~direct, F.col("role"))).alias("indirect_role"),
+        F.max("hours").alias("hours"),
+        first(direct).alias("direct_role"),
+        first(~direct).alias("indirect_role"),
     )
-    hours = F.greatest("direct_own", "indirect_hours")
-    return wide.select(
-        *keys, "person_key", "is_direct", "is_indirect",
-        F.when(F.col("is_direct"), hours).alias("direct_hours"), "indirect_hours",
-        hours.alias("hours"),
-        F.when(F.col("is_direct"), F.col("direct_role")).otherwise(F.col("indirect_role")).alias("role"),
-    )
+    role = F.when(F.col("is_direct"), F.col("direct_role")).otherwise(F.col("indirect_role"))
+    return wide.select(*keys, "person_key", "is_direct", "is_indirect", F.when(F.col("is_direct"), F.col("hours")).alias("direct_hours"), "indirect_hours", "hours", role.alias("role"))
 
 
 def daily(combined: DataFrame, keys: list[str]) -> DataFrame:
-    """Headcounts and hours (to 2 places) of each day."""
+    """Headcounts and hours (to 2 places) of each day; a null person_key is nobody, so that a day may be empty."""
     hours = lambda c: F.coalesce(F.round(F.sum(c), 2), F.lit(0.0))
     return combined.groupBy(*keys).agg(
         F.count_if("is_direct").alias("direct_headcount"),
         F.count_if("is_indirect").alias("indirect_headcount"),
-        F.count("*").alias("total_headcount"),
+        F.count("person_key").alias("total_headcount"),
         hours("direct_hours").alias("direct_man_hours"),
         hours("indirect_hours").alias("indirect_man_hours"),
         hours("hours").alias("total_man_hours"),
-        F.count_if(F.col("hours").isNull()).alias("unparsed_hours_count"),
+        F.count_if(F.col("person_key").isNotNull() & F.col("hours").isNull()).alias("unparsed_hours_count"),
     )
 
 

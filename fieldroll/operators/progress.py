@@ -15,6 +15,12 @@ def item_key(item_id: Column, wbs_id: Column, id_: Column, description: Column)
     return first_present(F.trim(item_id), F.trim(wbs_id), F.trim(id_), norm_text(description))
 
 
+def history_key(row: dict[str, Column]) -> Column:
+    """id:x by the first of item_id, wbs_id and id that isn't blank, else description:x; null if all are blank."""
+    said = lambda kind, c: F.concat(F.lit(kind), F.nullif(norm_text(c), F.lit("")))
+    return F.coalesce(*(said("id:", row[f]) for f in ("item_id", "wbs_id", "id")), said("description:", row["description"]))
+
+
 def first_and_last(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """first_x and last_x of each value, by order."""
     at = F.struct(*order)
@@ -30,12 +36,13 @@ def deviation(actual: Column, plan: Column, stated: Column) -> Column:
     return F.coalesce(actual - plan, stated)
 
 
-def items(rows: DataFrame, order: list[str]) -> DataFrame:
-    """One row per item key, from rows of key, description, weight, the six PERCENTS and deviation."""
-    own = first_and_last(rows, ["key"], order, ["description", "weight", *PERCENTS, "deviation"])
+def items(rows: DataFrame, order: list[str], keys: list[str] = (), texts: list[str] = ("description",), source_dates: bool = False) -> DataFrame:
+    """One row per item key (and keys), from rows of key, texts, weight, the six PERCENTS and deviation. source_dates: with the first and last of order[0]."""
+    own = first_and_last(rows, [*keys, "key"], order, [*texts, "weight", *PERCENTS, "deviation", *([order[0]] if source_dates else [])])
     out = own.select(
+        *keys,
         "key",
-        F.col("last_description").alias("description"),
+        *(F.col(f"last_{c}").alias(c) for c in texts),
         F.col("last_weight").alias("weight"),
         F.col("first_previous_plan").alias("previous_plan"),
         F.col("first_previous_actual").alias("previous_actual"),
@@ -44,6 +51,7 @@ def items(rows: DataFrame, order: list[str]) -> DataFrame:
         F.col("last_to_date_plan").alias("to_date_plan"),
         F.col("last_to_date_actual").alias("to_date_actual"),
         deviation(F.col("last_to_date_actual"), F.col("last_to_date_plan"), F.col("last_deviation")).alias("deviation"),
+        *(F.col(f"{end}_{order[0]}").alias(f"{end}_source_date") for end in ("first", "last") if source_dates),
     )
     return out
 

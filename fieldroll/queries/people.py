@@ -34,7 +34,7 @@ def assignments(spark, sf_dir) -> DataFrame:
 
 
 def combined(spark, sf_dir) -> DataFrame:
-    return manpower.merged(manpower.people(assignments(spark, sf_dir), ["date"]), ["date"])
+    return manpower.combined(assignments(spark, sf_dir), ["date"])
 
 
 @query("SELECT date, direct_headcount, indirect_headcount, total_headcount FROM (" + PEOPLE_SQL + DAILY_SQL + ")")

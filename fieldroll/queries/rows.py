@@ -29,13 +29,13 @@ def prj05_provenance(spark, sf_dir):
 
 @query("SELECT CAST(event_id AS VARCHAR) AS report_id, 'direct' AS category, 'P ' || (event_id % 7) AS name, 'Fitter' AS role, '07:00 - 17:00' AS hours_raw FROM events WHERE event_id % 97 <> 0")
 def prj07_crew(spark, sf_dir):
-    return docs.assignments(docs.reports(docs.json_lines(spark, _documents(spark, sf_dir)))).select("report_id", "category", "name", "role", "hours_raw")
+    return docs.assignments(docs.typed(docs.reports(docs.json_lines(spark, _documents(spark, sf_dir))))).select("report_id", "category", "name", "role", "hours_raw")
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS report_id, CAST(0 AS INTEGER) AS area_pos, event_type AS area_id, CAST(p AS INTEGER) AS pos, CASE p WHEN 0 THEN 'Test' ELSE ' test ' END AS activity FROM events, (VALUES (0), (1)) v(p) WHERE event_id % 97 <> 0")
+@query("SELECT CAST(event_id AS VARCHAR) AS report_id, CAST(0 AS INTEGER) AS area_pos, event_type AS area_id, CAST(p AS INTEGER) AS pos, CASE p WHEN 0 THEN 'Test' ELSE 'test' END AS activity FROM events, (VALUES (0), (1)) v(p) WHERE event_id % 97 <> 0")
 def arr01_nested_activities(spark, sf_dir):
     own = docs.reports(docs.json_lines(spark, _documents(spark, sf_dir)))
-    return docs.activities(docs.areas(own)).select("report_id", "area_pos", "area_id", "pos", "activity")
+    return docs.activities(docs.areas(docs.typed(own))).select("report_id", "area_pos", "area_id", "pos", "activity")
 
 
 @query("""SELECT user_id, event_id, coalesce(nullif(CASE WHEN event_type LIKE '%c%' THEN event_type ELSE '' END, ''), 'Issued') AS description FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 3""")
@@ -167,11 +167,13 @@ def str02_clean_text(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(text).cast("long").alias("n"), F.md5(text.cast("binary")).alias("digest"))
 
 
-@query("SELECT event_id, CASE WHEN value > 50 THEN event_type || '|' || user_id ELSE CAST(user_id AS VARCHAR) END AS flat FROM events")
+@query("SELECT event_id, event_type || '|' || user_id || CASE WHEN value > 50 THEN '|in \"quotes\"' ELSE '' END AS flat FROM events")
 def str12_nested_texts(spark, sf_dir):
-    user = F.col("user_id").cast("string")
-    nested = F.to_json(F.array(F.array("event_type", F.lit(" ")), F.array(user)))
-    value = F.try_parse_json(F.when(F.col("value") > 50, nested).when(F.col("value") > 25, F.to_json(F.array(user, F.lit("")))).otherwise(F.concat(F.lit('"'), user, F.lit('"'))))
+    """Lists of depth 0 to 12 around a text, between others; numbers and objects hold no text."""
+    depth = (F.col("event_id") % 13).cast("int")
+    deep = F.concat(F.repeat(F.lit("["), depth), F.to_json(F.array(F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit("\n")))), F.repeat(F.lit("]"), depth))
+    last = F.when(F.col("value") > 50, r'["in  \"quotes\"", {"text": "{no", "list": ["no"]}]').otherwise('{"text": "no"}')
+    value = F.try_parse_json(F.concat(F.lit('["'), "event_type", F.lit('", 7, null, " ", '), deep, F.lit(", "), last, F.lit("]")))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(docs.texts(value), "|").alias("flat"))
 
 

@@ -145,10 +145,16 @@ def _documents(spark, sf_dir) -> str:
     e = table(spark, sf_dir, "events")
     person = F.struct(F.concat(F.lit("P "), F.col("event_id") % 7).alias("name"), F.lit("Fitter").alias("role"), F.lit("07:00 - 17:00").alias("hours"))
     area = F.struct(F.col("event_type").alias("id"), F.array(F.lit("Test"), F.lit(" test ")).alias("activities_today"), F.array(F.lit("Next")).alias("activities_tomorrow"), F.lit("None").alias("constraints"), F.array(person).alias("manpower"))
+    text = lambda c: c.cast("string")
+    n = F.col("event_id")
+    item = F.struct(
+        F.concat(F.lit(" WBS  "), "event_type").alias("item_id"), F.col("event_type").alias("description"), F.concat(text(10 + n % 4), F.lit(",5 %")).alias("weight_factor"), text(n % 10).alias("cumulative_previous_plan"),
+        F.when(n % 3 > 0, text(n % 9)).alias("cumulative_previous_actual"), F.lit(5).alias("this_period_actual"), text(n % 50).alias("cumulative_to_date_plan"), F.concat(text(n % 40), F.lit("%")).alias("cumulative_to_date_actual"),
+    )
     record = F.struct(
         F.lit("daily_report").alias("record_type"), F.concat(F.lit("u"), "user_id").alias("username"), F.col("event_id").cast("string").alias("report_id"), F.to_date("ts").cast("string").alias("date"),
         F.concat(F.lit("P-"), F.col("user_id") % 3).alias("project_no"), F.lit("").alias("project_title"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("generated_at"), F.floor("value").cast("int").alias("revision"),
-        F.struct(F.array(area).alias("areas"), F.lit("Inner title").alias("project_title")).alias("payload"),
+        F.struct(F.array(area).alias("areas"), F.lit("Inner title").alias("project_title"), F.array(item).alias("overall_progress"), F.when(n % 11 == 0, "No").alias("show_overall_progress")).alias("payload"),
     )
     text = F.when(F.col("event_id") % 97 == 0, "{broken").otherwise(F.to_json(record))
     path = f"{folder(spark)}/reports-{uuid.uuid4().hex}"
@@ -166,19 +172,66 @@ def src01_json_documents(spark, sf_dir):
     return own.select("report_id", "username", "date", "project_no", "project_title", "revision")
 
 
+def _compiled(spark, sf_dir, **more):
+    return compile_period(docs.reports(docs.json_lines(spark, _documents(spark, sf_dir))), "2024-01-01", "2024-01-30", **more)
+
+
 @query(SELECTED_SQL + "SELECT project_key, date, CAST(event_id AS VARCHAR) AS report_id FROM s")
 def p1_selected_reports(spark, sf_dir):
-    gold = compile_period(docs.reports(docs.json_lines(spark, _documents(spark, sf_dir))), "2024-01-01", "2024-01-30")
-    return gold["selected"].select("project_key", "date", "report_id")
+    return _compiled(spark, sf_dir)["selected"].select("project_key", "date", "report_id")
 
 
-@query(SELECTED_SQL + "SELECT date, count(DISTINCT event_id % 7) AS direct_headcount, CAST(count(DISTINCT event_id % 7) * 10 AS DOUBLE) AS direct_man_hours FROM s GROUP BY date")
+@query(SELECTED_SQL + "SELECT project_key, date, count(*) AS direct_headcount, CAST(count(*) * 10 AS DOUBLE) AS direct_man_hours FROM s GROUP BY ALL")
 def p1_manpower_daily(spark, sf_dir):
-    gold = compile_period(docs.reports(docs.json_lines(spark, _documents(spark, sf_dir))), "2024-01-01", "2024-01-30")
-    return gold["manpower_daily"].select("date", "direct_headcount", "direct_man_hours")
+    """Each report has one person: days of three projects aren't added up."""
+    return _compiled(spark, sf_dir)["manpower_daily"].select("project_key", "date", "direct_headcount", "direct_man_hours")
+
+
+@query(SELECTED_SQL + "SELECT project_key, count(*) AS total_person_days, CAST(10 * count(*) AS DOUBLE) AS total_man_hours, 1 AS peak_headcount FROM s GROUP BY ALL")
+def p1_manpower_totals(spark, sf_dir):
+    return _compiled(spark, sf_dir)["manpower_totals"].select("project_key", "total_person_days", "total_man_hours", "peak_headcount")
 
 
-@query(SELECTED_SQL + "SELECT DISTINCT date, e.event_type AS area_id, 'Test' AS activity FROM s JOIN events e USING (event_id)")
+@query(SELECTED_SQL + "SELECT project_key, date, e.event_type AS area_id, 'Test' AS activity FROM s JOIN events e USING (event_id)")
 def p1_activities(spark, sf_dir):
-    gold = compile_period(docs.reports(docs.json_lines(spark, _documents(spark, sf_dir))), "2024-01-01", "2024-01-30")
-    return gold["activities"].select("date", "area_id", "activity")
+    return _compiled(spark, sf_dir)["activities"].select("project_key", "date", "area_id", "activity")
+
+
+@query(SELECTED_SQL + """, l AS (SELECT project_key, max(date) AS date FROM s GROUP BY ALL) SELECT project_key, date, e.event_type AS area_id, 'Next' AS activity FROM s JOIN l USING (project_key, date) JOIN events e USING (event_id)""")
+def p1_tomorrow(spark, sf_dir):
+    """The plan of each project's own last day."""
+    return _compiled(spark, sf_dir)["tomorrow"].select("project_key", "date", "area_id", "activity")
+
+
+@query(SELECTED_SQL + """, n AS (SELECT project_key, date, count(*) AS n FROM r GROUP BY ALL), x AS (SELECT *, date - DATE '2024-01-01' < 20 AS expected FROM n)
+    SELECT project_key, count(*) AS covered_days, 20 - count(*) FILTER (expected) AS missing_days, count(*) FILTER (NOT expected) AS extra_days, CAST(sum(n - 1) AS BIGINT) AS superseded_count, count(*) FILTER (n > 1) AS duplicate_days FROM x GROUP BY ALL""")
+def p1_coverage(spark, sf_dir):
+    """Of the first 20 days that were expected."""
+    gold = _compiled(spark, sf_dir, expected_dates=[f"2024-01-{d:02}" for d in range(1, 21)])
+    return gold["coverage"].select("project_key", "covered_days", "missing_days", "extra_days", "superseded_count", "duplicate_days")
+
+
+PROGRESS_SQL = SELECTED_SQL + """, h AS (SELECT project_key, date, 'id:wbs ' || lower(event_type) AS key, 10.5 + event_id % 4 AS weight, event_id % 10 AS pp, CASE WHEN event_id % 3 > 0 THEN event_id % 9 END AS pa, event_id % 50 AS tp, event_id % 40 AS ta
+    FROM s JOIN events USING (event_id) WHERE event_id % 11 <> 0),
+    i AS (SELECT project_key, key, min(date) AS first_source_date, max(date) AS last_source_date, CAST(arg_max(weight, date) AS DOUBLE) AS weight, CAST(arg_min(pp, date) AS DOUBLE) AS previous_plan, CAST(arg_min_null(pa, date) AS DOUBLE) AS previous_actual, CAST(arg_max(tp, date) AS DOUBLE) AS to_date_plan, CAST(arg_max(ta, date) AS DOUBLE) AS to_date_actual FROM h GROUP BY ALL),
+    t AS (SELECT *, to_date_plan - previous_plan AS period_plan, coalesce(to_date_actual - previous_actual, 5.0) AS period_actual FROM i)"""
+
+
+@query(PROGRESS_SQL + "SELECT project_key, key, first_source_date, last_source_date, weight, previous_plan, previous_actual, period_plan, period_actual, to_date_plan, to_date_actual, to_date_actual - to_date_plan AS deviation FROM t")
+def p1_progress(spark, sf_dir):
+    """Items of three projects, from the reports that show progress."""
+    return _compiled(spark, sf_dir)["progress"].drop("title_key", "description", "duration", "start", "finish")
+
+
+@query(PROGRESS_SQL + """SELECT project_key, round(sum(weight), 6) AS weight, round(sum(weight * previous_plan / 100), 6) AS previous_plan, round(sum(weight * period_actual / 100), 6) AS period_actual, round(sum(weight * to_date_plan / 100), 6) AS to_date_plan,
+    round(round(sum(weight * to_date_actual / 100), 6) - round(sum(weight * to_date_plan / 100), 6), 6) AS deviation FROM t GROUP BY project_key""")
+def p1_progress_totals(spark, sf_dir):
+    return _compiled(spark, sf_dir)["progress_totals"].select("project_key", "weight", "previous_plan", "period_actual", "to_date_plan", "deviation")
+
+
+@query("""SELECT counter, n FROM (SELECT count(*) AS reports, 0 AS without_date, count(*) FILTER (NOT inside) AS outside, count(*) FILTER (inside AND p <> 1) AS other_projects, count(*) FILTER (inside AND p = 1) AS in_period
+    FROM (SELECT user_id % 3 AS p, CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-30' AS inside FROM events WHERE event_id % 97 <> 0)) UNPIVOT (n FOR counter IN (reports, without_date, outside, other_projects, in_period))""")
+def agg30_compile_counters(spark, sf_dir):
+    """What was seen while the reports of one project were read, observed in the scan that selects them."""
+    counters = _compiled(spark, sf_dir, project_no=" p-1 ").counters
+    return spark.createDataFrame(sorted(counters.items()), "counter string, n long")

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.numbers import hidden, parse_number
+from ..functions.text import clean_text, present
+
 RECORD_TYPE = "daily_report"
 
 
@@ -110,36 +113,96 @@ def reports(docs: DataFrame) -> DataFrame:
     )
 
 
+#: JSON strings; loops without backtracking, so that long ones need no stack.
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
 def texts(value: Column) -> Column:
-    """A text, a list of texts or a list of lists as one array of texts that aren't blank."""
-    kind = F.schema_of_variant(value)
-    one = F.array(F.try_variant_get(value, "$", "string"))
-    nested = F.flatten(F.coalesce(F.try_variant_get(value, "$", "array<array<string>>"), F.array().cast("array<array<string>>")))
-    many = F.coalesce(F.try_variant_get(value, "$", "array<string>"), nested)
-    every = F.when(value.isNull(), F.array().cast("array<string>")).when(F.startswith(kind, F.lit("ARRAY<ARRAY")), nested).when(F.startswith(kind, F.lit("ARRAY")), many).otherwise(one)
-    return F.filter(every, lambda x: F.trim(x) != "")
-
-
-def areas(report_rows: DataFrame) -> DataFrame:
-    """One row per report and area: area_pos and area (VARIANT)."""
-    every = F.try_variant_get("doc", "$.payload.areas", "array<variant>")
-    return report_rows.select("username", "report_id", "date", F.posexplode(every).alias("area_pos", "area"))
-
-
-def activities(area_rows: DataFrame, field_name: str = "activities_today") -> DataFrame:
-    own = area_rows.withColumn("texts", texts(F.try_variant_get("area", f"$.{field_name}", "variant")))
-    area_id = F.coalesce(F.try_variant_get("area", "$.id", "string"), F.lit(""))
-    return own.select("username", "report_id", "date", "area_pos", area_id.alias("area_id"), F.posexplode("texts").alias("pos", "activity"))
-
-
-def assignments(report_rows: DataFrame) -> DataFrame:
-    """Direct and indirect rows of all areas and of the report: category, row_pos, name, role, hours_raw."""
-    kind = "array<struct<name:string,role:string,hours:string>>"
-    keys = ["username", "report_id", "date"]
-    whole = report_rows.select(*keys, F.lit("indirect").alias("category"), F.lit(-1).alias("area_pos"), F.posexplode(F.try_variant_get("doc", "$.payload.indirect_manpower", kind)).alias("pos", "m"))
-    by_area = areas(report_rows)
-    parts = [by_area.select(*keys, F.lit(c).alias("category"), "area_pos", F.posexplode(F.try_variant_get("area", f"$.{f}", kind)).alias("pos", "m")) for c, f in (("direct", "manpower"), ("indirect", "indirect_manpower"))]
-    rows = whole.unionByName(parts[0]).unionByName(parts[1])
-    filled = F.coalesce(*(F.nullif(F.trim(f"m.{c}"), F.lit("")) for c in ("name", "role", "hours"))).isNotNull()
-    at = (F.col("area_pos") + 1) * 100_000 + F.col("pos")
-    return rows.where(filled).select(*keys, "category", at.alias("row_pos"), "m.name", "m.role", F.col("m.hours").alias("hours_raw"))
+    """The texts of a text or of lists in lists, of any depth, in order: cleaned, without blank ones. Other values hold none.
+
+    Works on the value's JSON text: the strings that no object holds are those at brace depth 0.
+    """
+    json_text = F.to_json(value)
+    marked = F.regexp_extract_all(json_text, F.lit(STRING + "|[{}]"), F.lit(0))
+
+    def step(acc: Column, t: Column) -> Column:
+        deeper = F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+        own = F.when((acc["depth"] == 0) & (deeper == 0), F.concat(acc["own"], F.lit(","), t)).otherwise(acc["own"])
+        return F.struct((acc["depth"] + deeper).alias("depth"), own.alias("own"))
+
+    outside = F.aggregate(marked, F.struct(F.lit(0).alias("depth"), F.lit("").alias("own")), step, lambda acc: F.substring(acc["own"], 2, 2**31 - 1))
+    plain = F.array_join(F.regexp_extract_all(json_text, F.lit(STRING), F.lit(0)), ",")
+    every = F.from_json(F.concat(F.lit("["), F.when(F.contains(json_text, F.lit("{")), outside).otherwise(plain), F.lit("]")), "array<string>")
+    return F.filter(F.transform(F.coalesce(every, F.array().cast("array<string>")), clean_text), lambda x: x != "")
+
+
+def rows_of(value: Column, path: str) -> Column:
+    """The objects of a list under path, as an array of VARIANT; empty where there is no list."""
+    every = F.coalesce(F.try_variant_get(value, path, "array<variant>"), F.array().cast("array<variant>"))
+    return F.filter(every, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))
+
+
+def people_of(value: Column, path: str) -> Column:
+    """name, role and hours of a list's rows that have any of them."""
+    fields = ("name", "role", "hours")
+    own = F.transform(rows_of(value, path), lambda m: F.struct(*(F.try_variant_get(m, f"$.{f}", "string").alias(f) for f in fields)))
+    return F.filter(own, lambda m: F.coalesce(*(present(m[f]) for f in fields)).isNotNull())
+
+
+#: Fields of a progress row.
+PROGRESS_NUMBERS = (
+    "weight_factor", "cumulative_previous_plan", "cumulative_previous_actual", "this_period_plan", "this_period_actual",
+    "cumulative_to_date_plan", "cumulative_to_date_actual", "deviation",
+)
+PROGRESS_TEXTS = ("item_id", "wbs_id", "id", "description", "duration", "start", "finish")
+
+
+def nested(doc: Column) -> dict[str, Column]:
+    """A report's lists as typed columns, so that its document is parsed once: areas, indirect, progress, hides_progress."""
+    text = lambda v, f: F.try_variant_get(v, f"$.{f}", "string")
+    said = lambda a, f: texts(F.try_variant_get(a, f"$.{f}", "variant")).alias(f)
+    area = lambda a: F.struct(
+        F.coalesce(present(text(a, "id")), F.lit("Unspecified")).alias("area_id"), *(said(a, f) for f in ("activities_today", "activities_tomorrow", "constraints")),
+        people_of(a, "$.manpower").alias("direct"), people_of(a, "$.indirect_manpower").alias("indirect"),
+    )
+    item = lambda r: F.struct(*(text(r, f).alias(f) for f in PROGRESS_TEXTS), *(parse_number(text(r, f)).alias(f) for f in PROGRESS_NUMBERS))
+    return {
+        "areas": F.transform(rows_of(doc, "$.payload.areas"), area),
+        "indirect": people_of(doc, "$.payload.indirect_manpower"),
+        "progress": F.transform(rows_of(doc, "$.payload.overall_progress"), item),
+        "hides_progress": hidden(F.try_variant_get(doc, "$.payload.show_overall_progress", "string")),
+    }
+
+
+KEYS = ("username", "report_id", "date")
+
+
+def typed(report_rows: DataFrame) -> DataFrame:
+    """report_rows with the columns of nested in place of doc."""
+    return report_rows.withColumns(nested(F.col("doc"))).drop("doc")
+
+
+def areas(typed_rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """One row per report and area: area_pos and area."""
+    return typed_rows.select(*keys, F.posexplode("areas").alias("area_pos", "area"))
+
+
+def activities(area_rows: DataFrame, field_name: str = "activities_today", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    return area_rows.select(*keys, "area_pos", F.col("area.area_id").alias("area_id"), F.posexplode(f"area.{field_name}").alias("pos", "activity"))
+
+
+def assignments(typed_rows: DataFrame, keys: tuple[str, ...] = KEYS, outer: bool = False) -> DataFrame:
+    """Direct and indirect rows of all areas and of the report: category, area_pos (-1: the report), pos, name, role, hours_raw. outer: a row of nulls for a report without any."""
+
+    def listed(people: Column, category: str, area_pos: Column) -> Column:
+        return F.transform(people, lambda m, k: F.struct(F.lit(category).alias("category"), area_pos.alias("area_pos"), k.alias("pos"), m["name"].alias("name"), m["role"].alias("role"), m["hours"].alias("hours_raw")))
+
+    by_area = F.flatten(F.transform("areas", lambda a, k: F.concat(listed(a["direct"], "direct", k), listed(a["indirect"], "indirect", k))))
+    every = F.concat(listed(F.col("indirect"), "indirect", F.lit(-1)), by_area)
+    return typed_rows.select(*keys, (F.explode_outer if outer else F.explode)(every).alias("m")).select(*keys, "m.*")
+
+
+def progress_rows(typed_rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Rows of progress of the reports that show it, with their place: pos."""
+    shown = typed_rows.where(~F.col("hides_progress"))
+    return shown.select(*keys, F.posexplode("progress").alias("pos", "r")).select(*keys, "pos", "r.*")

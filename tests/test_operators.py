@@ -10,7 +10,7 @@ from fieldroll.functions import dates, enums, numbers
 from fieldroll.functions import text as tx
 from fieldroll.operators import lines, listings, manpower, progress, tables
 from fieldroll.operators.coverage import missing_dates
-from fieldroll.plans.period_report import compile_period
+from fieldroll.plans.period_report import MixedProjects, compile_period
 from fieldroll.sources import documents as docs
 from fieldroll.sources import sinks
 
@@ -100,7 +100,7 @@ def test_headcount_and_hours(spark, tmp_path):
 
 def test_shared_person_raises_direct_hours(spark):
     rows = spark.createDataFrame([(1, "direct", "n:p", 0, "", 10.0), (1, "indirect", "n:p", 1, "Lead", 12.0)], "date int, category string, person_key string, row_pos int, role string, hours double")
-    day = manpower.daily(manpower.merged(manpower.people(rows, ["date"]), ["date"]), ["date"]).first()
+    day = manpower.daily(manpower.combined(rows, ["date"]), ["date"]).first()
     assert (day.direct_headcount, day.indirect_headcount, day.total_headcount, day.direct_man_hours, day.indirect_man_hours, day.total_man_hours) == (1, 1, 1, 12.0, 12.0, 12.0)
 
 
@@ -190,3 +190,68 @@ def test_snapshot_time(spark):
     names = ["20240229_235959.json", "20230229_000000.json", None]
     rows = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string")
     assert [r.t for r in rows.select("k", dates.snapshot_time(F.col("n")).alias("t")).orderBy("k").collect()] == ["29 Feb 2024 23:59:59", "20230229_000000", None]
+
+
+def reports_of(spark, tmp_path, rows):
+    (tmp_path / "u").mkdir()
+    for k, (number, title, date, payload) in enumerate(rows):
+        own = json.loads(record(f"r{k}", date, 1, "2026-07-30T00:00:00Z", **payload)) | {"project_no": number, "project_title": title}
+        (tmp_path / "u" / f"{k}.json").write_text(json.dumps(own))
+    return docs.reports(docs.bronze(spark, str(tmp_path)))
+
+
+def progress_row(**more):
+    return {"overall_progress": [{"item_id": "A", "weight_factor": "50%", "cumulative_previous_plan": 1, **more}, {"description": "  "}, "no row"]}
+
+
+def test_projects_apart(spark, tmp_path):
+    reports = reports_of(spark, tmp_path, [
+        ("P-1", "One", "2026-07-01", progress_row(cumulative_to_date_plan="4%") | {"areas": [{"manpower": [person("A", 8)], "constraints": [["Wet", ["wet "]]]}, 7]}),
+        ("P-1", "One", "2026-07-03", progress_row(cumulative_to_date_plan=9, cumulative_to_date_actual="7,5") | {"areas": []}),
+        ("P-2", "Two", "2026-07-01", progress_row(cumulative_to_date_plan=2) | {"areas": [{"id": " B  1", "manpower": [person("a", 9), person("", None)]}]}),
+        ("P-2", "Two", "2026-07-02", progress_row() | {"show_overall_progress": "off"}),
+        ("", "", "2026-07-02", {}),
+    ])
+    with pytest.raises(MixedProjects):
+        compile_period(reports, "2026-07-01", "2026-07-03", mixed="refuse")
+    gold = compile_period(reports, "2026-07-01", "2026-07-03")
+    days = {(r.project_key, r.date.day): (r.total_headcount, r.total_man_hours) for r in gold["manpower_daily"].collect()}
+    assert days == {("p-1", 1): (1, 8.0), ("p-1", 3): (0, 0.0), ("p-2", 1): (1, 9.0), ("p-2", 2): (0, 0.0), ("", 2): (0, 0.0)}
+    items = {r.project_key: (r.key, r.period_plan, r.deviation, r.first_source_date.day, r.last_source_date.day) for r in gold["progress"].collect()}
+    assert items == {"p-1": ("id:a", 8.0, -1.5, 1, 3), "p-2": ("id:a", 1.0, None, 1, 1)}
+    assert [(r.area_id, r.activity) for r in gold["constraints"].collect()] == [("Unspecified", "Wet")]
+    cover = {r.project_key: (r.covered_days, r.missing_days) for r in gold["coverage"].collect()}
+    assert cover == {"p-1": (2, 1), "p-2": (2, 1), "": (1, 2)}
+    assert gold.counters == {"reports": 5, "without_date": 0, "outside": 0, "other_projects": 0, "in_period": 5}
+    one = compile_period(reports, "2026-07-01", "2026-07-03", project_no="p-1", expected_dates=["2026-07-02", "2026-07-03"])
+    assert [(r.covered_days, r.missing_days, r.extra_days) for r in one["coverage"].collect()] == [(2, 1, 1)]
+    assert one.counters["other_projects"] == 3 and [r.date.day for r in one["extra"].collect()] == [1]
+    with pytest.raises(ValueError):
+        compile_period(reports, "2026-07-01", "2026-07-03", expected_dates=["2026-08-01"])
+
+
+def test_reports_without_project_join_the_only_one(spark, tmp_path):
+    gold = compile_period(reports_of(spark, tmp_path, [("P-1", "One", "2026-07-01", {}), ("", "", "2026-07-02", {})]), "2026-07-01", "2026-07-02", mixed="refuse")
+    assert [(r.project_key, r.title_key, r.covered_days) for r in gold["coverage"].collect()] == [("p-1", "one", 2)]
+
+
+def flattened(value):
+    if isinstance(value, str):
+        return [" ".join(value.split())] if value.strip() else []
+    return [x for v in value for x in flattened(v)] if isinstance(value, list) else []
+
+
+def test_texts_of_any_depth(spark):
+    deep = "x"
+    for _ in range(12):
+        deep = [deep, " ", None, {"a": ["no"]}]
+    values = ["one  two", 5, None, [], [[]], ["a", ["b", ["c", {"d": "}{\\\""}, 7, True]], "é\"\\\n{"], deep, {"x": "no"}, "y" * 30_000, ["\\\"" * 5000]]
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(values)], "k int, t string")
+    own = {r.k: r.x for r in rows.select("k", docs.texts(F.parse_json("t")).alias("x")).collect()}
+    assert own == {k: flattened(v) for k, v in enumerate(values)}
+
+
+def test_compile_reads_reports_once(spark, tmp_path):
+    gold = compile_period(reports_of(spark, tmp_path, [("P-1", "One", "2026-07-01", {})]), "2026-07-01", "2026-07-02")
+    for name, df in gold.tables.items():
+        assert ("/u" in "".join(df.inputFiles())) == (name == "superseded")
