@@ -120,12 +120,6 @@ def described(m: Column) -> Column:
     return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(": ", e["key"], e["value"])), "; ")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """0 to 100, from the edit distance over the longer text."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 100.0).otherwise(F.round(100 * (1 - F.levenshtein(a, b) / longest), 2))
-
-
 def page_text(c: Column) -> Column:
     """Line ends as one newline, no-break spaces as spaces, byte order marks and control characters gone, lines without trailing space."""
     c = F.regexp_replace(nfkc(c), r"\r\n?", "\n")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.likeness import likeliest
 from ..functions import dates, enums
 from ..functions import text as tx
 from ..operators import lines as ln
@@ -56,21 +57,16 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return own.select("doc_id", "page", (F.col("line_no") + 1).alias("line_no"), "line.text", "line.compact")
 
 
-def section_key(label: Column, likely: float = 95.0, margin: float = 8.0) -> Column:
-    """The section that a heading names; a heading in capitals may differ a little if no other section is nearly as like."""
-    known = F.create_map(*(F.lit(x) for pair in SECTIONS.items() for x in pair))
-    names = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(key).alias("key")) for name, key in SECTIONS.items()))
-    none = F.struct(F.lit(-1.0).alias("best"), F.lit(-1.0).alias("second"), F.lit("").alias("key"))
+#: Compares headings with the sections' names.
+likely_section = likeliest(SECTIONS)
 
-    def step(word: Column, so_far: Column, x: Column) -> Column:
-        return F.transform(F.array(tx.similarity(word, x["name"])), lambda score: F.when(
-            score > so_far["best"], F.struct(score.alias("best"), so_far["best"].alias("second"), x["key"].alias("key"))
-        ).otherwise(F.struct(so_far["best"].alias("best"), F.greatest(so_far["second"], score).alias("second"), so_far["key"].alias("key"))))[0]
 
-    ended = lambda x: F.when((x["best"] >= likely) & (x["best"] - x["second"] >= margin), x["key"])
-    near = F.transform(F.array(tx.section_label(label)), lambda word: F.aggregate(names, none, lambda so_far, x: step(word, so_far, x), ended))[0]
+def section_key(label: Column) -> Column:
+    """The section that a heading names; a heading in capitals may differ a little if no other section is nearly as like."""
+    known = F.create_map(*(F.lit(x) for pair in SECTIONS.items() for x in pair))
+    exact = F.try_element_at(known, tx.section_label(label))
     eligible = (label == F.upper(label)) & (F.size(F.split(label, " ")) <= 12) & (F.length(label) <= 120)
-    return F.coalesce(F.try_element_at(known, tx.section_label(label)), F.when(eligible, near))
+    return F.coalesce(exact, likely_section(F.when(exact.isNull() & eligible, tx.section_label(label))))
 
 
 def document_fields(rows: DataFrame) -> DataFrame:

@@ -177,11 +177,6 @@ def str12_nested_texts(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(docs.texts(value), "|").alias("flat"))
 
 
-@query("SELECT p_partkey, round(100 * (1 - levenshtein(lower(p_name), lower(p_type)) / CAST(greatest(length(p_name), length(p_type)) AS DOUBLE)), 2) AS score FROM part")
-def str14_similarity(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", tx.similarity(F.lower("p_name"), F.lower("p_type")).alias("score"))
-
-
 @query(LINES_SQL + "SELECT doc_id, line_no, coalesce(last_value(CASE WHEN regexp_matches(text, '^[A-Z]') THEN 'today' WHEN regexp_matches(text, '^[a-z]') THEN 'tomorrow' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no), 'none') AS mode FROM l")
 def str18_column_mode(spark, sf_dir):
     marker = F.when(F.col("text").rlike("^[A-Z]"), "today").when(F.col("text").rlike("^[a-z]"), "tomorrow")

@@ -166,18 +166,6 @@ def agg12_activities_by_area(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sha2(joined.cast("binary"), 256).alias("digest"))
 
 
-@query("""WITH n AS (SELECT p_name AS known, min(p_partkey) AS known_id FROM part GROUP BY ALL), t AS (SELECT DISTINCT replace(p_name, 'r', '') AS text FROM part),
-    q AS (SELECT text, known_id, round(100 * (1 - levenshtein(text, known) / CAST(greatest(length(text), length(known)) AS DOUBLE)), 2) AS score,
-    len(list_intersect(list_transform(range(1, length(text) + 2), lambda i: ('  ' || text || ' ')[i:i+2]), list_transform(range(1, length(known) + 2), lambda i: ('  ' || known || ' ')[i:i+2]))) AS shared FROM t, n),
-    k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, known_id) AS n, lead(score) OVER (PARTITION BY text ORDER BY score DESC, known_id) AS runner_up FROM q WHERE shared > 0)
-    SELECT p_partkey AS id, known_id, score, runner_up, score >= 95 AND score - coalesce(runner_up, 0) >= 8 AS confident FROM part JOIN k ON replace(p_name, 'r', '') = k.text WHERE n = 1""")
-def join05_fuzzy_top2(spark, sf_dir):
-    """Parts, their names misspelt, with the names that there are."""
-    part = table(spark, sf_dir, "part")
-    known = part.groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
-    return matching.ranked(part.withColumn("p_name", F.replace("p_name", F.lit("r"), F.lit(""))), "p_partkey", "p_name", known, "p_partkey", "p_name")
-
-
 @query("""WITH k AS (SELECT lower(n_name) AS k, count(*) AS matches, min(n_nationkey) AS nk FROM nation GROUP BY ALL)
     SELECT s_suppkey, coalesce(matches, 0) AS matches, CASE WHEN matches = 1 THEN nk END AS n_nationkey, CASE WHEN matches = 1 THEN 'accepted' WHEN matches > 1 THEN 'ambiguous' ELSE 'unknown' END AS outcome
     FROM supplier JOIN nation n ON s_nationkey = n.n_nationkey LEFT JOIN k ON k = CASE WHEN s_suppkey % 5 = 0 THEN 'nowhere' ELSE lower(n.n_name) END""")
