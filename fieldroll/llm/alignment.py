@@ -39,9 +39,9 @@ FREQUENT = 1 << 20
 #: Pairs that one hash join of groups gives at most.
 BLOCK = 1 << 22
 #: Bytes of texts that are aligned at once; a longer text is aligned alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 #: Distinct pairs that a task counts before it sends them on.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Texts above this many characters are encoded by the vocabulary's own library, which has no limit of backtracking.
 LONG = 500_000
 SEPARATORS = (",", "|", ";", "")
@@ -53,7 +53,6 @@ class Sides:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path_a, encoding="utf-8") as file:
             vocab = json.load(file)["model"]["vocab"]
@@ -64,8 +63,7 @@ class Sides:
         # In such a file ids rise with the ranks of merges, so that they can stand for them.
         ranks = {entry: i for i, entry in entries.items()}
         self.fast = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(path_a)
-        self.whole.encode_special_tokens = True
+        self.path_a, self.whole = path_a, None
         self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.size_b = self.model.get_piece_size()
         pieces = [self.model.id_to_piece(i) for i in range(self.size_b)]
@@ -74,6 +72,11 @@ class Sides:
 
     def encode_a(self, text: str) -> list[int]:
         if len(text) > LONG:
+            if self.whole is None:  # loaded where it is needed: it takes more memory than all the rest
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.path_a)
+                self.whole.encode_special_tokens = True
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
