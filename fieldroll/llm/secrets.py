@@ -10,7 +10,8 @@ Spans come from the gaps between matches (split) and the matches (regexp_extract
 points, as long as length() counts those.
 
 Defined results: a null text counts as empty (no findings); an empty table gives an empty result; all
-paths of a blob get its findings; repeated rows give repeated results; other columns are ignored.
+paths of a blob get its findings; repeated rows give repeated results; other columns are kept, but for such named
+blob or spans, which the results replace.
 """
 
 from __future__ import annotations
@@ -94,8 +95,9 @@ class Ledger:
 
 
 def addressed(versions: DataFrame, text_col: str = "text") -> DataFrame:
-    """versions with blob, the content address of the text."""
-    return versions.withColumn("blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    """versions with blob, the content address of the text, in place of any columns blob and spans."""
+    blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("blob")
+    return versions.select(*(c for c in (F.col(f"`{n}`") for n in versions.columns if n.lower() not in ("blob", "spans"))), blob)
 
 
 def scan(texts: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> None:
