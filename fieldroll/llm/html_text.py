@@ -9,9 +9,10 @@ and aligned again, as a stream, first in PARTS parts of each host. So every page
 all pages costs one small row for each task, which no single task reads all of.
 
 The wrapper tells which of its text slots belong to the article: those inside an article or main element, or
-such a class, outside menus, headers, footers, sidebars, notices, adverts, forms and comments; where a host has
-no such element, those outside such boilerplate that differ between pages and aren't lists of links. Each
-page is then matched with its host's wrapper, and its texts in article slots are the main text.
+such a class, outside menus, headers, footers, sidebars, notices, adverts, forms and comments. Each page is
+then matched with its host's wrapper, and its texts in article slots are the main text; a page without such an
+element gives its texts in slots outside such boilerplate that differ between pages and aren't lists of links,
+or, where nothing differs, in all of these. Pages of the same content count once there.
 
 Defined results: null and empty html give an empty text; cut-off pages are closed at their end, and a tag, comment or
 script that never ends goes up to it; in scripts and other raw text nothing is a tag but the end tag; a url that is
@@ -44,7 +45,7 @@ SEQUENCE = 12
 LABELS = 64
 #: Deeper elements have no node of their own: their texts count as those of the element at this depth.
 DEPTH = 100
-#: A text that this many pages of a host share, and none varies, is part of the template.
+#: A text that this many different pages of a host share, and none varies, is part of the template; copies count once.
 TEMPLATE_PAGES = 3
 #: Of longer texts wrappers hold a digest.
 CONSTANT = 120
@@ -76,6 +77,9 @@ _token = re.compile(
 )
 #: Classes that tell what the page has or lacks, not what the element is.
 _qualified = re.compile(r"(?<![\w-])(?:has|with|no|without)[-_]\S*", re.I)
+#: Classes of a post's kind and subjects, as blogs write them.
+_post = re.compile(r"(?<![\w-])(?:hentry|post-\d+|type-post)(?![\w-])", re.I)
+_subjects = re.compile(r"(?<![\w-])(?:category|tag|cat|topic|term|type|format|status)[-_]\S*", re.I)
 _naming = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _word = re.compile(r"[A-Za-z]+")
 
@@ -84,7 +88,10 @@ def label_of(name: str, attributes: str) -> str:
     """Element name with the words of its class, id and role: all of the boilerplate's and the article's, and of others six of 24 letters at most."""
     if "=" not in attributes:
         return name
-    words = {w.lower() for m in _naming.finditer(attributes) for w in _word.findall(_qualified.sub("", m[1] or m[2] or m[3] or ""))}
+    values = [_qualified.sub("", m[1] or m[2] or m[3] or "") for m in _naming.finditer(attributes)]
+    if name in ARTICLE_TAGS or any(map(_post.search, values)):
+        values = [_subjects.sub("", v) for v in values]
+    words = {w.lower() for v in values for w in _word.findall(v)}
     if len(words) > 6 or any(len(w) > 24 for w in words):
         known = words & (BOILER_WORDS | ARTICLE_WORDS)
         words = known.union(sorted(w for w in words - known if len(w) <= 24)[:6])
@@ -184,7 +191,7 @@ def parsed(source: str) -> list:
 
 # A wrapper's node: [label, optional, repeated, children, bag] for an element, where bag marks a repeated group of
 # optionals; the same with the label GROUP for a repeated group of several elements; ["#", optional, repeated, constant
-# or None, characters, characters in links, pages] for a text.
+# or None, characters, characters in links, numbers of TEMPLATE_PAGES different pages at most] for a text.
 GROUP = "("
 
 
@@ -193,40 +200,42 @@ def constant(text: str) -> str:
     return text if len(text) <= CONSTANT else "\0" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def generalised(node: list) -> list:
-    """The wrapper of one page."""
+def generalised(node: list, page: int | None = None) -> list:
+    """The wrapper of one page; page: a number of its content, the same for its copies."""
+    if page is None:
+        page = int.from_bytes(hashlib.blake2b(repr(node).encode("utf-8", "surrogatepass"), digest_size=5).digest(), "big")
     children: list = []
     for child in node[1]:
         if isinstance(child, tuple):
             text, linked = child
-            new = ["#", False, False, constant(text), len(text), linked, 1]
+            new = ["#", False, False, constant(text), len(text), linked, [page]]
         else:
-            new = generalised(child)
+            new = generalised(child, page)
         if children and children[-1][0] == new[0]:
-            children[-1] = merged(children[-1], new, True)
+            children[-1] = merged(children[-1], new)
             children[-1][2] = True
         else:
             children.append(new)
-    return bounded([node[0], False, False, children, False], True)
+    return bounded([node[0], False, False, children, False])
 
 
-def merged(a: list, b: list, one_page: bool = False) -> list:
-    """Two wrapper nodes with the same label as one; one_page: both are of the same page."""
+def merged(a: list, b: list) -> list:
+    """Two wrapper nodes with the same label as one."""
     if a[0] == "#":
-        pages = max(a[6], b[6]) if one_page else a[6] + b[6]
+        pages = sorted({*a[6], *b[6]})[:TEMPLATE_PAGES]
         return ["#", a[1] or b[1], a[2] or b[2], a[3] if a[3] == b[3] else None, a[4] + b[4], a[5] + b[5], pages]
     out = [a[0], a[1] or b[1], a[2] or b[2], [], a[4] or b[4]]
     if out[4]:
         out[3] = a[3] + b[3]
-        return as_bag(out, one_page)
+        return as_bag(out)
     if [x[0] for x in a[3]] == [x[0] for x in b[3]]:
-        out[3] = [merged(x, y, one_page) for x, y in zip(a[3], b[3])]
+        out[3] = [merged(x, y) for x, y in zip(a[3], b[3])]
         return out
-    out[3] = aligned(a[3], b[3], one_page)
-    return bounded(out, one_page)
+    out[3] = aligned(a[3], b[3])
+    return bounded(out)
 
 
-def aligned(a: list, b: list, one_page: bool = False) -> list:
+def aligned(a: list, b: list) -> list:
     """Children in common order; what one side lacks is optional, neighbours of the same label are one repeated node."""
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
@@ -238,7 +247,7 @@ def aligned(a: list, b: list, one_page: bool = False) -> list:
         if optional:
             node = [node[0], True, *node[2:]]
         if out and out[-1][0] == node[0]:
-            both = merged(out[-1], node, one_page)
+            both = merged(out[-1], node)
             both[1], both[2] = out[-1][1] and node[1], True
             out[-1] = both
         else:
@@ -247,7 +256,7 @@ def aligned(a: list, b: list, one_page: bool = False) -> list:
     i = j = 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i][0] == b[j][0]:
-            put(merged(a[i], b[j], one_page), False)
+            put(merged(a[i], b[j]), False)
             i, j = i + 1, j + 1
         elif j == len(b) or i < len(a) and table[i + 1][j] >= table[i][j + 1]:
             put(a[i], True)
@@ -258,15 +267,15 @@ def aligned(a: list, b: list, one_page: bool = False) -> list:
     return out
 
 
-def bounded(node: list, one_page: bool) -> list:
+def bounded(node: list) -> list:
     if len(node[3]) > SEQUENCE:
-        node[3] = grouped(node[3], one_page)
+        node[3] = grouped(node[3])
         if len(node[3]) > LABELS:
-            return as_bag(node, one_page)
+            return as_bag(node)
     return node
 
 
-def grouped(children: list, one_page: bool) -> list:
+def grouped(children: list) -> list:
     """A long sequence with its repeated part as a group, again until it is short or no label comes twice.
 
     The part goes from the first to the last child of the most frequent label, and on as long as labels follow that are in
@@ -284,27 +293,27 @@ def grouped(children: list, one_page: bool) -> list:
         pieces = [children[a:b] for a, b in zip(starts, [*starts[1:], end])]
         piece = pieces[0]
         for other in pieces[1:]:
-            piece = aligned(piece, other, one_page) if [x[0] for x in piece] != [x[0] for x in other] else [merged(x, y, one_page) for x, y in zip(piece, other)]
+            piece = aligned(piece, other) if [x[0] for x in piece] != [x[0] for x in other] else [merged(x, y) for x, y in zip(piece, other)]
         if len(piece) == 1:
             piece[0][2] = True
             children = [*children[: starts[0]], *piece, *children[end:]]
         else:
-            children = [*children[: starts[0]], [GROUP, False, True, grouped(piece, one_page), False], *children[end:]]
+            children = [*children[: starts[0]], [GROUP, False, True, grouped(piece), False], *children[end:]]
     return children
 
 
-def as_bag(node: list, one_page: bool) -> list:
+def as_bag(node: list) -> list:
     """The children as a repeated group of optionals, one for each label."""
     by: dict[str, list] = {}
     for child in node[3]:
-        by[child[0]] = merged(by[child[0]], child, one_page) if child[0] in by else list(child)
+        by[child[0]] = merged(by[child[0]], child) if child[0] in by else list(child)
     if len(by) > LABELS:
         wide = list(by.values())
         by = {}
         for child in wide:
             label = role_label(child[0])
             child = [label, *child[1:]]
-            by[label] = merged(by[label], child, one_page) if label in by else child
+            by[label] = merged(by[label], child) if label in by else child
     for child in by.values():
         child[1] = child[2] = True
     return [node[0], node[1], node[2], list(by.values()), True]
@@ -341,29 +350,37 @@ class Wrapper:
     """A host's wrapper with its article slots."""
 
     def __init__(self, tree: list | None):
-        self.tree, self.slots = tree, set()
+        self.tree = tree
+        self.articles: set[int] = set()  # elements that mark a page's article
+        self.inside: set[int] = set()  # slots within them
+        self.varied: set[int] = set()  # other slots outside boilerplate and the template
+        self.plain: set[int] = set()  # the same with the template
         self.flat: dict[int, tuple[list, list]] = {}
         if tree is not None:
-            inside: list[int] = []
-            outside: list[int] = []
-            self.sort(tree, False, inside, outside)
-            self.slots = set(inside or outside)
+            self.sort(tree, False)
 
-    def sort(self, node: list, within: bool, inside: list, outside: list) -> None:
+    def sort(self, node: list, within: bool) -> None:
         for child in node[3]:
             if child[0] == "#":
                 if within:
-                    inside.append(id(child))
-                elif not (child[3] is not None and child[6] >= TEMPLATE_PAGES) and child[5] <= 0.6 * child[4]:
-                    outside.append(id(child))
+                    self.inside.add(id(child))
+                elif child[5] <= 0.6 * child[4]:
+                    self.plain.add(id(child))
+                    if child[3] is None or len(child[6]) < TEMPLATE_PAGES:
+                        self.varied.add(id(child))
             elif (kind := role(child[0], within)) != "boiler" or around_article(child):
-                self.sort(child, within or kind == "article", inside, outside)
+                if kind == "article":
+                    self.articles.add(id(child))
+                self.sort(child, within or kind == "article")
 
     def blocks(self, page: list) -> list[str]:
-        out: list[str] = []
-        if self.tree is not None:
-            self.walk(page, self.tree, out)
-        return out
+        """The page's texts in its article's slots; of a page without such, those that vary, or else all outside boilerplate."""
+        found: list[tuple[str, int]] = []
+        if self.tree is None:
+            return []
+        if self.walk(page, self.tree, found):
+            return [text for text, slot in found if slot in self.inside]
+        return [text for text, slot in found if slot in self.varied] or [text for text, slot in found if slot in self.plain]
 
     def places(self, own: list) -> tuple[list, list]:
         """The node's children, those of groups in their place, and the ranges of the groups around each, inner ones first."""
@@ -387,9 +404,10 @@ class Wrapper:
             self.flat[id(own)] = children, around
         return self.flat[id(own)]
 
-    def walk(self, node: list, own: list, out: list[str]) -> None:
+    def walk(self, node: list, own: list, out: list[tuple[str, int]]) -> bool:
+        """Adds the node's texts with their slots; whether it holds an element that marks an article."""
         children, around = self.places(own)
-        at = 0
+        at, marked = 0, False
         for child in node[1] if children else ():
             label = "#" if isinstance(child, tuple) else child[0]
             for first, end in around[at]:  # on in the group, again from its start, then outside
@@ -403,9 +421,11 @@ class Wrapper:
                     continue
             at = found
             if label != "#":
-                self.walk(child, children[found], out)
-            elif id(children[found]) in self.slots:
-                out.append(child[0])
+                inner = self.walk(child, children[found], out)
+                marked = marked or inner or id(children[found]) in self.articles
+            else:
+                out.append((child[0], id(children[found])))
+        return marked
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
