@@ -1,18 +1,19 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-An item of m characters that occurs in a text with at most e edits shares at least m - Q + 1 - Q * e of
-its q-grams with it, on diagonals that differ by e at most. Each task looks a text's q-grams up in the
+An item of m characters that occurs in a text with at most e edits shares at least m - q + 1 - q * e of
+its q-grams with it, on diagonals that differ by e at most. q is Q, or for short items the largest of which
+at least one has to be shared. Each task looks a text's q-grams up in the
 items' (a bitmap, then the sorted table), adds up hits in overlapping bands of 2e diagonals, keeps bands
 that reach the bound, and verifies them by banded alignment. Texts are not shuffled.
 
 Items come in blocks of BLOCK_GRAMS q-grams at most, each broadcast for one pass over the texts; so a
-broadcast's size is bounded, however many items there are.
+broadcast's size is bounded, however many items there are, and texts are read once a block.
 
 Texts and items are compared lower-cased, with each run of other characters than letters and digits as one
 space; start and end are places in that form of the text.
 
-Defined results: null texts and items match nothing, and so do items of less than Q characters in that
-form; an empty table on either side gives an empty result; of an item's occurrences in a text the one of
+Defined results: null texts and items match nothing, and so do items without a letter or digit; items of less
+than Q characters in that form match as whole words only; an empty table on either side gives an empty result; of an item's occurrences in a text the one of
 fewest edits, then the first, is returned; repeated rows give repeated results; other columns are ignored.
 """
 
@@ -44,17 +45,17 @@ def plain(text: str | None) -> str:
     return _others.sub(" ", (text or "").lower()).strip()
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    """Hashes of the Q-grams at each place but the last Q - 1."""
+def grams(codes: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of the q-grams at each place but the last q - 1."""
     factor, doubled, size = 0x100000001B3, codes.astype(np.uint64) + np.uint64(1), 1
     powers, done = {1: doubled}, None
-    while 2 * size <= Q:
+    while 2 * size <= q:
         doubled = doubled[:-size] * np.uint64(pow(factor, size, 1 << 64)) + doubled[size:]
         size *= 2
         powers[size] = doubled
     length = 0
     for size in sorted(powers, reverse=True):
-        if Q - length >= size:
+        if q - length >= size:
             part = powers[size][length:]
             done = part if done is None else done[: len(part)] * np.uint64(pow(factor, size, 1 << 64)) + part
             length += size
@@ -62,19 +63,29 @@ def grams(codes: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
+def edits_of(size: int) -> int:
+    return int(size * EDITS + 1e-9)
+
+
+def gram_of(size: int) -> int:
+    """q of an item: m - q + 1 - q * e is 1 or more. Short items stand between two spaces."""
+    return min(Q, size + 2 if size < Q else size // (edits_of(size) + 1))
+
+
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 class Items:
-    """A block of items with its q-grams in sorted order."""
+    """Items of one q, all short (found as whole words) or none, with their q-grams in sorted order."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        self.ids, self.texts = ids, texts
+    def __init__(self, ids: list, texts: list[str], q: int, short: bool):
+        self.ids, self.q, self.edge = ids, q, " " if short else ""
+        self.edits = np.array([edits_of(len(t)) for t in texts], np.int64)
+        self.texts = texts = [self.edge + t + self.edge for t in texts]
         self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.edits = np.minimum((self.sizes * EDITS).astype(np.int64), (self.sizes - Q) // Q)
-        self.bound = self.sizes - Q + 1 - Q * self.edits
-        hashes = [grams(codes_of(t)) for t in texts]
+        self.bound = self.sizes - q + 1 - q * self.edits
+        hashes = [grams(codes_of(t), q) for t in texts]
         every = np.concatenate(hashes)
         item = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes])
@@ -127,16 +138,17 @@ class Items:
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(number of the text, item, start, end, edits), from plain texts."""
-        at = 0
+        texts, at, q = [self.edge + t + self.edge for t in texts] if self.edge else texts, 0, self.q
+        off = 2 * len(self.edge)
         while at < len(texts):
             own, size = [], 0
             while at < len(texts) and (not own or size + len(texts[at]) < STEP):
                 own.append(at)
                 size += len(texts[at])
                 at += 1
-            sizes = np.array([len(texts[i]) + Q for i in own])
+            sizes = np.array([len(texts[i]) + q for i in own])
             starts = np.cumsum(sizes) - sizes
-            hashes = grams(codes_of("".join(texts[i] + "\0" * Q for i in own)))
+            hashes = grams(codes_of("".join(texts[i] + "\0" * q for i in own)), q)
             place, key = self.hits(hashes)
             doc = np.searchsorted(starts, place, side="right") - 1
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -145,7 +157,7 @@ class Items:
                 if (got := self.verified(text, item, band * wide - wide, (band + 2) * wide + wide)) is not None:
                     best[d, item] = min(best.get((d, item), got), got)
             for (d, item), (edits, start, end) in sorted(best.items()):
-                yield own[d], item, start, end, edits
+                yield own[d], item, start, end - off, edits
 
     def verified(self, text: str, item: int, low: int, high: int) -> tuple[int, int, int] | None:
         """(edits, start, end) of the item's best occurrence on diagonals low to high."""
@@ -182,19 +194,35 @@ def aligned(want: np.ndarray, text: np.ndarray, low: int, high: int, most: int)
     return (int(cost[k]), int(start[k]), int(low + len(want) + k)) if cost[k] <= most else None
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
+class Block:
+    """Items of any size, grouped by q."""
+
+    def __init__(self, ids: list, texts: list[str]):
+        by: dict[tuple[int, bool], list[int]] = {}
+        for k, t in enumerate(texts):
+            by.setdefault((gram_of(len(t)), len(t) < Q), []).append(k)
+        self.groups = [Items([ids[k] for k in own], [texts[k] for k in own], q, short) for (q, short), own in sorted(by.items())]
+
+    def matches(self, texts: list[str]) -> Iterator[tuple[int, object, int, int, int]]:
+        """(number of the text, id of the item, start, end, edits), from plain texts."""
+        for items in self.groups:
+            for doc, item, start, end, edits in items.matches(texts):
+                yield doc, items.ids[item], start, end, edits
+
+
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
     """Items in blocks of BLOCK_GRAMS q-grams, read one after the other."""
     ids, texts, size = [], [], 0
     for row in benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator():
-        if len(text := plain(row["t"])) >= Q:
+        if text := plain(row["t"]):
             ids.append(row["id"])
             texts.append(text)
             size += len(text)
         if size >= BLOCK_GRAMS:
-            yield Items(ids, texts)
+            yield Block(ids, texts)
             ids, texts, size = [], [], 0
     if ids:
-        yield Items(ids, texts)
+        yield Block(ids, texts)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -211,12 +239,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def _matcher(shared):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        items = shared.value
-        got = list(items.matches([plain(t) for t in batch.column(1).to_pylist()]))
+        got = list(shared.value.matches([plain(t) for t in batch.column(1).to_pylist()]))
         if not got:
             return None
         doc, item, start, end, edits = zip(*got)
-        arrays = [batch.column(0).take(pa.array(doc)), pa.array([items.ids[i] for i in item], pa.int64()), *(pa.array(x, pa.int64()) for x in (start, end, edits))]
+        arrays = [batch.column(0).take(pa.array(doc)), pa.array(item, pa.int64()), *(pa.array(x, pa.int64()) for x in (start, end, edits))]
         return pa.RecordBatch.from_arrays(arrays, ["id", "item_id", "start", "end", "edits"])
 
     return run
