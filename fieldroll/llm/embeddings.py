@@ -10,15 +10,17 @@ A pair counts in the table of its first two clean substrings only, so links are
 of pairs: each group sends on, for each of its vectors, the number of links and one link of a spanning
 forest. Equal vectors are one node with a multiplicity. Measured recall stands in the README.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components, and those of another
-length than the largest number of the sample, link with nothing and are their own component; an empty
-table gives an empty result; equal ids count as different vectors; other columns are ignored.
+Vectors of each length meet among themselves: a rotation is learned for each length that LEARNED vectors of
+the sample have, and others are coded by the signs of random directions, which are the same in every task.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing and are
+their own component, and so are vectors of different lengths to each other; an empty table gives an empty
+result; equal ids count as different vectors; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +35,8 @@ from .components import components
 BITS = 64
 BLOCKS = 8
 SAMPLE = 10_000
+#: Vectors of a length in the sample from which a rotation is learned for it.
+LEARNED = 128
 ROUNDS = 50
 MOST_BITS = 26
 CHUNK = 512
@@ -64,19 +68,24 @@ class Rotation:
             turn = (a @ b).T
         return cls(center, axes @ turn)
 
+    @classmethod
+    def drawn(cls, wide: int) -> Rotation:
+        """Random directions for vectors of this length."""
+        return cls(np.zeros(wide), np.random.default_rng(wide).standard_normal((wide, BITS)))
+
     def codes(self, units: np.ndarray) -> np.ndarray:
         bits = (units - self.center) @ self.matrix >= 0
         return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def usable(lists: list, wide: int | None = None) -> list[int]:
-    """Places of the vectors that may link."""
-    out = []
+def usable(lists: list) -> dict[int, list[int]]:
+    """By length, the places of the vectors that may link."""
+    out: dict[int, list[int]] = {}
     for i, v in enumerate(lists):
-        if v and (wide is None or len(v) == wide) and None not in v:
+        if v and None not in v:
             a = np.asarray(v, np.float64)
             if np.isfinite(a).all() and a.any():
-                out.append(i)
+                out.setdefault(len(v), []).append(i)
     return out
 
 
@@ -85,28 +94,23 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled**2).sum(1, keepdims=True))
 
 
-def fit(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> Rotation | None:
-    """The rotation learned on at most `sample` vectors; None if none is usable."""
+def fit(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> dict[int, Rotation]:
+    """Rotations by length, learned on at most `sample` vectors in all."""
     own = vectors.select(vectors[id_col].alias("id"), vectors[vector_col].alias("v")).where("v is not null")
     got = own.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow().column("v").to_pylist()
-    places = usable(got)
-    if not places:
-        return None
-    wide = Counter(len(got[i]) for i in places).most_common(1)[0][0]
-    return Rotation.learned(unit(np.array([got[i] for i in places if len(got[i]) == wide], np.float64)))
+    return {wide: Rotation.learned(unit(np.array([got[i] for i in places], np.float64))) for wide, places in usable(got).items() if len(places) >= LEARNED}
 
 
-def coded(vectors: DataFrame, rotation: Rotation | None, id_col: str, vector_col: str) -> DataFrame:
+def coded(vectors: DataFrame, rotations: dict[int, Rotation], id_col: str, vector_col: str) -> DataFrame:
     """id, content (a digest of the vector; null if it may not link), code, v."""
-    shared = vectors.sparkSession.sparkContext.broadcast(rotation)
+    shared = vectors.sparkSession.sparkContext.broadcast(rotations)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        turn, lists = shared.value, batch.column(1).to_pylist()
-        places = usable(lists, len(turn.center)) if turn is not None else []
+        lists = batch.column(1).to_pylist()
         content, codes = [None] * len(lists), np.zeros(len(lists), np.int64)
-        if places:
+        for wide, places in usable(lists).items():
             x = np.array([lists[i] for i in places], np.float64) + 0.0
-            codes[places] = turn.codes(unit(x)).view(np.int64)
+            codes[places] = (shared.value.get(wide) or Rotation.drawn(wide)).codes(unit(x)).view(np.int64)
             for i, row in zip(places, x):
                 content[i] = hashlib.sha1(row.tobytes()).digest()
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), pa.array(codes), batch.column(1)], ["id", "content", "code", "v"])
@@ -161,7 +165,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     nodes = rows.where("content is not null and id is not null").groupBy("content").agg(F.min("id").alias("node"), F.count("*").alias("times"), *first)
     nodes = written(nodes, "vectors")
     tables = F.array(*(F.struct(F.lit(k).alias("t"), F.col("code").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(byte_masks())))
-    spread = nodes.select("node", "times", "code", "v", F.inline(tables))
+    spread = nodes.select("node", "times", "code", "v", F.size("v").alias("wide"), F.inline(tables))
 
     def run(table: pa.Table, cuts: np.ndarray) -> pa.Table | None:
         sizes = np.diff(cuts)
@@ -172,12 +176,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
         get = lambda name: table.column(name).to_numpy()
         own = np.concatenate([[0], np.cumsum(sizes[sizes > 1])])
         low, high = ranges(own, get("first"), get("second"), get("side"))
-        flat = table.column("v").combine_chunks().flatten().to_numpy().astype(np.float64)
-        label, count = linked(get("code").view(np.uint64), unit(flat.reshape(table.num_rows, -1)), get("times").astype(float), get("t"), low, high, least)
+        vectors_ = table.column("v").combine_chunks()
+        wide, flat = get("wide"), vectors_.flatten().to_numpy().astype(np.float64)
+        units = np.zeros((table.num_rows, int(wide.max())))  # zeros beyond a vector's end: only vectors of one length meet
+        units[np.arange(units.shape[1]) < wide[:, None]] = flat
+        label, count = linked(get("code").view(np.uint64), unit(units), get("times").astype(float), get("t"), low, high, least)
         node, some = get("node"), np.flatnonzero(count)
         return pa.table({"a": node[some], "b": node[label[some]], "n": count[some]}) if len(some) else None
 
-    found = map_groups(dealt(spread, ["t", "key"], "node", CHUNK), ["t", "key", "first", "second"], run, "a long, b long, n long", about=1 << 14)
+    found = map_groups(dealt(spread, ["t", "key", "wide"], "node", CHUNK), ["t", "key", "wide", "first", "second"], run, "a long, b long, n long", about=1 << 14)
     found = written(found.groupBy("a", "b").agg(F.sum("n").alias("n")), "found")
     of = components(found.select("a", "b"))
     links = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
