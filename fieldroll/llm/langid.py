@@ -18,6 +18,8 @@ other columns are ignored. Without a labelled row every text gives `und`.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -39,8 +41,10 @@ PENALTY = float(ORDER)
 LEAST_WORDS = 1.0
 UNKNOWN = "und"
 
+#: Numbers that \w takes for letters, such as fractions, powers, circled and Roman ones.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isdecimal() and not unicodedata.category(c).startswith("L"))
 #: Runs of letters.
-words_of = re.compile(r"[^\W\d_]+").findall
+words_of = re.compile(rf"[^\W\d_{NUMBERS}]+").findall
 
 
 class Model:
