@@ -201,7 +201,7 @@ def test_decontamination(spark, odd, none, sf_dir):
 
 
 def test_hits_come_in_pieces(monkeypatch):
-    items = decontamination.Items([0, 1, 2], ["a" * 300, "a" * 40 + "bcdefghijklmnop", "no such words as these"])
+    items = decontamination.Items([0, 1, 2], ["a" * 300, "a" * 40 + "bcdefghijklmnop", "no such words as these"], decontamination.Q, False)
     texts = ["a" * 20_000, "xy " + "a" * 45 + "bcdefghijklmnop" + " a" * 50, "a" * 299, "", "no such words as thes"]
     whole = list(items.matches(texts))
     assert {m[:2] for m in whole} >= {(0, 0), (1, 1)} and all(m[4] <= items.edits[m[1]] for m in whole)
