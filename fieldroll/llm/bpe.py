@@ -165,8 +165,8 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids, from encoding and decoding in the same task."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids, then the columns to keep, from encoding and decoding in the same task."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = coder(path)
@@ -184,8 +184,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             flat = pa.concat_arrays(every) if every else pa.array([], pa.int32())
             arrays.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(counts)], pa.int32()), flat))
             names.append("ids")
-        return pa.RecordBatch.from_arrays(arrays, names)
+        return pa.RecordBatch.from_arrays([*arrays, *batch.columns[2:]], [*names, *keep])
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"), *keep)
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}"
+    schema += "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     return map_batches(rows, run, schema).withColumnRenamed("id", id_col)

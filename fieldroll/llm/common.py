@@ -35,11 +35,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; tests get one of their own."""
+    """The folder that driver and executors share, as the cluster names it; one of its own only where the driver is all there is."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir is None and (current := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         set_dir = current.get()
     if set_dir is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         set_dir = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")

@@ -229,13 +229,16 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: dict[s
     return map_batches(rows, run, f"{kept}{', ' if kept else ''}lang_pred string, score double, languages array<struct<lang:string,share:double>>")
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows that have no language (null texts and such without a letter)."""
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with the language found in lang_col (if there is such a column), without the rows that have none (null texts and such without a letter)."""
     shared, column = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    place = docs.columns.index(lang_col) if lang_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, _, _ = _scorer(shared).predict([t or "" for t in batch.column(column).to_pylist()])
+            if place is not None:
+                batch = batch.set_column(place, lang_col, pa.array(langs, pa.string()))
             yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
