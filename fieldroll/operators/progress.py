@@ -82,19 +82,17 @@ def with_total_row(rows: DataFrame, label: str, keys: list[str] = ()) -> DataFra
     A negative weight counts as 0. Rows are rounded to 4 places and totals add these up; a total's to_date and variance come from its unrounded sums.
     """
     to_4 = lambda c: F.round(c, 4)
-    both = F.col("previous") + F.col("this")
-    shown = rows.withColumns({
-        "weight": F.greatest("weight", F.lit(0.0)), "to_date": to_4(both), "variance": to_4(both - F.col("plan")), "is_total": F.lit(False),
-        **{v: to_4(F.col(v)) for v in ("previous", "this", "plan")},
-    })
-    share = lambda v: F.sum(F.col("weight") * F.col(v) / 100).alias(v)
-    sums = shown.groupBy(*keys).agg(F.sum("weight").alias("weight"), *(share(v) for v in ("previous", "this", "plan"))).where("weight > 0")
-    sums = sums.withColumns({
-        "weight": to_4(F.col("weight")), "to_date": to_4(both), "variance": to_4(both - F.col("plan")), label: F.lit("Total"), "is_total": F.lit(True),
-        **{v: to_4(F.col(v)) for v in ("previous", "this", "plan")},
-    })
+    both, values = F.col("previous") + F.col("this"), ("previous", "this", "plan")
+    shown = rows.withColumns({"weight": F.greatest("weight", F.lit(0.0)), "to_date": to_4(both), "variance": to_4(both - F.col("plan")), **{v: to_4(F.col(v)) for v in values}})
+    detail_by = [*keys, label, "weight", *values, "to_date", "variance"]
+    # Rows and totals are levels of one aggregation; a row that comes several times is counted, then repeated.
+    sums = {v: F.sum(F.col("weight") * F.col(v) / 100).alias(f"__{v}") for v in values}
+    level = shown.groupingSets([detail_by, list(keys)], *detail_by).agg(F.grouping_id().alias("__level"), F.count("*").alias("__n"), F.sum("weight").alias("__weight"), *sums.values())
+    total, whole = F.col("__level") > 0, F.col("__previous") + F.col("__this")
+    of = {"weight": to_4(F.col("__weight")), "to_date": to_4(whole), "variance": to_4(whole - F.col("__plan")), label: F.lit("Total"), **{v: to_4(F.col(f"__{v}")) for v in values}}
+    level = level.where(~total | (F.col("__weight") > 0)).withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.when(total, 1).otherwise(F.col("__n").cast("int")))))
     names = [*keys, label, "weight", "previous", "this", "to_date", "plan", "is_total", "variance"]
-    return shown.select(*names).unionByName(sums.select(*names))
+    return level.withColumns({**{c: F.when(total, x).otherwise(F.col(c)) for c, x in of.items()}, "is_total": total}).select(*names)
 
 
 def summary(rows: DataFrame, position: str, label: str) -> DataFrame:

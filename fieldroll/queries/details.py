@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import enums, numbers
 from ..functions import text as tx
 from ..operators import manpower
-from ..operators import revisions as rv
 from ..registry import query, table
 from ..sources import documents as docs
 from ..sources import sinks
+from ..sources.keyed import KeyedTable
+from ..streaming import retention
 from ..streaming import revisions as streams
 from .stores import _path, _stream
 from .text import LINES_SQL, document_lines
@@ -41,20 +42,23 @@ def snk04_assets(spark, sf_dir):
 def stm02_submissions(spark, sf_dir):
     """A later submission of the same user, day and area takes the place of an earlier one; the earlier may come in a later batch."""
     own = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("date"), F.col("event_type").alias("area_id"), F.col("event_id").alias("submission"), "value")
-    path, keys = _path(spark, "submissions"), ["user_id", "date", "area_id"]
+    store = KeyedTable(spark, _path(spark, "submissions"), "user_id long, date date, area_id string, submission long", ["user_id", "date", "area_id"])
     parts = [own.where(side).drop("value") for side in (F.col("value") >= 50, F.col("value") < 50)]
-    streams.upsert_stream(_stream(spark, sf_dir, *parts), path, keys, ["submission"], _path(spark, "offsets")).awaitTermination()
-    return rv.latest(spark.read.schema(parts[0].schema).parquet(path).select(*keys, "submission"), keys, ["submission"])
+    streams.upsert_stream(_stream(spark, sf_dir, *parts), store, ["submission"], _path(spark, "offsets")).awaitTermination()
+    return store.read()
 
 
 @query("SELECT user_id, event_id, action FROM (SELECT user_id, event_id, event_type AS action, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 1000")
 def stm03_log(spark, sf_dir):
-    """A log is appended to, one write after the other; a reader takes the newest 1,000 entries of each user."""
-    path, own = _path(spark, "log"), table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("action"), "value")
+    """A stream of entries, of which a table keeps the newest 1,000 of each user; run twice, so that it starts again in its midst."""
+    own = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("action"), "value")
+    store = KeyedTable(spark, _path(spark, "log"), "user_id long, version long, entries array<struct<at:timestamp,id:long,row:struct<action:string>>>", ["user_id"])
+    source, offsets = _path(spark, "entries"), _path(spark, "offsets")
     for side in (F.col("value") >= 50, F.col("value") < 50):
-        own.where(side).drop("value").write.mode("append").parquet(path)
-    rows = spark.read.schema(own.drop("value").schema).parquet(path)
-    return rv.newest(rows, ["user_id"], [F.desc("ts"), F.desc("event_id")], 1000).select("user_id", "event_id", "action")
+        own.where(side).drop("value").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(own.drop("value").schema).parquet(source)
+        retention.keep_newest(retention.newest(stream, ["user_id"], "ts", "event_id", ["action"], 1000, late="400 days"), store, offsets).awaitTermination()
+    return store.read().select("user_id", F.explode("entries").alias("e")).select("user_id", F.col("e.id").alias("event_id"), "e.row.action")
 
 
 def _orders(spark, sf_dir, record):

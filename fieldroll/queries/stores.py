@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import revisions as rv
 from ..registry import query, table
-from ..sources import sinks
+from ..sources.keyed import KeyedTable
 from ..sources.scratch import folder
 from ..streaming import revisions as streams
 
@@ -28,31 +27,60 @@ def _drafts(spark, sf_dir) -> list[DataFrame]:
 @query("SELECT event_id, CASE WHEN value < 60 THEN 'early' ELSE 'late' END AS status FROM events")
 def snk01_archive(spark, sf_dir):
     """Records once written stay: all events are sent again, and only those that the table lacks are added."""
-    path, early = _path(spark, "archive"), F.col("value") < 60
+    store = KeyedTable(spark, _path(spark, "archive"), "event_id long, status string", ["event_id"])
     events = table(spark, sf_dir, "events").select("event_id", "value")
-    sinks.archive(events.where(early).select("event_id", F.lit("early").alias("status")), path, ["event_id"], exists=False)
-    sinks.archive(events.select("event_id", F.lit("late").alias("status")), path, ["event_id"], exists=True)
-    return spark.read.schema("event_id long, status string").parquet(path)
+    store.insert_absent(events.where("value < 60").select("event_id", F.lit("early").alias("status")), ["status"])
+    store.insert_absent(events.select("event_id", F.lit("late").alias("status")), ["status"])
+    return store.read()
+
+
+@query("""SELECT event_type, CAST(ts AS DATE) AS date, event_id, CASE WHEN value >= 99 THEN 1000 + row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE), value >= 99 ORDER BY event_id)
+    ELSE row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE), value >= 99 ORDER BY value >= 50, event_id) END AS revision FROM events""")
+def snk01_writers_revision(spark, sf_dir):
+    """Records get the next revision of their type and day, in two writes; some come with one of their own."""
+    store = KeyedTable(spark, _path(spark, "records"), "event_type string, date date, event_id long, revision long", ["event_type", "date"])
+    own = Window.partitionBy("event_type", "date").orderBy("event_id")
+    events = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("date"), "event_id", "value")
+    for side in (F.col("value") < 50, F.col("value").between(50, 98.9999999)):
+        store.archive(events.where(side).select("event_type", "date", "event_id", F.lit(None).cast("long").alias("revision")), "revision", ["event_id"])
+    store.archive(events.where("value >= 99").select("event_type", "date", "event_id", (F.row_number().over(own) + 1000).cast("long").alias("revision")), "revision", ["event_id"])
+    return store.read()
 
 
 DRAFTS_SQL = """SELECT event_type || '-' || user_id AS draft_id, max(event_id) AS saved, CASE WHEN arg_max(value, event_id) < 60 THEN 'early' ELSE 'late' END AS status FROM events GROUP BY ALL"""
+DRAFTS = "draft_id string, saved long, status string"
 
 
 @query(DRAFTS_SQL)
 def snk05_drafts(spark, sf_dir):
-    """Saves are appended; the latest of each draft counts."""
-    path = _path(spark, "drafts")
+    """Each save takes the place of the one before."""
+    store = KeyedTable(spark, _path(spark, "drafts"), DRAFTS, ["draft_id"])
     for part in _drafts(spark, sf_dir):
-        part.write.mode("append").parquet(path)
-    return rv.latest(spark.read.schema("draft_id string, saved long, status string").parquet(path), ["draft_id"], ["saved"])
+        store.upsert(part, ["saved"])
+    return store.read()
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def snk07_removed(spark, sf_dir):
+    """Orders written to a table, then those with a returned line removed from it."""
+    store = KeyedTable(spark, _path(spark, "orders"), "o_orderkey long, o_custkey long", ["o_orderkey"])
+    store.upsert(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"])
+    store.delete(table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")))
+    store.vacuum(keep=1, grace_seconds=0)
+    return store.read()
 
 
-@query("SELECT event_id, event_type, value FROM events WHERE event_type = 'click' AND event_id >= 100")
+@query("SELECT o_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity < 10")
 def src02_lookup(spark, sf_dir):
-    """Written by owner, so that a lookup reads the owner's partition only."""
+    """Records looked up by owner and id: each wanted pair reads its owner's folder and the files that may hold its id."""
     path = _path(spark, "owners")
-    table(spark, sf_dir, "events").select("event_type", "event_id", "value").write.partitionBy("event_type").parquet(path)
-    return spark.read.schema("event_id long, value double, event_type string").parquet(path).where("event_type = 'click' and event_id >= 100").select("event_id", "event_type", "value")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    orders.repartition("o_orderpriority").sortWithinPartitions("o_orderkey").write.partitionBy("o_orderpriority").parquet(path)
+    owner = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("owner"))
+    wanted = table(spark, sf_dir, "lineitem").where("l_quantity < 10").select("l_orderkey", "l_linenumber").join(owner, "l_orderkey")
+    stored = spark.read.schema("o_orderkey long, o_custkey long, o_orderpriority string").parquet(path)
+    found = wanted.join(stored, (F.col("owner") == F.col("o_orderpriority")) & (F.col("l_orderkey") == F.col("o_orderkey")))
+    return found.select("o_orderkey", "l_linenumber", "o_custkey")
 
 
 @query("SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
@@ -77,11 +105,9 @@ def _stream(spark, sf_dir, *parts: DataFrame) -> DataFrame:
 @query(DRAFTS_SQL)
 def stm01_late_revisions(spark, sf_dir):
     """Batches of a stream upserted by key; a late revision takes the place of an earlier one."""
-    path = _path(spark, "upserts")
-    running = streams.upsert_stream(_stream(spark, sf_dir, *_drafts(spark, sf_dir)), path, ["draft_id"], ["saved"], _path(spark, "offsets"))
-    running.awaitTermination()
-    rows = spark.read.schema("draft_id string, saved long, status string").parquet(path)
-    return rv.latest(rows, ["draft_id"], ["saved"]).select("draft_id", "saved", "status")
+    store = KeyedTable(spark, _path(spark, "upserts"), DRAFTS, ["draft_id"])
+    streams.upsert_stream(_stream(spark, sf_dir, *_drafts(spark, sf_dir)), store, ["saved"], _path(spark, "offsets")).awaitTermination()
+    return store.read()
 
 
 @query("SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type, count(*) AS n FROM events GROUP BY ALL")

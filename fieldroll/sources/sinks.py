@@ -1,4 +1,4 @@
-"""Append-only tables and content-addressed assets."""
+"""Content-addressed assets."""
 
 from __future__ import annotations
 
@@ -6,14 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def archive(new: DataFrame, path: str, keys: list[str], exists: bool) -> None:
-    """Appends the rows whose keys the table doesn't hold: a record once written never changes."""
-    if exists:
-        old = new.sparkSession.read.schema(new.schema).parquet(path).select(*keys)
-        new = new.join(old, keys, "left_anti")
-    new.write.mode("append").parquet(path)
-
-
 def assets(files: DataFrame, content: str = "content") -> DataFrame:
     """One row per content: sha256, size_bytes, copies. files: content (binary) and whatever else."""
     own = files.select(F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("size_bytes"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.revisions import latest
+from ..sources.keyed import KeyedTable
 
 
 def latest_revisions(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -22,10 +22,11 @@ def weekly_counts(stream: DataFrame, ts: str, keys: list[str], late: str = "2 da
     return stream.withWatermark(ts, late).groupBy(weeks, *keys).agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("week"), *keys, "n")
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    """Each batch's latest rows appended under its number; readers take the latest over all batches."""
+def upsert_stream(stream: DataFrame, table: KeyedTable, order: list[str], checkpoint: str) -> StreamingQuery:
+    """Each batch merged into the table, once: a batch that is run again after a failure finds its number there."""
+    name = checkpoint.rstrip("/")
 
     def put(batch: DataFrame, number: int) -> None:
-        latest(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        table.upsert(batch, order, batch=(name, number))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,9 +10,9 @@ from fieldroll.functions import dates, enums, numbers
 from fieldroll.functions import text as tx
 from fieldroll.operators import lines, listings, manpower, progress, tables
 from fieldroll.operators.coverage import missing_dates
+from fieldroll.operators.revisions import latest
 from fieldroll.plans.period_report import MixedProjects, compile_period
 from fieldroll.sources import documents as docs
-from fieldroll.sources import sinks
 
 DAY = dt.date
 
@@ -151,24 +151,18 @@ def test_empty_inputs(spark):
     assert tables.latest_only(none, [], "date").count() == 0
 
 
-def test_archive_is_append_only(spark, tmp_path):
-    path, schema = str(tmp_path / "t"), "id int, v string"
-    sinks.archive(spark.createDataFrame([(1, "a")], schema), path, ["id"], exists=False)
-    sinks.archive(spark.createDataFrame([(1, "b"), (2, "c")], schema), path, ["id"], exists=True)
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c")]
-
-
 def test_streams(spark, tmp_path, sf_dir):
     from fieldroll.operators.revisions import latest
+    from fieldroll.sources.keyed import KeyedTable
     from fieldroll.streaming.revisions import upsert_stream
 
     source = str(tmp_path / "in")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "value")
     events.write.parquet(source)
     stream = spark.readStream.schema(events.schema).parquet(source)
-    upsert_stream(stream, str(tmp_path / "out"), ["user_id"], ["value", "event_id"], str(tmp_path / "cp")).awaitTermination()
-    got = latest(spark.read.parquet(str(tmp_path / "out")).select("user_id", "event_id", "value"), ["user_id"], ["value", "event_id"])
-    assert sorted(got.collect()) == sorted(latest(events, ["user_id"], ["value", "event_id"]).collect())
+    store = KeyedTable(spark, str(tmp_path / "out"), "user_id long, event_id long, value double", ["user_id"])
+    upsert_stream(stream, store, ["value", "event_id"], str(tmp_path / "cp")).awaitTermination()
+    assert sorted(store.read().collect()) == sorted(latest(events, ["user_id"], ["value", "event_id"]).collect())
 
 
 def test_array_files_and_file_lists(spark, tmp_path):
@@ -255,3 +249,14 @@ def test_compile_reads_reports_once(spark, tmp_path):
     gold = compile_period(reports_of(spark, tmp_path, [("P-1", "One", "2026-07-01", {})]), "2026-07-01", "2026-07-02")
     for name, df in gold.tables.items():
         assert ("/u" in "".join(df.inputFiles())) == (name == "superseded")
+
+
+def test_totals_in_one_aggregation(spark):
+    schema = "kind string, label string, weight double, previous double, this double, plan double"
+    rows = spark.createDataFrame([("x", "a", 25.0, 40.0, 4.0, 50.0), ("x", "a", 25.0, 40.0, 4.0, 50.0), ("x", None, -3.0, 1.0, 1.0, 1.0), (None, "b", 0.0, 1.0, 2.0, 3.0), ("y", "c", 10.0, None, 1.0, 2.0)], schema)
+    out = progress.with_total_row(rows, "label", ["kind"])
+    got = sorted(((r.kind, r.label, r.weight, r.previous, r.this, r.to_date, r.is_total) for r in out.collect()), key=str)
+    detail = [("x", "a", 25.0, 40.0, 4.0, 44.0, False)] * 2 + [("x", None, 0.0, 1.0, 1.0, 2.0, False), (None, "b", 0.0, 1.0, 2.0, 3.0, False), ("y", "c", 10.0, None, 1.0, None, False)]
+    assert got == sorted([*detail, ("x", "Total", 50.0, 20.0, 2.0, 22.0, True), ("y", "Total", 10.0, None, 0.1, None, True)], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Union" not in plan
