@@ -121,18 +121,32 @@ def described(m: Column) -> Column:
 
 
 def page_text(c: Column) -> Column:
-    """Line ends as one newline, no-break spaces as spaces, byte order marks and control characters gone, lines without trailing space."""
+    """Trimmed; line ends as one newline, no-break spaces as spaces, byte order marks and control characters gone, lines without trailing space."""
     c = F.regexp_replace(nfkc(c), r"\r\n?", "\n")
-    c = F.regexp_replace(c, "[﻿\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
-    return F.regexp_replace(c, r"(?m)(?<![ \t ])[ \t ]++$", "")
+    c = F.regexp_replace(c, "[\ufeff\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
+    c = F.regexp_replace(c, r"(?m)(?<![ \t ])[ \t ]++$", "")
+    return F.regexp_replace(c, r"(?U)\A\s++|(?<!\s)\s++\z", "")
+
+
+#: Texts of these characters are the same in every normal form.
+ASCII = r"\A[\x00-\x7F]*+\z"
+
+
+def nfkc(c: Column) -> Column:
+    """The compatibility form; only texts that aren't ASCII go through Python."""
+    return F.coalesce(F.when(c.rlike(ASCII), c), _nfkc(F.when(~c.rlike(ASCII), c)))
+
+
+def casefold_py(c: Column) -> Column:
+    """norm_text with full case folding, for keys in which it matters; only texts that aren't ASCII go through Python."""
+    return F.coalesce(F.when(c.rlike(ASCII), norm_text(c)), _casefolded(F.when(~c.rlike(ASCII), c)))
 
 
 @F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
+def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
 @F.pandas_udf(StringType())
-def casefold_py(s: pd.Series) -> pd.Series:
-    """norm_text with full case folding, for keys in which it matters."""
+def _casefolded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else " ".join(x.split()).casefold())

@@ -33,9 +33,15 @@ def src06_sources(spark, sf_dir):
     return own.withColumn("accepted", (F.col("size_bytes") <= 30 << 20) & F.col("is_pdf"))
 
 
-@query("SELECT sha256(text) AS sha256, CAST(max(strlen(text)) AS BIGINT) AS size_bytes, count(*) AS copies FROM documents GROUP BY sha256(text)")
+@query("SELECT sha256(text) AS sha256, CAST(strlen(any_value(text)) AS BIGINT) AS size_bytes, count(DISTINCT source) AS owners, sha256(any_value(text)) AS read_again FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)")
 def snk04_assets(spark, sf_dir):
-    return sinks.assets(table(spark, sf_dir, "documents").select(F.col("text").cast("binary").alias("content")))
+    """A store that holds each content once, under its digest, with an index of who has it; contents come in two writes that share some."""
+    files = table(spark, sf_dir, "documents").where("text is not null").select(F.col("text").cast("binary").alias("content"), "source", "lang")
+    store = sinks.AssetStore(spark, _path(spark, "assets"))
+    for side in (F.col("lang") == "en", F.lit(True)):
+        store.add(files.where(side), "source")
+    owners = store.index().groupBy("sha256").agg(F.count_distinct("owner").alias("owners"))
+    return store.contents().join(owners, "sha256").select("sha256", "size_bytes", "owners", F.sha2("content", 256).alias("read_again"))
 
 
 @query("""SELECT user_id, CAST(ts AS DATE) AS date, event_type AS area_id, max(event_id) AS submission FROM events GROUP BY ALL""")
@@ -89,10 +95,11 @@ def prj15_record_date(spark, sf_dir):
     return _orders(spark, sf_dir, record).select("o_orderkey", docs.aliased(F.col("doc"), "report_date", "date", "payload.date").try_cast("date").alias("date"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 1.0 WHEN 3 THEN 0.7 ELSE 0.0 END AS confidence FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 0.8 WHEN '3-MEDIUM' THEN 1.0 WHEN '5-LOW' THEN 0.0 ELSE 0.7 END AS confidence FROM orders""")
 def cnf01_field_confidence(spark, sf_dir):
-    method = F.get(F.array(*map(F.lit, ("label", "unique", "master", "similar"))), F.col("o_orderkey") % 5)
-    return table(spark, sf_dir, "orders").select("o_orderkey", enums.field_confidence(method).cast("double").alias("confidence"))
+    """By how a field was found, which an order's priority stands for; 5-LOW: it wasn't."""
+    found_by = F.create_map(*(F.lit(x) for pair in {"1-URGENT": "label", "2-HIGH": "unique", "3-MEDIUM": "master", "4-NOT SPECIFIED": "similar"}.items() for x in pair))
+    return table(spark, sf_dir, "orders").select("o_orderkey", enums.field_confidence(F.try_element_at(found_by, "o_orderpriority")).cast("double").alias("confidence"))
 
 
 @query("SELECT p_partkey, p_name || chr(10) || chr(10) || p_type || ' fi 1' || chr(10) || p_brand AS text FROM part")

@@ -37,9 +37,12 @@ def flt12_known_projects(spark, sf_dir):
     return tables.known_projects(table(spark, sf_dir, "part").select(case("p_brand"), case("p_type"), "p_partkey"), "p_brand", "p_type", "p_partkey")
 
 
-@query("SELECT event_id, '{\"keep\":{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '},\"list\":[\"a\"]}' AS cleaned FROM events")
+@query("""SELECT event_id, '{"keep":{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '},"list":["a",' || repeat('[', CAST(event_id % 12 AS INTEGER)) || '{"deep":"' || event_type || '"}' || repeat(']', CAST(event_id % 12 AS INTEGER)) || ']}' AS cleaned FROM events""")
 def jsn02_without_inline(spark, sf_dir):
-    doc = F.concat(F.lit('{"img_data": "x", "list": ["a", "data:image/png;base64,AAAA"], "sig": "'), F.repeat(F.lit("A"), 128), F.lit('", "keep": '), "props", F.lit("}"))
+    """Images and signatures at depths 0 to 12, in lists and in objects."""
+    depth = (F.col("event_id") % 12).cast("int")
+    deep = F.concat(F.repeat(F.lit("["), depth), F.lit('{"photo_path": {"a": [1, {}]}, "deep": "'), "event_type", F.lit('", "image_data": null}, " DATA:x;base64,AA"'), F.repeat(F.lit("]"), depth))
+    doc = F.concat(F.lit('{"img_data": "x", "list": ["a", "data:image/png;base64,AAAA", '), deep, F.lit('], "sig": "'), F.repeat(F.lit("A"), 128), F.lit('", "keep": '), "props", F.lit("}"))
     return table(spark, sf_dir, "events").select("event_id", without_inline(doc).alias("cleaned"))
 
 
@@ -56,9 +59,14 @@ def join08_path_of_photo(spark, sf_dir):
     return own.join(paths, "photo", "left").drop("photo")
 
 
-@query("SELECT o_custkey, year(o_orderdate) AS year, o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS reports, max(o_orderkey) AS last_key FROM orders GROUP BY ALL")
+@query("""WITH i AS (SELECT o_custkey, year(o_orderdate) AS year, o_orderkey FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT o_orderkey, o_custkey, year(o_orderdate) AS year FROM orders WHERE o_orderstatus <> 'F')
+    SELECT n.o_orderkey, count(i.o_orderkey) AS known, max(i.o_orderkey) AS last_key FROM n LEFT JOIN i USING (o_custkey, year) GROUP BY n.o_orderkey""")
 def join15_same_period(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").cast("long").alias("year"), "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("reports"), F.max("o_orderkey").alias("last_key"))
+    """New orders against an index of the finished ones of the same customer and year: how many it holds, and the last. The index is counted before the join."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"), "o_orderstatus")
+    index = orders.where("o_orderstatus = 'F'").groupBy("o_custkey", "year").agg(F.count("*").alias("known"), F.max("o_orderkey").alias("last_key"))
+    found = orders.where("o_orderstatus <> 'F'").join(index, ["o_custkey", "year"], "left")
+    return found.select("o_orderkey", F.coalesce("known", F.lit(0)).alias("known"), "last_key")
 
 
 @query("SELECT l_orderkey, sum(l_quantity) AS weight, round(sum(l_quantity * l_discount * 100 / 100), 6) AS progress FROM lineitem GROUP BY l_orderkey")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import listings as ls
 from ..operators import tables as tb
 from ..operators.revisions import first_per_key
 from ..plans.period_report import compile_period
@@ -114,11 +115,12 @@ def ded05_manifest(spark, sf_dir):
     return first_per_key(own, [F.col("identity")], ["event_id"]).select("identity", "event_id")
 
 
-@query("SELECT o_orderkey, (CASE WHEN o_orderkey % 2 = 0 THEN 'b,a,c' WHEN o_orderkey % 3 = 0 THEN 'c,a,b' ELSE 'a,b,c' END) AS sections FROM orders")
+@query("""WITH g AS (SELECT o_orderkey, list_filter([CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '5-LOW' THEN 'later' END, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' END], lambda x: x IS NOT NULL) AS given FROM orders)
+    SELECT o_orderkey, array_to_string(list_concat(given, list_filter(['open', 'done', 'urgent', 'later'], lambda x: NOT list_contains(given, x))), ',') AS sections FROM g""")
 def ded08_section_order(spark, sf_dir):
-    k = F.col("o_orderkey")
-    given = F.when(k % 2 == 0, F.array(F.lit("b"), F.lit("b"), F.lit("a"))).when(k % 3 == 0, F.array(F.lit("c"))).otherwise(F.array().cast("array<string>"))
-    order = F.array_union(F.array_distinct(given), F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    """An order's own sections first, by alias, repeats and unknown ones left out, then the others."""
+    given = F.array("o_orderpriority", F.concat(F.lit(" "), "o_orderstatus"), "o_orderstatus")
+    order = ls.section_order(given, {"1-urgent": "urgent", "5-low": "later", "f": "done", "o": "open"}, ("open", "done", "urgent", "later"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(order, ",").alias("sections"))
 
 

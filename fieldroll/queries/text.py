@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions import text as tx
-from ..operators import lines, matching, revisions
+from ..operators import lines, listings, matching, revisions
 from ..registry import query, table
+from ..sources.documents import canonical
 
 
 @query("SELECT c_custkey FROM customer WHERE lower(trim(regexp_replace('  ' || c_mktsegment || ' ', '\\s+', ' ', 'g'))) = 'building'")
@@ -137,9 +138,12 @@ def ded01_first_per_key(spark, sf_dir):
     return revisions.first_per_key(own, [F.col("key")], ["doc_id"])
 
 
-@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
+@query("""SELECT event_id, CASE WHEN value <= 90 THEN '{"a":[1,{"b":' || CAST(json_extract(props, '$.k') AS VARCHAR) || ',"c":null}],"k":{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '},"z":"' || event_type || '"}' END AS json FROM events""")
 def jsn01_json(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k")).agg(F.count("*").alias("n"))
+    """Read, and written again with sorted keys and without white space; what holds NaN isn't JSON."""
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "string")
+    text = F.concat(F.lit('{ "z": "'), "event_type", F.lit('", "k": '), "props", F.lit(', "a" : [1, {"c": null, "b": '), F.when(F.col("value") > 90, "NaN").otherwise(k), F.lit("}]}"))
+    return table(spark, sf_dir, "events").select("event_id", canonical(text).alias("json"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -159,11 +163,10 @@ def arr01_explode(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v")).select("vec_id", "pos", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
-@query("SELECT role, count(*) AS n, sha256(string_agg(conv_id || ':' || turn, ',' ORDER BY conv_id, turn)) AS digest FROM conversations GROUP BY role")
+@query("SELECT role, conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS place FROM conversations")
 def agg12_activities_by_area(spark, sf_dir):
-    rows = F.sort_array(F.collect_list(F.struct("conv_id", "turn")))
-    joined = F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["conv_id"], r["turn"])), ",")
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sha2(joined.cast("binary"), 256).alias("digest"))
+    """What belongs to a role, in order: its place there in place of a list that has to fit a row."""
+    return listings.placed(table(spark, sf_dir, "conversations").select("role", "conv_id", "turn"), ["role"], ["conv_id", "turn"])
 
 
 @query("""WITH k AS (SELECT lower(n_name) AS k, count(*) AS matches, min(n_nationkey) AS nk FROM nation GROUP BY ALL)

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.numbers import hidden, parse_number
 from ..functions.text import clean_text, present
@@ -44,42 +39,48 @@ def file_list(spark: SparkSession, path: str, name: str) -> DataFrame:
     return own.where(F.col("name").rlike(f"^{name}$"))
 
 
-#: Fields that hold images or signatures inline, and how such contents look.
+#: JSON strings; loops without backtracking, so that long ones need no stack.
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+#: Fields that hold images or signatures inline, and how such contents look (as JSON strings).
 INLINE_FIELDS = ("img_data", "image_data", "signature_data", "photo_path")
-DATA_URI = r"(?i)^\s*data:[^,]*;base64,"
+DATA_URI = r'(?i)^"(?:\s|\\[nrtf])*+data:[^,]*;base64,'
+SIGNATURE = r'^"[A-Za-z0-9+/]++={0,2}"$'
 
 
-def without_inline(doc: Column) -> Column:
-    """JSON text without inline images and signatures, at any depth; null if it isn't JSON. Built-in functions take no recursion: Arrow batches."""
-    return _cleaned(doc)
+def canonical(doc: Column) -> Column:
+    """JSON text with sorted keys and without white space; null if it isn't JSON (NaN and infinities aren't)."""
+    return F.to_json(F.try_parse_json(doc))
 
 
-@F.pandas_udf(StringType())
-def _cleaned(docs: pd.Series) -> pd.Series:
-    inline = re.compile(DATA_URI)
-
-    def dropped(key: str, value) -> bool:
-        if key in INLINE_FIELDS:
-            return True
-        if not isinstance(value, str):
-            return False
-        bare = "".join(value.split())
-        return bool(inline.match(value)) or key == "sig" and len(bare) >= 128 and re.fullmatch("[A-Za-z0-9+/]+={0,2}", bare) is not None
-
-    def cleaned(value):
-        if isinstance(value, dict):
-            return {k: cleaned(v) for k, v in value.items() if not dropped(k, v)}
-        if isinstance(value, list):
-            return [cleaned(v) for v in value if not dropped("", v)]
-        return None if dropped("", value) else value
+def without_inline(doc: Column) -> Column:
+    """Canonical JSON text without inline images and signatures, at any depth; null if it isn't JSON.
 
-    def one(text: str | None) -> str | None:
-        try:
-            return None if text is None else json.dumps(cleaned(json.loads(text)), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-        except (ValueError, RecursionError):
-            return None
+    One pass over the text's tokens: a stack of open brackets, the key at hand, and the depth at which a value is left out.
+    Members are put down with a mark before them (no JSON text holds a control character), which becomes their comma.
+    """
+    tokens = F.regexp_extract_all(canonical(doc), F.lit(STRING + r'|[{}\[\],:]|[^"{}\[\],:]++'), F.lit(0))
+    start = F.struct(F.lit("").alias("stack"), F.lit("").alias("key"), F.lit(-1).alias("left"), F.lit("").alias("out"))
 
-    return docs.map(one)
+    def step(acc: Column, t: Column) -> Column:
+        stack, key = acc["stack"], acc["key"]
+        opens, closes, quiet = t.isin("{", "["), t.isin("}", "]"), t.isin(",", ":")
+        skips = acc["left"] >= 0
+        is_key = (F.right(stack, F.lit(1)) == "{") & (key == "") & ~opens & ~closes & ~quiet & ~skips
+        hidden = key.isin(*(f'"{f}"' for f in INLINE_FIELDS))
+        bare = F.regexp_replace(t, r"\s|\\[nrtf]", "")
+        inline = t.rlike(DATA_URI) | (key == '"sig"') & (F.length(bare) >= 130) & bare.rlike(SIGNATURE)
+        begins = F.concat(F.lit("\x01"), F.when(key == "", "").otherwise(F.concat(key, F.lit(":"))), t)
+        below = F.substring(stack, F.lit(1), F.length(stack) - 1)
+        return F.struct(
+            F.when(opens, F.concat(stack, t)).when(closes, below).otherwise(stack).alias("stack"),
+            F.when(is_key, t).when(quiet | skips & ~(closes & (F.length(below) == acc["left"])), key).otherwise("").alias("key"),
+            F.when(~skips & opens & hidden, F.length(stack)).when(skips & closes & (F.length(below) == acc["left"]), -1).otherwise(acc["left"]).alias("left"),
+            F.when(quiet | is_key | skips, acc["out"]).when(closes, F.concat(acc["out"], t)).when(hidden | ~opens & inline, acc["out"]).otherwise(F.concat(acc["out"], begins)).alias("out"),
+        )
+
+    marked = F.aggregate(tokens, start, step, lambda acc: acc["out"])
+    joined = F.regexp_replace(F.regexp_replace(marked, "(^|[{\\[])\x01", "$1"), "\x01", ",")
+    return F.when(marked == "", "null").otherwise(joined)
 
 
 def field(doc: Column, name: str, kind: str = "string", default=None) -> Column:
@@ -113,10 +114,6 @@ def reports(docs: DataFrame) -> DataFrame:
     )
 
 
-#: JSON strings; loops without backtracking, so that long ones need no stack.
-STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-
-
 def texts(value: Column) -> Column:
     """The texts of a text or of lists in lists, of any depth, in order: cleaned, without blank ones. Other values hold none.
 
