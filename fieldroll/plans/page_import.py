@@ -6,6 +6,8 @@ Whatever can't be read for certain is left empty and becomes a warning; nothing
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,7 +146,21 @@ def section_texts(rows: DataFrame) -> DataFrame:
     return own.where("trim(text) <> ''")
 
 
-def import_pages(pages: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
+class Imported(dict):
+    """Tables by name; suggestions are looked for when they are asked for, since that writes tables of its own."""
+
+    def __init__(self, tables: dict[str, DataFrame], suggested: Callable[[], DataFrame]):
+        super().__init__(tables)
+        self._suggested = suggested
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name != "suggestions":
+            raise KeyError(name)
+        self[name] = self._suggested()
+        return self[name]
+
+
+def import_pages(pages: DataFrame, known: DataFrame) -> Imported:
     """records, activities, sections, warnings and suggestions. pages: doc_id, page, text; known: project_id, title, project_no.
 
     A record is ready if date, day and project number are there and no warning is an error; a person confirms it in any case.
@@ -201,10 +217,9 @@ def import_pages(pages: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
         F.lit(True).alias("review_required"),
     )
     unmatched = own.where("outcome = 'unknown' and title_method = 'label'").select("doc_id", "project_title")
-    return {
+    return Imported({
         "records": records,
         "activities": items,
         "sections": section_texts(told),
         "warnings": own.select("doc_id", F.inline("warnings")),
-        "suggestions": matching.ranked(unmatched, "doc_id", "project_title", known, "project_id", "title"),
-    }
+    }, lambda: matching.ranked(unmatched, "doc_id", "project_title", known, "project_id", "title"))
