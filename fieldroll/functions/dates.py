@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .text import clean_text
 
-#: Month names that dates are written with.
-MONTHS = {
-    "january": 1, "februari": 2, "february": 2, "januari": 1, "march": 3, "maret": 3, "april": 4, "may": 5, "mei": 5, "june": 6, "juni": 6, "july": 7, "juli": 7,
-    "august": 8, "agustus": 8, "september": 9, "october": 10, "oktober": 10, "november": 11, "december": 12, "desember": 12,
-    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "agu": 8, "sep": 9, "sept": 9, "oct": 10, "okt": 10, "nov": 11, "dec": 12, "des": 12,
-}
+#: Month names that dates are written with, January to December.
+MONTH_NAMES = (
+    ("january", "januari", "jan"), ("february", "februari", "feb"), ("march", "maret", "mar"), ("april", "apr"), ("may", "mei"), ("june", "juni", "jun"),
+    ("july", "juli", "jul"), ("august", "agustus", "aug", "agu"), ("september", "sep", "sept"), ("october", "oktober", "oct", "okt"), ("november", "nov"), ("december", "desember", "dec", "des"),
+)
+MONTHS = {name: number for number, names in enumerate(MONTH_NAMES, 1) for name in names}
 
 
 def iso_date(c: Column) -> Column:
