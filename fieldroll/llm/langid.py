@@ -17,15 +17,13 @@ other columns are ignored. Without a labelled row every text gives `und`.
 
 from __future__ import annotations
 
-import re
-import sys
-import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +39,8 @@ PENALTY = float(ORDER)
 LEAST_WORDS = 1.0
 UNKNOWN = "und"
 
-#: Numbers that \w takes for letters, such as fractions, powers, circled and Roman ones.
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isdecimal() and not unicodedata.category(c).startswith("L"))
-#: Runs of letters.
-words_of = re.compile(rf"[^\W\d_{NUMBERS}]+").findall
+#: Runs of letters: not of what else \w takes for such (fractions, powers, circled and Roman numbers).
+words_of = regex.compile(r"\p{L}+").findall
 
 
 class Model:
