@@ -37,14 +37,14 @@ def snk01_archive(spark, sf_dir):
 @query("""SELECT event_type, CAST(ts AS DATE) AS date, event_id, CASE WHEN value >= 99 THEN 1000 + row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE), value >= 99 ORDER BY event_id)
     ELSE row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE), value >= 99 ORDER BY value >= 50, event_id) END AS revision FROM events""")
 def snk01_writers_revision(spark, sf_dir):
-    """Records get the next revision of their type and day, in two writes; some come with one of their own."""
-    store = KeyedTable(spark, _path(spark, "records"), "event_type string, date date, event_id long, revision long", ["event_type", "date"])
-    own = Window.partitionBy("event_type", "date").orderBy("event_id")
-    events = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("date"), "event_id", "value")
-    for side in (F.col("value") < 50, F.col("value").between(50, 98.9999999)):
-        store.archive(events.where(side).select("event_type", "date", "event_id", F.lit(None).cast("long").alias("revision")), "revision", ["event_id"])
-    store.archive(events.where("value >= 99").select("event_type", "date", "event_id", (F.row_number().over(own) + 1000).cast("long").alias("revision")), "revision", ["event_id"])
-    return store.read()
+    """Records get the next revision of their type and day, in two writes; those that come with one of their own are a series of theirs (own)."""
+    store = KeyedTable(spark, _path(spark, "records"), "event_type string, date date, own boolean, event_id long, revision long", ["event_type", "date", "own"])
+    day = Window.partitionBy("event_type", "date").orderBy("event_id")
+    events = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("date"), (F.col("value") >= 99).alias("own"), "event_id", "value")
+    for side in (F.coalesce(F.col("value") < 50, F.lit(True)), (F.col("value") >= 50) & ~F.col("own")):
+        store.archive(events.where(side).drop("value").withColumn("revision", F.lit(None).cast("long")), "revision", ["event_id"])
+    store.archive(events.where("own").drop("value").withColumn("revision", (F.row_number().over(day) + 1000).cast("long")), "revision", ["event_id"])
+    return store.read().drop("own")
 
 
 DRAFTS_SQL = """SELECT event_type || '-' || user_id AS draft_id, max(event_id) AS saved, CASE WHEN arg_max(value, event_id) < 60 THEN 'early' ELSE 'late' END AS status FROM events GROUP BY ALL"""
