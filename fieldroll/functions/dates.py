@@ -30,8 +30,13 @@ def utc_text(c: Column) -> Column:
 
 
 def _made(year: Column, month: Column, day: Column) -> Column:
-    parts = F.format_string("%04d-%02d-%02d", year, month, day)
-    return F.when((year >= 1900) & (year <= 2200) & (month >= 1) & (month <= 12) & (day >= 1), F.try_to_date(parts, "yyyy-MM-dd"))
+    """The date of three texts of figures. Cast, not parsed by a pattern: that costs a formatter and, for no date, an exception each time."""
+    return F.when(year.between("1900", "2200"), F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date"))
+
+
+def _bound(value: Column, make) -> Column:
+    """make(value), for which value is computed once, however often make uses it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
 #: The ways in which dates are written.
@@ -42,17 +47,17 @@ MONTH_FIRST = r"([A-Za-z]+)\s+(\d{1,2})(?:st|nd|rd|th)?\s*,?\s+(\d{4})"
 
 
 def _read(c: Column, whole: bool) -> Column:
-    names = F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))
+    numbers = F.create_map(*(F.lit(x) for name, number in MONTHS.items() for x in (name, str(number))))
     edged = lambda pattern: f"^{pattern}$" if whole else rf"\b{pattern}\b"
-    get = lambda pattern, k: F.regexp_extract(c, edged(pattern), k)
-    number = lambda pattern, k: get(pattern, k).try_cast("int")
-    month = lambda pattern, k: F.try_element_at(names, F.lower(get(pattern, k)))
-    first, second = number(FIGURES, 1), number(FIGURES, 2)
+    parts = lambda pattern: F.split(F.regexp_extract(c, edged(pattern), 0), "[^0-9A-Za-z]+")
+    month = lambda name: F.try_element_at(numbers, F.lower(name))
+    # Each pattern is searched once; its match is cut into day, month and year (a single empty text, if there is none).
+    read = lambda pattern, make: _bound(parts(pattern), lambda p: F.when(F.size(p) >= 3, make(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2)))))
     return F.coalesce(
-        _made(number(ISO, 1), number(ISO, 2), number(ISO, 3)),
-        F.when((first > 12) | (second > 12), _made(number(FIGURES, 3), second, first)),
-        _made(number(DAY_FIRST, 3), month(DAY_FIRST, 2), number(DAY_FIRST, 1)),
-        _made(number(MONTH_FIRST, 3), month(MONTH_FIRST, 1), number(MONTH_FIRST, 2)),
+        read(ISO, lambda year, m, day: _made(year, m, day)),
+        read(FIGURES, lambda day, m, year: F.when((day.cast("int") > 12) | (m.cast("int") > 12), _made(year, m, day))),
+        read(DAY_FIRST, lambda day, name, year: _made(year, month(name), day)),
+        read(MONTH_FIRST, lambda name, day, year: _made(year, month(name), F.regexp_replace(day, "[a-z]+$", ""))),
     )
 
 

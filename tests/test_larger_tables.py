@@ -55,3 +55,15 @@ def test_pairs_of_blocks_and_rare_characters(monkeypatch, spark):
         i, j = matching.sharing_characters(texts, near, 80.0)
         assert wanted <= {(texts[p], near[q]) for p, q in zip(i, j)}
     assert [len(k) for k in matching.sharing_characters(["a"], ["b"], 80.0)] == [0, 0]
+
+
+def test_a_date_pattern_is_searched_once(spark):
+    """And what no month's name stands in is no date."""
+    from pyspark.sql import functions as F
+
+    from fieldroll.functions import dates
+
+    rows = spark.createDataFrame([("Foo 12 2200", None), ("June 12nd, 2200", "2200-06-12"), ("31 Apr 2020", None), ("29/2/2023", None), ("29/2/2024", "2024-02-29"), ("0000-01-01", None)], "t string, d string")
+    found = rows.select("d", dates.any_date(F.col("t")).alias("own"))
+    assert [str(r.own) for r in found.collect()] == [str(r.d) for r in rows.collect()]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 4
