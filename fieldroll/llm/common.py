@@ -99,7 +99,7 @@ class Memo(dict):
 
 
 #: Characters of words whose n-grams are made at once.
-GRAM_BLOCK = 1 << 20
+GRAM_BLOCK = 1 << 17
 #: Characters of words that a worker's cache holds before it is emptied.
 CACHE_CHARACTERS = 1 << 24
 

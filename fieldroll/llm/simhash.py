@@ -49,7 +49,7 @@ CHUNK = 2048
 #: Frequent shingles that go last in the order (broadcast, 512 KB). Which these are changes the speed alone.
 FREQUENT = 1 << 16
 #: Shingles that a task holds at most while it counts them (16 bytes each).
-COUNTED = 1 << 20
+COUNTED = 1 << 18
 #: Texts to be compared in full up to which their hashes are broadcast (16 bytes each); beyond, a join by hash.
 BROADCAST_TEXTS = 400_000
 #: 64-bit words of a set's bitmap.
@@ -371,9 +371,10 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, own: DataFrame, text_col: str, shingle: int, similarity: float, radius: int) -> DataFrame:
-    """node, component: the groups of nodes joined by pairs of that similarity or more, for nodes in such pairs."""
-    nodes = written(own.groupBy("node").agg(F.min("h").alias("h"), *(F.first(c).alias(c) for c in ("size", "fp", "more", "prefix"))), "nodes")
-    rows = written(shared(nodes).join(nodes.select("node", "size", "fp", "more"), "node"), "shared")
+    """node, component: the groups of nodes joined by pairs of that similarity or more, for nodes in such pairs. own: shingled's columns, and row, a number of its own for each row."""
+    nodes = written(own.groupBy("node").agg(*(F.min(c).alias(c) for c in ("row", "h", "size", "fp", "more"))), "nodes")
+    # One row's prefix for each node, so that prefixes themselves are neither sorted nor aggregated.
+    rows = written(shared(own.join(nodes.select("row"), "row", "left_semi")).join(nodes.select("node", "size", "fp", "more"), "node"), "shared")
     few = candidates(rows, similarity, radius)
     close = written(few.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "close")
     texts = docs.select(F.xxhash64(text_col).alias("h"), docs[text_col].alias("t"))
@@ -415,7 +416,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fingerprints differ in over 2 * radius + 1 of 128 bits are taken to be less similar. A row without an id stays only
     if no row with one is in its group.
     """
-    own = written(shingled(docs, id_col, text_col, shingle, similarity), "shingled")
+    own = written(shingled(docs, id_col, text_col, shingle, similarity).withColumn("row", F.monotonically_increasing_id()), "shingled")
     of = similar_classes(docs, own, text_col, shingle, similarity, radius)
     group = own.select("id", "h", "node").join(of, "node", "left").groupBy(F.coalesce("component", "node"))
     kept = group.agg(F.min(F.struct(F.isnull("id").alias("no"), "id", "h")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"))

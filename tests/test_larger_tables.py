@@ -67,3 +67,15 @@ def test_a_date_pattern_is_searched_once(spark):
     found = rows.select("d", dates.any_date(F.col("t")).alias("own"))
     assert [str(r.own) for r in found.collect()] == [str(r.d) for r in rows.collect()]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 4
+
+
+def test_a_prefix_is_neither_sorted_nor_aggregated(monkeypatch, spark):
+    """Near copies, and copies of one set of shingles: one stays; nodes hold numbers alone."""
+    from fieldroll.llm import simhash
+
+    held, made = {}, simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name: held.setdefault(name, df.columns) and made(df, name))
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (2, "  ".join(words)), (3, " ".join(words[:59])), (4, "other text of six words here"), (5, None), (6, "")]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5] and "prefix" not in held["nodes"]
