@@ -34,6 +34,11 @@ def _made(year: Column, month: Column, day: Column) -> Column:
     return F.when(year.between("1900", "2200"), F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date"))
 
 
+def iso_value(c: Column) -> Column:
+    """date_value of a text that has the form of an ISO date."""
+    return F.when(F.substring(c, 1, 4).between("1900", "2200"), c.try_cast("date"))
+
+
 def _bound(value: Column, make) -> Column:
     """make(value), for which value is computed once, however often make uses it."""
     return F.get(F.transform(F.array(value), make), F.lit(0))

@@ -20,7 +20,8 @@ def pages(spark, sf_dir) -> DataFrame:
     item = F.concat(F.rpad(F.concat(F.lit("1. "), "o_orderpriority"), 40, " "), F.lit("1. Order "), k.cast("string"))
     text = F.concat_ws("\n", F.concat(F.lit("Project No.   "), F.col("o_custkey").cast("string")), date, F.concat(F.lit("Working Day   Day "), (k % 500).cast("string")),
         F.lit("4. DAILY ACTIVITIES & MANPOWER BY AREA"), F.concat(F.lit("■ Unit "), "o_orderstatus"), heads, item, F.lit("6. REMARKS"), F.concat(F.lit("Seen  by "), F.lower("o_orderstatus")))
-    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.lit(1).alias("page"), text.alias("text"))
+    # Orders are spread before their pages are written: a small file is a single task's.
+    return table(spark, sf_dir, "orders").repartition("o_orderkey").select(k.alias("doc_id"), F.lit(1).alias("page"), text.alias("text"))
 
 
 def known(spark, sf_dir) -> DataFrame:

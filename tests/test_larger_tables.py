@@ -79,3 +79,20 @@ def test_a_prefix_is_neither_sorted_nor_aggregated(monkeypatch, spark):
     rows = [(1, " ".join(words)), (2, "  ".join(words)), (3, " ".join(words[:59])), (4, "other text of six words here"), (5, None), (6, "")]
     kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5] and "prefix" not in held["nodes"]
+
+
+def test_pages_are_cleaned_and_sorted_once(spark, sf_dir):
+    """Records and warnings take one pass over a document's lines, with a dash, a day and symbols in them."""
+    from fieldroll.plans.page_import import import_pages
+
+    text = "Project No. 7\nday 3 and 2024-02-30, 2024-02-29\n\u25a0 A\n6. REMARKS\none\u00a0 two\n4. DAILY ACTIVITIES & MANPOWER BY AREA\n\u25a0 A\nActivity Today\n1. x\n\u25a0 B\n2. y\nActivity Tomorrow\n3. z"
+    pages = spark.createDataFrame([(1, 1, text), (2, 1, "6. REMARKS\nRemark"), (2, 2, "more"), (3, 1, None)], "doc_id int, page int, text string")
+    out = import_pages(pages, spark.createDataFrame([], "project_id string, title string, project_no string"))
+    own = {r.doc_id: r for r in out["records"].collect()}
+    assert (str(own[1].date), own[1].day_no, own[1].project_no, own[1].global_remarks) == ("2024-02-29", "3", "7", "one two")
+    assert own[2].global_remarks == "Remark more" and 3 not in own
+    assert [(r.area_id, r.kind, r.activity) for r in out["activities"].orderBy("line_no").collect()] == [("A", "today", "x"), ("B", "tomorrow", "z")]
+    assert {r.code for r in out["warnings"].where("doc_id = 1").collect()} == {"date_inferred_without_label", "day_inferred_without_label"}
+    for name in ("records", "warnings"):
+        plan = out[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("posexplode(") == 1, name
