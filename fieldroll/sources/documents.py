@@ -47,6 +47,27 @@ DATA_URI = r'(?i)^"(?:\s|\\[nrtf])*+data:[^,]*;base64,'
 SIGNATURE = r'^"[A-Za-z0-9+/]++={0,2}"$'
 
 
+#: How deep a left out value's brackets may nest for one search to take it whole; deeper ones go by steps.
+DEPTH = 12
+
+
+def _left_out() -> str:
+    """A pattern for what without_inline leaves out of canonical JSON text, with the comma that goes too; group 1 is what stays.
+
+    Matches follow each other from the text's start, so that each begins at a token. Its loops are possessive: no stack grows with the text.
+    """
+    inner = rf'(?:{STRING}|[^"{{}}\[\]]++)*+'
+    for _ in range(DEPTH - 1):
+        inner = rf'(?:{STRING}|[^"{{}}\[\]]++|[{{\[]{inner}[}}\]])*+'
+    rest = r'[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    space = r"(?:\s|\\[nrtf])"
+    hidden = rf'"(?:{"|".join(INLINE_FIELDS)})":(?:{STRING}|[{{\[]{inner}[}}\]]|[^"{{}}\[\],:]++)'
+    signature = rf'"sig":"(?=(?:{space}*+[A-Za-z0-9+/=]){{128}}+)(?:{space}|[A-Za-z0-9+/])++(?:={space}*+){{0,2}}+"'
+    data = rf'(?:{STRING}:)?+(?i:"{space}*+data:(?:[^",\\]++|\\.)*+(?<=;base64),){rest}'
+    out = f"(?:{hidden}|{signature}|{data})"
+    return rf'(?:,{out})++(?=[}}\]])|{out},?+|({STRING}:?+|[^",]++|,)'
+
+
 def canonical(doc: Column) -> Column:
     """JSON text with sorted keys and without white space; null if it isn't JSON (NaN and infinities aren't)."""
     return F.to_json(F.try_parse_json(doc))
@@ -55,10 +76,21 @@ def canonical(doc: Column) -> Column:
 def without_inline(doc: Column) -> Column:
     """Canonical JSON text without inline images and signatures, at any depth; null if it isn't JSON.
 
+    One search over the text leaves them out; where a field's value is nested too deep for it, the text goes by steps.
+    """
+    text = canonical(doc)
+    kept = F.regexp_replace(text, _left_out(), "$1")
+    deeper = kept.rlike(f'"(?:{"|".join(INLINE_FIELDS)})":')
+    return F.when(deeper, _by_steps(text)).when(kept == "", "null").otherwise(kept)
+
+
+def _by_steps(text: Column) -> Column:
+    """without_inline of canonical JSON text, whatever its depth.
+
     One pass over the text's tokens: a stack of open brackets, the key at hand, and the depth at which a value is left out.
     Members are put down with a mark before them (no JSON text holds a control character), which becomes their comma.
     """
-    tokens = F.regexp_extract_all(canonical(doc), F.lit(STRING + r'|[{}\[\],:]|[^"{}\[\],:]++'), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(STRING + r'|[{}\[\],:]|[^"{}\[\],:]++'), F.lit(0))
     start = F.struct(F.lit("").alias("stack"), F.lit("").alias("key"), F.lit(-1).alias("left"), F.lit("").alias("out"))
 
     def step(acc: Column, t: Column) -> Column:

@@ -50,6 +50,21 @@ def test_without_inline_against_recursion(spark):
     assert "Python" not in plan.replace("ExistingRDD", "")
 
 
+def test_without_inline_in_one_search(monkeypatch, spark):
+    """No steps where values are nested a little; with them, the same where they are nested deeper. Commas go with what is left out."""
+    data, sig = "data:a\"b;base64,x,y", "A" * 64 + "\n " + "/" * 63 + "="
+    values = [[data, 1, data], [data, data], [1, data, data, "x"], [data], {"img_data": {"sig": [[{}]]}}, {"sig": sig, "z": {"sig": [sig], "photo_path": None}}, {data: 1, "a": "DATA:;base64,"},
+        {"a": 'x"photo_path', "b": "data:,;base64,", "c": "data:base64,", "sig": sig[:-1] + "é", "y": {"sig": sig + "=="}}, data, [[], {}, {"image_data": 1.5, "k": [data, {"k": data}]}], {"signature_data": "]}", "t": "[,]"}]
+    draw = random.Random(6)
+    every = values + [nested(draw, k % 13) for k in range(300)]
+    run = lambda own: [json.loads(r.x) for r in spark.createDataFrame(list(enumerate(map(json.dumps, own))), "k int, t string").select("k", docs.without_inline(F.col("t")).alias("x")).orderBy("k").collect()]
+    monkeypatch.setattr(docs, "DEPTH", 2)
+    assert run(every) == [cleaned(v) for v in every]
+    monkeypatch.setattr(docs, "DEPTH", 12)
+    monkeypatch.setattr(docs, "_by_steps", lambda text: F.raise_error(F.lit("steps")).cast("string"))
+    assert run(values) == [cleaned(v) for v in values]
+
+
 def test_canonical(spark):
     rows = spark.createDataFrame([('{"b": [1, 2.50, {"z": null, "a": "é"}], "a": true }',), ("NaN",), ("",), (None,)], "t string")
     assert [r.x for r in rows.select(docs.canonical(F.col("t")).alias("x")).collect()] == ['{"a":true,"b":[1,2.5,{"a":"é","z":null}]}', None, None, None]
