@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .keyed import KeyedTable
-from .scratch import written
 
 
 def assets(files: DataFrame, content: str = "content") -> DataFrame:
@@ -23,9 +22,8 @@ class AssetStore:
         self._index = KeyedTable(spark, f"{path}/index", "sha256 string, owner string", ["sha256", "owner"])
 
     def add(self, files: DataFrame, owner: str, content: str = "content") -> None:
-        """Contents that the store lacks are written; null ones are no assets."""
+        """Contents that the store lacks are written; null ones are no assets. files is read twice, so that no copy of its contents is made for the index."""
         own = files.where(F.col(content).isNotNull()).select(F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("size_bytes"), F.col(content).alias("content"), F.col(owner).cast("string").alias("owner"))
-        own = written(own, "assets")
         self._contents.insert_absent(own.drop("owner"), ["size_bytes"])
         self._index.insert_absent(own.select("sha256", "owner"), [])
 

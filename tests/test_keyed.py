@@ -119,3 +119,17 @@ def test_a_batch_counts_once(spark, store, tmp_path):
         rows(spark, *part).write.mode("append").parquet(str(source))
         upsert_stream(spark.readStream.schema(SCHEMA).parquet(str(source)), store, ["n"], str(tmp_path / "offsets")).awaitTermination()
     assert content(store.read()) == [(1, "c", 3), (2, "y", 10)]
+
+
+def test_contents_of_assets_are_set_down_once(monkeypatch, spark, tmp_path):
+    """Beside the store itself a write holds each content in one table; copies and contents of an earlier write add none."""
+    from fieldroll.sources import keyed, sinks
+
+    held, made = [], keyed.written
+    for module in (keyed, sinks):
+        monkeypatch.setattr(module, "written", lambda df, name: held.append("content" in df.columns) or made(df, name), raising=False)
+    store = sinks.AssetStore(spark, str(tmp_path / "assets"))
+    for rows in ([(b"a", "x"), (b"a", "y"), (None, "x")], [(b"a", "z"), (b"b", "x"), (b"", "x")]):
+        store.add(spark.createDataFrame(rows, "content binary, owner string"), "owner")
+    assert held == [True, False] * 2
+    assert sorted(bytes(r.content) for r in store.contents().collect()) == [b"", b"a", b"b"] and store.index().count() == 5
