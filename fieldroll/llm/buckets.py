@@ -21,17 +21,25 @@ BROADCAST_ROWS = 100_000
 
 def dealt(rows: DataFrame, keys: list[str], node: str, chunk: int) -> DataFrame:
     """rows with first, second (chunk numbers) and side (0: this row is of the first), dealt and sorted by group."""
-    large = written(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > chunk), "large")
+    large = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > chunk)
+    large = written(large.select(*keys, F.ceil(F.col("__n") / chunk).cast("int").alias("__cut")), "large")
     n = large.count()
     if n:
         rows = rows.join(F.broadcast(large) if n <= BROADCAST_ROWS else large, keys, "left")
-        cut = F.ceil(F.coalesce("__n", F.lit(1)) / chunk).cast("int")
-        rows = rows.withColumn("__cut", cut).withColumn("__own", F.pmod(F.xxhash64(node), F.col("__cut")).cast("int"))
-        rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__cut") - 1)))
-        rows = rows.withColumn("first", F.least("__own", "__other")).withColumn("second", F.greatest("__own", "__other"))
-        rows = rows.withColumn("side", F.when(F.col("__own") == F.col("first"), 0).otherwise(1)).drop("__n", "__cut", "__own", "__other")
-    else:
-        rows = rows.withColumns({"first": F.lit(0), "second": F.lit(0), "side": F.lit(0)})
+        return crossed(rows.withColumn("__cut", F.coalesce("__cut", F.lit(1))), keys, node)
+    return by_group(rows.withColumns({"first": F.lit(0), "second": F.lit(0), "side": F.lit(0)}), keys, node)
+
+
+def crossed(rows: DataFrame, keys: list[str], node: str) -> DataFrame:
+    """dealt for keys whose number of chunks is each row's __cut."""
+    rows = rows.withColumn("__own", F.pmod(F.xxhash64(node), F.col("__cut")).cast("int"))
+    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__cut") - 1)))
+    rows = rows.withColumn("first", F.least("__own", "__other")).withColumn("second", F.greatest("__own", "__other"))
+    rows = rows.withColumn("side", F.when(F.col("__own") == F.col("first"), 0).otherwise(1)).drop("__cut", "__own", "__other")
+    return by_group(rows, keys, node)
+
+
+def by_group(rows: DataFrame, keys: list[str], node: str) -> DataFrame:
     group = [*keys, "first", "second"]
     return rows.repartition(*group).sortWithinPartitions(*group, "side", node)
 

@@ -17,8 +17,10 @@ pairs at 41 or fewer are compared. A bitmap of each set (a bit for each shingle'
 above, by the bits that only one of the two has: most pairs of a large group of loosely similar texts end here.
 
 Only a spanning forest of each group's links goes on, so a large group of near copies sends as many rows
-as it has members, and pairs already joined are not compared again (deduplicated: once the forest's pairs are compared in
-full, only pairs of different components are). Copies share a fingerprint and are
+as it has members, and pairs already joined are not compared again. In deduplicated the forests' pairs are first compared
+in full. What pairs that may be similar join is a class, with all similar pairs inside one; the sets of a class of which the first
+comparison left parts apart are brought together (each chunk of them with each other), compared in full there, and again only a
+spanning forest of the similar pairs goes on. Copies share a fingerprint and are
 one node. Components are found by contraction.
 
 Defined results: null and empty texts, or such of white space alone, have fingerprint zero, linked like
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import Forest, dealt, map_groups, ranges
+from .buckets import BROADCAST_ROWS, Forest, crossed, dealt, map_groups, ranges
 from .common import map_batches, written
 from .components import components
 
@@ -54,6 +56,11 @@ COUNTED = 1 << 18
 BROADCAST_TEXTS = 400_000
 #: 64-bit words of a set's bitmap.
 MAP_WORDS = 16
+#: A class's chunks hold so many shingles (8 bytes each) on average at most; it is cut into up to SPREAD_CUTS chunks, of
+#: LEAST_CHUNK texts at least, so that a large one is not left to a few tasks. These change speed and memory alone.
+CHUNK_SHINGLES, SPREAD_CUTS, LEAST_CHUNK = 1 << 20, 24, 64
+#: Pairs compared in full between looks at what is joined by then.
+COMPARED = 256
 #: Planes are read in a mixed order, so that those that a key fixes don't come first.
 ORDER = [p * 37 % 64 for p in range(64)]
 
@@ -176,13 +183,12 @@ def masks(blocks: int = RADIUS + 2, same: int = 2) -> list[int]:
     return [m - (1 << 64) if (m := sum(x)) >= 1 << 63 else m for x in combinations(own, same)]
 
 
-def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int = RADIUS, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, start: np.ndarray | None = None, spanning: list | None = None, pairs: list | None = None) -> np.ndarray:
+def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int = RADIUS, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, start: np.ndarray | None = None, spanning: list | None = None) -> np.ndarray:
     """A label for each value: the smallest row that it is linked to, through pairs (i, j) with low[i] <= j < high[i].
 
     fits: which of the pairs found (rows a, rows b) are linked; without it, all.
     start: labels to begin with; pairs of the same label aren't compared.
     spanning: gets a spanning forest of the links (an array of each side).
-    pairs: gets every pair found in place of linking it.
     """
     n, every = len(values), np.uint64(0xFFFFFFFFFFFFFFFF)
     width = -(-n // 64)
@@ -240,13 +246,9 @@ def compare(values: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int =
             if fits is not None:
                 close = fits(a, b)
                 a, b = a[close], b[close]
-            if pairs is None:
-                found = forest.link(a, b)
-                if spanning is not None:
-                    spanning.append(found)
-            else:
-                apart = forest.label[a] != forest.label[b]
-                pairs.append((a[apart], b[apart]))
+            found = forest.link(a, b)
+            if spanning is not None:
+                spanning.append(found)
     return forest.label
 
 
@@ -310,49 +312,101 @@ def bitmap(values: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def bounded(get: Callable[[str], np.ndarray], left: np.ndarray, maps: np.ndarray | None, similarity: float, radius: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Which pairs of rows differ in 2 * radius + 1 of 128 bits or fewer and may be that similar: left bounds the overlap, and so do maps."""
+    size, words = get("size").astype(float), [get(c).view(np.uint64) for c in ("fp", "more")]
+
+    def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        differ = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words)
+        need = (similarity * (size[a] + size[b]) - 1e-9) / (1 + similarity)
+        good = (differ <= 2 * radius + 1) & (np.minimum(left[a], left[b]) >= need)
+        if maps is not None:
+            at = np.flatnonzero(good)
+            one, two = maps[a[at]], maps[b[at]]
+            alone = [np.bitwise_count(x & ~y).sum(1, dtype=np.int64) for x, y in ((one, two), (two, one))]
+            good[at] = np.minimum(size[a[at]] - alone[0], size[b[at]] - alone[1]) >= need[at]
+        return good
+
+    return fits
+
+
+def spanned(get: Callable[[str], np.ndarray], low: np.ndarray, high: np.ndarray, radius: int, fits: Callable[[np.ndarray, np.ndarray], np.ndarray], label: np.ndarray | None = None) -> pa.Table:
+    """A spanning forest (a, b) of the nodes of pairs that fit, found by either word of their fingerprints."""
+    node, found = get("node"), []
+    for c in ("fp", "more"):
+        label = compare(get(c).view(np.uint64), low, high, radius, fits, label, found)
+    a, b = (np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.table({"a": node[a], "b": node[b]})
+
+
 def candidates(rows: DataFrame, similarity: float, radius: int, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (a, b) of nodes with the same key whose 128 bits differ in 2 * radius + 1 or fewer, and whose sets may be that similar.
+    """A spanning forest of each key's pairs (a, b) of nodes whose 128 bits differ in 2 * radius + 1 or fewer, and whose sets may be that similar.
 
     They may not, if the shingles from the key on are fewer than the overlap needed (of a similar pair's keys the first
     passes), or if the bitmaps show that too many are in one set only. rows: key, node, place, size, fp, more, and map if there
-    are bitmaps. With component: all pairs of different components; without: those of a spanning forest of each group.
+    are bitmaps.
     """
-    mapped, every = "map" in rows.columns, "component" in rows.columns
+    mapped = "map" in rows.columns
 
     def run(table: pa.Table, cuts: np.ndarray) -> pa.Table | None:
         got = paired(table, cuts)
         if got is None:
             return None
         get, low, high = got
-        node, size, words = get("node"), get("size").astype(float), [get(c).view(np.uint64) for c in ("fp", "more")]
-        left = size - get("place")
         maps = np.frombuffer(b"".join(get("map")), np.uint64).reshape(-1, MAP_WORDS) if mapped else None
+        return spanned(get, low, high, radius, bounded(get, get("size") - get("place"), maps, similarity, radius))
+
+    found = map_groups(dealt(rows, ["key"], "node", chunk), ["key", "first", "second"], run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def alike(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have that Jaccard similarity or more."""
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both >= similarity * (len(one) + len(two) - both) - 1e-9
+
+
+def similar_within(rows: DataFrame, sets: DataFrame, similarity: float, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b) of that similarity that join the components of a class as all of its similar pairs do.
+
+    rows: node, loose (its class), component, size, fp, more; sets: node, set, map. Classes of one component are done. Sets
+    are compared in full where they meet, and only a spanning forest of what is similar goes on.
+    """
+    mixed = rows.groupBy("loose").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.min("component").alias("least"), F.max("component").alias("most"))
+    mixed = written(mixed.where("least < most").select("loose", "n", "s"), "mixed")
+    classes_, nodes = mixed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    spread = F.least(F.lit(SPREAD_CUTS), F.ceil(F.col("n") / max(LEAST_CHUNK, nodes // 512)))
+    cut = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("s") / CHUNK_SHINGLES), spread).cast("int")
+    mixed = mixed.select("loose", cut.alias("__cut"))
+    rows = rows.join(F.broadcast(mixed) if classes_ <= BROADCAST_ROWS else mixed, "loose").join(sets, "node")
+
+    def run(table: pa.Table, cuts: np.ndarray) -> pa.Table | None:
+        got = paired(table, cuts)
+        if got is None:
+            return None
+        get, low, high = got
+        held = [np.frombuffer(x, np.uint64) for x in get("set")]
+        maps = np.frombuffer(b"".join(get("map")), np.uint64).reshape(-1, MAP_WORDS)
+        bound = bounded(get, get("size"), maps, similarity, radius)
+        _, at, own = np.unique(get("component"), return_index=True, return_inverse=True)
+        forest = Forest(len(held))
+        forest.label = at[own]
 
         def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            differ = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words)
-            need = (similarity * (size[a] + size[b]) - 1e-9) / (1 + similarity)
-            good = (differ <= 2 * radius + 1) & (np.minimum(left[a], left[b]) >= need)
-            if mapped:
-                at = np.flatnonzero(good)
-                one, two = maps[a[at]], maps[b[at]]
-                alone = [np.bitwise_count(x & ~y).sum(1, dtype=np.int64) for x, y in ((one, two), (two, one))]
-                good[at] = np.minimum(size[a[at]] - alone[0], size[b[at]] - alone[1]) >= need[at]
+            good = np.zeros(len(a), bool)
+            left = np.flatnonzero(forest.label[a] != forest.label[b])
+            left = left[bound(a[left], b[left])]
+            for start in range(0, len(left), COMPARED):
+                part = left[start : start + COMPARED]
+                part = part[forest.label[a[part]] != forest.label[b[part]]]
+                part = part[np.fromiter((alike(held[x], held[y], similarity) for x, y in zip(a[part], b[part])), bool, len(part))]
+                forest.link(a[part], b[part])
+                good[part] = True
             return good
 
-        found: list = []
-        if every:
-            _, at, own = np.unique(get("component"), return_index=True, return_inverse=True)
-            for k in (0, 1):
-                compare(words[k], low, high, radius, fits, at[own], pairs=found)
-        else:
-            label = None
-            for k in (0, 1):
-                label = compare(words[k], low, high, radius, fits, label, found)
-        a, b = (np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table({"a": node[a], "b": node[b]})
+        return spanned(get, low, high, radius, fits, forest.label)
 
-    found = map_groups(dealt(rows, ["key"], "node", chunk), ["key", "first", "second"], run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return map_groups(crossed(rows, ["loose"], "node"), ["loose", "first", "second"], run, "a long, b long", 1 << 12)
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -361,9 +415,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            keep.append(alike(np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64), similarity))
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     rows = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b").select("a", "b", "one", "two")
@@ -387,12 +439,12 @@ def similar_classes(docs: DataFrame, own: DataFrame, text_col: str, shingle: int
         return pa.RecordBatch.from_arrays([batch.column(0), *each], ["node", "set", "map"])
 
     sets = written(map_batches(texts.select("node", "t"), run, "node long, set binary, map binary"), "sets")
-    rows = written(rows.join(sets.select("node", "map"), "node"), "near")
-    # First a few pairs of each group, so that of a large group of near copies not all pairs are compared in full.
-    first = written(similar(candidates(rows, similarity, radius), sets.drop("map"), similarity), "similar")
-    joined = close.join(components(first), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    rest = candidates(rows.join(written(joined, "components"), "node"), similarity, radius)
-    return components(first.union(similar(rest, sets.drop("map"), similarity)))
+    near = written(candidates(rows.join(sets.select("node", "map"), "node"), similarity, radius), "near")
+    # The forests' pairs in full first, so that only what they leave apart of a class (all similar pairs are inside one) meets again.
+    first = written(similar(near, sets.drop("map"), similarity), "similar")
+    of = components(near).withColumnRenamed("component", "loose").join(components(first), "node", "left")
+    of = of.select("node", "loose", F.coalesce("component", "node").alias("component")).join(nodes.select("node", "size", "fp", "more"), "node")
+    return components(first.union(similar_within(written(of, "loose"), sets, similarity, radius)))
 
 
 def classes(own: DataFrame, radius: int = RADIUS) -> DataFrame:

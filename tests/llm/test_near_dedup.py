@@ -71,6 +71,61 @@ def test_group_of_loosely_similar_texts(spark):
     assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == {k for k in own if label[k] == k}
 
 
+def loose_group(n):
+    """n texts with 1 to 8 edits of one base: some pairs are similar, most of the others nearly so."""
+    random_ = np.random.default_rng(8)
+    base = [f"w{k}" for k in random_.integers(0, 5000, 150)]
+    texts = []
+    for k in range(n):
+        words = list(base)
+        for at in random_.choice(150, random_.integers(1, 9), replace=False):
+            words[at] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_pairs_of_a_large_loose_group_stay_in_their_task(spark, monkeypatch):
+    """No step makes more pairs than it reads rows, and a class of which parts stay apart is still joined as all pairs do."""
+    texts = loose_group(300)
+    made, inner = [], simhash.map_groups
+
+    def counted(rows, group, run, schema, *more):
+        out = inner(rows, group, run, schema, *more)
+        if schema.startswith("a long"):
+            made.append((out.count(), rows.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "map_groups", counted)
+    own = dict(enumerate(map(shingles, texts)))
+    label = brute_components(list(own), lambda a, b: 10 * len(own[a] & own[b]) >= 8 * len(own[a] | own[b]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == {k for k in own if label[k] == k}
+    assert len(made) == 3 and all(pairs <= rows for pairs, rows in made), made
+
+
+def test_classes_in_chunks(spark):
+    """Chunks of any size give the same components; pairs below the similarity and other classes are not linked."""
+    texts = loose_group(90)
+    of = {k: k // 60 for k in range(90)}  # two classes, in which no component is known
+    rows, full = [], []
+    for k, (values, wide) in enumerate(simhash.shingle_set(t, 5) for t in texts):
+        bits = np.unpackbits(wide, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        fp, more = (int(x) for x in np.packbits(2 * bits > len(wide), bitorder="little").view(np.int64))
+        rows.append((k, of[k], k, len(values), fp, more))
+        full.append((k, values.tobytes(), simhash.bitmap(values)))
+    rows = spark.createDataFrame(rows, "node long, loose long, component long, size int, fp long, more long")
+    full = spark.createDataFrame(full, "node long, set binary, map binary")
+    own = [*map(shingles, texts)]
+    similar = lambda a, b: of[a] == of[b] and 10 * len(own[a] & own[b]) >= 8 * len(own[a] | own[b])
+    label = brute_components(list(of), similar)
+    assert len({label[k] for k in of}) < 90
+    for chunk in (4, 2048):
+        pairs = [(r.a, r.b) for r in simhash.similar_within(rows, full, 0.8, 20, chunk).collect()]
+        assert all(similar(a, b) for a, b in pairs)
+        found = brute_components(list(of), lambda a, b: a == b or (a, b) in pairs or (b, a) in pairs)
+        assert found == label
+
+
 def test_spanning_links():
     random_ = np.random.default_rng(1)
     a, b = random_.integers(0, 200, (2, 150))
