@@ -57,6 +57,33 @@ def test_pairs_of_blocks_and_rare_characters(monkeypatch, spark):
     assert [len(k) for k in matching.sharing_characters(["a"], ["b"], 80.0)] == [0, 0]
 
 
+def test_texts_are_written_once_for_all_pairs(monkeypatch, spark, tmp_path):
+    """Texts aren't copied for the blocks that they meet; over 64 characters, more characters than masks tell apart, a folder with signs in its name."""
+    from fieldroll.sources import scratch
+
+    draw = np.random.default_rng(5)
+    signs = [chr(0x4E00 + k) for k in range(150)]
+    texts = sorted({"".join(draw.choice(signs[: draw.choice([4, 150])], draw.integers(1, 110))) for _ in range(250)})
+    near = sorted({t[:k] + "x" + t[k + 2 :] for t in texts for k in (0, len(t) // 2)})
+    x, y = [s for s in texts for _ in near], near * len(texts)
+    wanted = {(p, q) for p, q, s in zip(x, y, likeness.ratios(x, y)) if s >= 85 - 1e-9}
+    left, right = (spark.createDataFrame([(t,) for t in own], "text string") for own in (texts, near))
+    kept, made = [], matching.written
+
+    def written(df, name):
+        kept.append((name, out := made(df, name)))
+        return out
+
+    monkeypatch.setattr(matching, "BLOCK", 64)
+    monkeypatch.setattr(matching, "written", written)
+    monkeypatch.setattr(scratch, "folder", lambda spark: f"{tmp_path}/a b%20c+")
+    pairs = matching.similar_pairs(left, right, 85.0)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(wanted) and wanted
+    assert [df.count() for name, df in kept if name == "blocks"] == [len(texts), len(near)]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "Generate" not in plan
+
+
 def test_a_date_pattern_is_searched_once(spark):
     """And what no month's name stands in is no date."""
     from pyspark.sql import functions as F
