@@ -84,6 +84,29 @@ def test_texts_are_written_once_for_all_pairs(monkeypatch, spark, tmp_path):
     assert "CoGroup" not in plan and "Generate" not in plan
 
 
+def test_names_of_which_many_share_two_words(monkeypatch, spark, tmp_path):
+    """Each shares two words with all others: their pairs are scored, and not kept."""
+    import hashlib
+
+    keys = [k for k in range(2_000_000) if hashlib.md5(b"%d" % k).hexdigest()[7:11] == "1234"]
+    kept, made = {}, matching.written
+    monkeypatch.setattr(matching, "written", lambda df, name: kept.update({name: made(df, name)}) or kept[name])
+    customer = pa.table({"c_custkey": keys, "c_mktsegment": ["BUILDING"] * len(keys)})
+    assert len(same(spark, tmp_path, "join05_fuzzy_top2", customer=customer)) == len(keys)
+    assert kept["scored"].count() < len(keys) ** 2 / 2
+
+
+def test_pairs_that_share_words(spark):
+    """Texts of one to five words, of which some are frequent: all pairs that share half the words of the one with fewer, once each."""
+    draw = np.random.default_rng(8)
+    words = ["a", "b", "cc", "dd", "ee", *(f"w{k}" for k in range(40))]
+    one, two = (sorted({" ".join(draw.choice(words, draw.integers(1, 6), p=[0.12] * 5 + [0.01] * 40)) for _ in range(150)}) for _ in range(2))
+    for x, y in ((one, two), ([t for t in one if t.count(" ") == 1], [t for t in two if t.count(" ") > 1]), (two, [])):
+        left, right = (spark.createDataFrame([(t,) for t in own], "text string") for own in (x, y))
+        wanted = [(p, q) for p in x for q in y if 2 * len({*p.split()} & {*q.split()}) >= min(len({*p.split()}), len({*q.split()}))]
+        assert sorted((r.a, r.b) for r in matching.sharing_words(left, right).collect()) == sorted(wanted)
+
+
 def test_a_date_pattern_is_searched_once(spark):
     """And what no month's name stands in is no date."""
     from pyspark.sql import functions as F
